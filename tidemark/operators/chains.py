@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
 from tidemark.operators.scan import (
-    BIN, last_value, next_value, row_number, running_sum, scan, with_halo,
+    BIN, last_value, next_value, range_over, row_number, running_sum, scan, with_halo,
 )
 from tidemark.session import cut_lineage
 
@@ -116,10 +116,9 @@ def trigger_nodes(
         F.col("label").isin(*triggers).alias("__trigger"),
     )
     halo = with_halo(narrow, F.col("timestamp_s"), width=max(width, window_s), after=window_s)
-    w = Window.partitionBy(*group, BIN).orderBy("timestamp_s").rangeBetween(0, window_s)
     n = F.col("last_ix") - F.col("ix") + 1
     opened = (
-        halo.withColumn("last_ix", F.max("ix").over(w))
+        halo.withColumn("last_ix", range_over("max(ix)", [*group, BIN], "timestamp_s", ahead=window_s))
         .where(F.col("__own") & F.col("__trigger"))
         .drop(BIN, "__own")
         .withColumn("n_window", n)
@@ -209,7 +208,8 @@ def chapters(
         cut = pause | F.coalesce(F.col("__shot"), F.lit(False))
     else:
         cut = pause
-    linked = linked.select(key, "ix", "start", "end", "last_end", cut.alias("cut"))
+    # read by three lookups and the chain: written once
+    linked = cut_lineage(linked.select(key, "ix", "start", "end", "last_end", cut.alias("cut")))
     start = F.col("start")
     soft = _first_at_or_after(linked, linked.where("cut"), start + min_length, F.col("last_end"), "soft", key, width)
     long = _first_at_or_after(linked, linked, start + max_length, F.col("end"), "long", key, width)
@@ -223,7 +223,9 @@ def chapters(
     begin = linked.groupBy(key).agg(
         F.coalesce(F.min(F.when(F.col("start") != 0.0, F.col("ix"))), F.max("ix")).alias("__first")
     )
-    nodes = nodes.join(begin, key).where(F.col("ix") >= F.col("__first"))
+    nodes = cut_lineage(
+        nodes.join(begin, key).where(F.col("ix") >= F.col("__first")).select(key, "ix", "start", "next_ix")
+    )
     visited = follow_chain(nodes.select(key, "ix", "next_ix"), [key], max_fold=max_fold)
     ends = linked.groupBy(key).agg(F.max("end").alias("__close"))
     starts = visited.join(nodes.select(key, "ix", "start", "next_ix"), [key, "ix"])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.scan import BIN, bin_of, with_halo
+from tidemark.operators.scan import BIN, bin_of, last_value, range_over, scan, with_halo
 
 
 def spread(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
@@ -134,11 +134,10 @@ def nearest_spikes(
             F.lit(None).cast("double").alias("__spike"), "__side", "__q",
         )
     )
-    w = Window.partitionBy(key, BIN).orderBy("__t")
     seen = stream.withColumns(
         {
-            "__first": F.min("__spike").over(w.rangeBetween(-lookback, 0)),
-            "__last": F.max("__spike").over(w.rangeBetween(0, lookahead)),
+            "__first": range_over("min(__spike)", [key, BIN], "__t", back=lookback),
+            "__last": range_over("max(__spike)", [key, BIN], "__t", ahead=lookahead),
         }
     ).where(F.col("__side").isNotNull())
     return (
@@ -156,8 +155,6 @@ def asof_last(
     key: str = "source_id", width: float = 600.0, tie: str,
 ) -> DataFrame:
     """Value of the last mark at or before each row (as-of join by union and scan)."""
-    from tidemark.operators.scan import last_value, scan
-
     packed = rows.select(key, F.struct(*[c for c in rows.columns if c != key]).alias("__r"))
     left = packed.select(
         key, F.col(f"__r.{pos}").cast("double").alias("__p"), F.lit(1).alias("__o"),

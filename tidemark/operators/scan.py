@@ -142,3 +142,13 @@ def with_halo(
     return df.withColumn(BIN, F.explode(F.sequence(first, last))).withColumn(
         "__own", F.col(BIN) == bin_of(pos, width)
     )
+
+
+def range_over(
+    agg: str, part: Sequence[str], order: str, back: float | None = None, ahead: float | None = None
+) -> Column:
+    """``agg`` over rows whose ``order`` lies in [here - back, here + ahead] (bounds as doubles)."""
+    lo = f"{float(back)!r}D PRECEDING" if back else "CURRENT ROW"
+    hi = f"{float(ahead)!r}D FOLLOWING" if ahead else "CURRENT ROW"
+    keys = ", ".join(f"`{p}`" for p in part)
+    return F.expr(f"{agg} OVER (PARTITION BY {keys} ORDER BY `{order}` RANGE BETWEEN {lo} AND {hi})")
