@@ -192,7 +192,7 @@ def chunk_labels(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("vec_id") / 100).cast("bigint").alias("source_id"),
         (F.col("vec_id") % 100 * 7 + F.floor(F.col("i") / 9)).alias("chunk_ix"),
         F.get(names, F.col("i") % 9).alias("label"),
-        F.round(F.abs(F.col("x").cast("double")), 5).alias("score"),
+        F.abs(F.col("x").cast("double")).alias("score"),
     )
 
 
@@ -200,7 +200,7 @@ view(
     "cl",
     """SELECT vec_id // 100 AS source_id, vec_id % 100 * 7 + i // 9 AS chunk_ix,
   ['Gunshot, gunfire', 'Explosion', 'Speech', 'Music', 'Bang', 'Silence', 'Machine gun', 'Laughter', 'Wind'][i % 9 + 1] AS label,
-  round(abs(CAST(embedding[i + 1] AS DOUBLE)), 5) AS score
+  abs(CAST(embedding[i + 1] AS DOUBLE)) AS score
 FROM embeddings, (SELECT unnest(range(63)) AS i)""",
 )
 

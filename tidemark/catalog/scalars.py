@@ -401,7 +401,7 @@ def p29(spark, sf):
 
 @query(
     "p30_frame_name",
-    "SELECT p_partkey, CASE WHEN t <> '' THEN 's1_' || t ELSE 's1' END || '_f' || lpad(CAST(p_partkey * 37 AS VARCHAR), greatest(6, length(CAST(p_partkey * 37 AS VARCHAR))), '0') AS name FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN regexp_replace(p_brand, '[^\\p{L}\\p{N}_-]', '', 'g') ELSE '' END AS t FROM part)",
+    "SELECT p_partkey, CASE WHEN t <> '' THEN 's1_' || t ELSE 's1' END || '_f' || lpad(CAST(p_partkey * 37 AS VARCHAR), CAST(greatest(6, length(CAST(p_partkey * 37 AS VARCHAR))) AS INTEGER), '0') AS name FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN regexp_replace(p_brand, '[^\\p{L}\\p{N}_-]', '', 'g') ELSE '' END AS t FROM part)",
 )
 def p30(spark, sf):
     p = S.table(spark, sf, "part")

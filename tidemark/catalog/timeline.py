@@ -133,7 +133,7 @@ def w03(spark, sf):
 
 _WIN_AGG = _CHAIN + """,
 tot AS (SELECT w.source_id, w.segment_id, w.ix AS row_ix, w.timestamp_s AS window_start, w.last_ix, count(*) AS event_count,
-    sum(e.score) AS intensity_score, count_if(e.combat) AS combat_events, bool_or(e.visual) AS has_visual, bool_or(e.audio) AS has_audio,
+    sum(e.score) AS intensity_score, CAST(count_if(e.combat) AS BIGINT) AS combat_events, bool_or(e.visual) AS has_visual, bool_or(e.audio) AS has_audio,
     max(e.timestamp_s) AS last_t, max(e.timestamp_s) + 5 AS window_end
   FROM win w JOIN rk e ON e.source_id = w.source_id AND e.segment_id = w.segment_id AND e.ix BETWEEN w.ix AND w.last_ix GROUP BY ALL),
 kept AS (SELECT * FROM tot WHERE intensity_score >= 3 - 1e-9 AND has_visual AND has_audio),
@@ -166,7 +166,7 @@ clip AS (SELECT source_id, segment_id, part_ix, min(window_start) AS start_time,
   FROM near GROUP BY ALL),
 memr AS (SELECT m.*, c.n_windows, row_number() OVER (PARTITION BY m.source_id, m.segment_id, m.part_ix, m.timestamp_s, m.label, m.text ORDER BY m.event_id) AS rn
   FROM mem m JOIN clip c USING (source_id, segment_id, part_ix)),
-prof AS (SELECT source_id, segment_id, part_ix, count(*) AS event_count, count_if(combat) AS combat_all, sum(score) AS intensity_score,
+prof AS (SELECT source_id, segment_id, part_ix, count(*) AS event_count, CAST(count_if(combat) AS BIGINT) AS combat_all, sum(score) AS intensity_score,
     list_sort(list(DISTINCT label)) AS labels, min(timestamp_s) AS first_t, max(timestamp_s) AS last_t
   FROM memr WHERE n_windows = 1 OR rn = 1 GROUP BY ALL),
 segn AS (SELECT source_id, segment_id, count(*) AS segment_events FROM seg_ev GROUP BY ALL),
