@@ -27,16 +27,12 @@ def _scratch() -> str:
 
 @query(
     "s01_event_logs",
-    sql("SELECT CAST(event_id % 20 AS BIGINT) AS source_id, timestamp_s, label, round(confidence, 6) AS confidence, text FROM ev", "ev"),
+    sql("SELECT source_id, timestamp_s, label, round(confidence, 6) AS confidence, text FROM ev", "ev"),
 )
 def s01(spark, sf):
     """Write the events as JSON arrays, one document per source, and read them back."""
-    return _log_round_trip(S.events(spark, sf).withColumn("source_id", F.col("event_id") % 20))
-
-
-def _log_round_trip(ev):
-    spark, folder = ev.sparkSession, _scratch()
-    sinks.write_event_arrays(ev, folder)
+    folder = _scratch()
+    sinks.write_event_arrays(S.events(spark, sf), folder)
     out = readers.read_event_logs(spark, folder)
     return out.select("source_id", "timestamp_s", "label", F.round("confidence", 6).alias("confidence"), "text")
 
@@ -93,7 +89,7 @@ def s05(spark, sf):
     return readers.transcript_table(tr.select("source_id", "ix", line.alias("line")))
 
 
-@query("s06_timed_lines", sql("SELECT source_id, CASE WHEN event_id % 9 = 0 THEN -1e0 ELSE timestamp_s END AS t, text FROM sc", "sc"))
+@query("s06_timed_lines", sql("SELECT source_id, CASE WHEN event_id % 9 = 0 THEN -1e0 ELSE t END AS t, text FROM sc", "sc"))
 def s06(spark, sf):
     sc = S.screen(spark, sf)
     line = F.when(F.col("event_id") % 9 == 0, F.col("text")).otherwise(

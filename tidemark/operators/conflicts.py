@@ -113,8 +113,10 @@ def suppress_overlaps(
         unique, {"__n": count()}, start="__s", end="__e", tie=["__e"], key=key, number="__group"
     ).withColumnsRenamed({"start": "__g_s", "end": "__g_e"})
     # components can touch at one instant only when merged, so a start lies in exactly one
-    placed = points_in_intervals(unique, groups, t="__s", start="__g_s", end="__g_e", key=[key], width=600.0)
-    longest = groups.agg(F.max("__n")).first()[0] or 0
+    placed = cut_lineage(
+        points_in_intervals(unique, groups, t="__s", start="__g_s", end="__g_e", key=[key], width=600.0)
+    )
+    longest = placed.agg(F.max("__n")).first()[0] or 0
     if longest <= max_fold:
         kept = _keep_short(placed, [key, "__group"], threshold)
     else:

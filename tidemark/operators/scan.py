@@ -101,16 +101,22 @@ def scan(
 ) -> DataFrame:
     """Add one column per fold, scanning each ``key`` in ``order``.
 
-    ``pos`` must rise with ``order``; it places a row in its bin of ``width``.
+    ``pos`` must rise with ``order``; it places a row in its bin of ``width``.  Keys and
+    positions are not null.
     ``backward`` takes the carried value from later bins (for :func:`next_value`).
     """
     key, order = list(key), list(order)
     position = F.col(pos) if isinstance(pos, str) else pos
-    binned = df.withColumn(BIN, bin_of(position, width))
+    binned = df.withColumn(BIN, bin_of(position, width)).repartition(*key, BIN)
     inside = Window.partitionBy(*key, BIN).orderBy(*order)
     local = binned.withColumns({f"__l_{n}": f.local(inside) for n, f in folds.items()})
-    totals = binned.groupBy(*key, BIN).agg(
-        *[f.total(order).alias(f"__t_{n}") for n, f in folds.items()]
+    # counting every column, in a filter that always holds, keeps the columns of both
+    # branches alike: Spark then reads and shuffles the input once and reuses the exchange
+    alike = sum((F.count(F.col(c)) for c in df.columns), F.lit(0))
+    totals = (
+        binned.groupBy(*key, BIN)
+        .agg(*[f.total(order).alias(f"__t_{n}") for n, f in folds.items()], alike.alias("__alike"))
+        .where(F.col("__alike") >= 0)
     )
     across = Window.partitionBy(*key).orderBy(BIN)
     across = (
@@ -121,7 +127,8 @@ def scan(
     carried = totals.select(
         *key, BIN, *[f.carry(F.col(f"__t_{n}"), across).alias(f"__c_{n}") for n, f in folds.items()]
     )
-    joined = local.join(carried, [*key, BIN], "left")
+    # every bin has one summary row
+    joined = local.join(carried, [*key, BIN])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[f.merge(F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, f in folds.items()],

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
-from tidemark.operators.scan import BIN, bin_of, running_sum, scan, with_halo
+from tidemark.operators.scan import BIN, range_over, running_sum, scan, with_halo
+from tidemark.session import cut_lineage
 
 COMBAT_LABELS = (
     # fixed values: classifier labels that count as combat
@@ -188,34 +189,54 @@ def local_gate(
 ) -> DataFrame:
     """Zero the score of samples below the range's own quantile of energy.
 
-    A range is one clip's search window, at most a minute or so of samples, so the built-in
-    percentile works on a group of bounded size.
+    A range is one clip's search window, at most a minute or so of samples, so a window
+    over it is of bounded size and the steps after it need no further shuffle.
     """
-    gates = rows.groupBy(key, ident).agg(F.percentile(rms, F.lit(p)).alias("gate"))
-    return rows.join(gates, [key, ident]).withColumn(
+    whole = Window.partitionBy(key, ident)
+    gated = rows.withColumn("gate", F.percentile(rms, F.lit(p)).over(whole))
+    return gated.withColumn(
         "gated_score", F.when(F.col(rms) < F.col("gate"), F.lit(0.0)).otherwise(F.col(score))
     )
 
 
+def _range_anchors(
+    ranges: DataFrame, scores: DataFrame, *, start: str, end: str, ident: str, key: str, half_chunk: float,
+    threshold: float, min_rows: int,
+) -> DataFrame:
+    """Peak and last sample at the threshold of each range, on locally gated scores."""
+    spans = ranges.select(key, ident, F.col(start).alias("__ws"), F.col(end).alias("__we"))
+    rows = in_ranges(scores, spans, start="__ws", end="__we", half_chunk=half_chunk, key=key)
+    s, t = F.col("gated_score"), F.col("t")
+    high = F.when(s >= threshold, t)
+    found = local_gate(rows, ident=ident, key=key).groupBy(key, ident).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        F.max("__ws").alias("__ws"),
+        F.max("__we").alias("__we"),
+        F.max_by(t, F.struct(s, -t)).alias("peak_t"),
+        F.max(s).alias("peak_score"),
+        F.max(high).alias("late_t"),
+        F.max_by(s, high).alias("late_score"),
+    )
+    return found.where(F.col("__rows") >= min_rows)
+
+
 def _trace(
     anchors: DataFrame, profile: DataFrame, *, lo: Column, hi: Column, forward: bool, silence_n: int,
     factor: float, floor: float, ident: str, key: str, half_chunk: float,
 ) -> DataFrame:
-    spans = anchors.withColumns({"__a": lo, "__b": hi})
-    rows = in_ranges(
-        profile.select(key, "t", "rms"), spans.select(key, ident, "__a", "__b"), start="__a", end="__b",
-        half_chunk=half_chunk, key=key,
-    )
-    noise = rows.groupBy(key, ident).agg(F.percentile("rms", F.lit(0.2)).alias("__noise"))
-    level = F.greatest(F.col("__noise") * factor, F.lit(floor))
-    order = F.col("t").asc() if forward else F.col("t").desc()
-    w = Window.partitionBy(key, ident).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    # one row per range, read twice below
+    anchors = cut_lineage(anchors)
+    spans = anchors.select(key, ident, lo.alias("__a"), hi.alias("__b"))
+    rows = in_ranges(profile.select(key, "t", "rms"), spans, start="__a", end="__b", half_chunk=half_chunk, key=key)
+    whole = Window.partitionBy(key, ident)
+    walk = whole.orderBy(F.col("t").asc() if forward else F.col("t").desc())
+    upto = walk.rowsBetween(Window.unboundedPreceding, 0)
+    level = F.greatest(F.percentile("rms", F.lit(0.2)).over(whole) * factor, F.lit(floor))
+    last_loud = F.coalesce(F.max(F.when(F.col("__loud"), F.col("__n"))).over(upto), F.lit(0))
     walked = (
-        rows.join(noise, [key, ident])
-        .withColumn("__loud", F.col("rms") > level)
-        .withColumn("__n", F.row_number().over(w))
-        .withColumn("__quiet", F.col("__n") - F.coalesce(F.max(F.when(F.col("__loud"), F.col("__n"))).over(upto), F.lit(0)))
+        rows.withColumn("__loud", F.col("rms") > level)
+        .withColumn("__n", F.row_number().over(walk))
+        .withColumn("__quiet", F.col("__n") - last_loud)
         .withColumn("__stopped", F.max((F.col("__quiet") >= silence_n).cast("int")).over(upto))
     )
     reach = F.max("t") if forward else F.min("t")
@@ -223,6 +244,11 @@ def _trace(
     return anchors.join(found, [key, ident], "left")
 
 
+def _confidence(moved: Column) -> Column:
+    lifted = F.when(moved, F.greatest(F.col("anchor_score"), F.lit(0.7))).otherwise(F.col("anchor_score"))
+    return F.least(F.greatest(lifted, F.lit(0.0)), F.lit(1.0)).alias("confidence")
+
+
 def onset(
     ranges: DataFrame, scores: DataFrame, profile: DataFrame, *, start: str, end: str,
     ident: str = "clip_id", key: str = "source_id", silence_n: int = SILENCE_BEFORE, factor: float = 2.0,
@@ -234,55 +260,44 @@ def onset(
     percentile), allowing fewer than ``silence_n`` quiet samples in a row.  A found lead-up
     lifts the confidence to at least 0.7.  Ranges with too few samples or no anchor give none.
     """
-    spans = ranges.select(key, ident, F.col(start).alias("__ws"), F.col(end).alias("__we"))
-    rows = in_ranges(scores, spans, start="__ws", end="__we", half_chunk=half_chunk, key=key)
-    rows = local_gate(rows, ident=ident, key=key)
-    enough = rows.groupBy(key, ident).agg(F.count(F.lit(1)).alias("__rows"), F.max("__ws").alias("__ws"))
-    anchors = last_anchor(
-        rows, ident=ident, score="gated_score", key=key, threshold=anchor_threshold(score_threshold)
-    ).join(enough.where(F.col("__rows") >= min_rows), [key, ident])
+    found = _range_anchors(
+        ranges, scores, start=start, end=end, ident=ident, key=key, half_chunk=half_chunk,
+        threshold=anchor_threshold(score_threshold), min_rows=min_rows,
+    )
+    anchors = found.where(F.col("late_t").isNotNull()).select(
+        key, ident, "__ws", F.col("late_t").alias("anchor_t"), F.col("late_score").alias("anchor_score")
+    )
     out = _trace(
         anchors, profile, lo=F.col("__ws"), hi=F.col("anchor_t"), forward=False, silence_n=silence_n,
         factor=factor, floor=floor, ident=ident, key=key, half_chunk=half_chunk,
     )
     t = F.least(F.coalesce("__t", "anchor_t"), F.col("anchor_t"))
-    boosted = F.when(t < F.col("anchor_t"), F.greatest(F.col("anchor_score"), F.lit(0.7))).otherwise(F.col("anchor_score"))
-    return out.select(
-        key, ident, "anchor_t", t.alias("onset_t"), F.least(F.greatest(boosted, F.lit(0.0)), F.lit(1.0)).alias("confidence")
-    )
+    return out.select(key, ident, "anchor_t", t.alias("onset_t"), _confidence(t < F.col("anchor_t")))
 
 
 def offset(
     ranges: DataFrame, scores: DataFrame, profile: DataFrame, *, start: str, end: str,
     ident: str = "clip_id", key: str = "source_id", silence_n: int = SILENCE_AFTER, factor: float = 2.5,
     floor: float = 0.005, score_threshold: float = 0.30, half_chunk: float = 0.0, min_rows: int = 4,
+    min_peak: float = 0.1,
 ) -> DataFrame:
     """Where the noise after the last combat sample of a range died down (see :func:`onset`).
 
     The anchor is the last sample after the peak that reaches the threshold, else the peak.
     """
-    spans = ranges.select(key, ident, F.col(start).alias("__ws"), F.col(end).alias("__we"))
-    rows = in_ranges(scores, spans, start="__ws", end="__we", half_chunk=half_chunk, key=key)
-    rows = local_gate(rows, ident=ident, key=key)
-    enough = rows.groupBy(key, ident).agg(F.count(F.lit(1)).alias("__rows"), F.max("__we").alias("__we"))
-    top = peaks(rows, ident=ident, score="gated_score", key=key)
-    late = last_anchor(rows, ident=ident, score="gated_score", key=key, threshold=anchor_threshold(score_threshold))
-    later = F.coalesce(F.col("anchor_t") > F.col("peak_t"), F.lit(False))
-    anchors = (
-        top.join(late, [key, ident], "left")
-        .join(enough.where(F.col("__rows") >= min_rows), [key, ident])
-        .select(
-            key, ident, "__we",
-            F.when(later, F.col("anchor_t")).otherwise(F.col("peak_t")).alias("anchor_t"),
-            F.when(later, F.col("anchor_score")).otherwise(F.col("peak_score")).alias("anchor_score"),
-        )
+    found = _range_anchors(
+        ranges, scores, start=start, end=end, ident=ident, key=key, half_chunk=half_chunk,
+        threshold=anchor_threshold(score_threshold), min_rows=min_rows,
+    )
+    later = F.coalesce(F.col("late_t") > F.col("peak_t"), F.lit(False))
+    anchors = found.where(F.col("peak_score") >= min_peak).select(
+        key, ident, "__we",
+        F.when(later, F.col("late_t")).otherwise(F.col("peak_t")).alias("anchor_t"),
+        F.when(later, F.col("late_score")).otherwise(F.col("peak_score")).alias("anchor_score"),
     )
     out = _trace(
         anchors, profile, lo=F.col("anchor_t"), hi=F.col("__we"), forward=True, silence_n=silence_n,
         factor=factor, floor=floor, ident=ident, key=key, half_chunk=half_chunk,
     )
     t = F.greatest(F.coalesce("__t", "anchor_t"), F.col("anchor_t"))
-    boosted = F.when(t > F.col("anchor_t"), F.greatest(F.col("anchor_score"), F.lit(0.7))).otherwise(F.col("anchor_score"))
-    return out.select(
-        key, ident, "anchor_t", t.alias("offset_t"), F.least(F.greatest(boosted, F.lit(0.0)), F.lit(1.0)).alias("confidence")
-    )
+    return out.select(key, ident, "anchor_t", t.alias("offset_t"), _confidence(t > F.col("anchor_t")))

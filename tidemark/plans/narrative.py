@@ -12,6 +12,7 @@ from tidemark.operators.conflicts import suppress_overlaps
 from tidemark.operators.rangejoin import points_in_intervals
 from tidemark.operators.scan import row_number, running_sum, scan
 from tidemark.schemas import CANDIDATE, SELECTION
+from tidemark.session import cut_lineage
 
 KEY = "source_id"
 NO_BEFORE, NO_AFTER = "[Beginning of video]", "[End of video]"
@@ -163,7 +164,8 @@ def build_manifest(
     ``selection`` has ``pick_no`` (order of choice, from 1) and ``clip_id`` per source.
     Recording length is the end of the last transcript line.
     """
-    accepted = candidates.where("status = 'accepted'")
+    # candidates meet suppression, selection and two text lookups: worked out once
+    accepted = cut_lineage(candidates.where("status = 'accepted'"))
     unique = suppress_overlaps(accepted, score="hybrid_score", threshold=dedupe_iou, ident="clip_no")
     offered = selection.join(unique.select(KEY, "clip_id"), [KEY, "clip_id"], "left_semi")
     capped = scan(offered, [KEY], ["pick_no"], {"__n": row_number()}, pos="pick_no", width=1024).where(
@@ -171,7 +173,9 @@ def build_manifest(
     )
     known, _ = select_candidates(capped.drop("__n"), accepted)
     fixed = known.withColumn("end", scoring.repaired_end(F.col("start"), F.col("end")))
+    fixed = cut_lineage(fixed)
     a = snap_to_text(fixed, transcript, anchor="anchor_start_text", target="start", name="true_start", fuzzy=fuzzy)
+    a = cut_lineage(a)
     b = snap_to_text(a, transcript, anchor="anchor_end_text", target="end", is_end=True, name="true_end", fuzzy=fuzzy)
     length = transcript.groupBy(KEY).agg(F.max("end").alias("__length"))
     pad = F.col("padding")

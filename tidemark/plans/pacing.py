@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.conflicts import deoverlap
 from tidemark.operators.signal import chunk_scores, moving_average, offset, onset, quiet_gate, smooth_width
+from tidemark.session import cut_lineage
 
 KEY = "source_id"
 
@@ -73,8 +74,10 @@ def safe_exit(
 def pace_clips(clips: DataFrame, scores: DataFrame, profile: DataFrame, *, half_chunk: float = 0.0,
                score_threshold: float = 0.30, width: float = 600.0) -> DataFrame:
     """Entry and exit per clip, overlaps pushed apart, paced duration."""
+    clips = cut_lineage(clips)
     entered = safe_entry(clips, scores, profile, half_chunk=half_chunk, score_threshold=score_threshold)
     both = safe_exit(entered, scores, profile, half_chunk=half_chunk, score_threshold=score_threshold)
+    both = cut_lineage(both)
     flat = both.withColumns({"__in": F.col("safe_entry.timestamp"), "__out": F.col("safe_exit.timestamp")})
     moved = deoverlap(flat, order=("start_time", "clip_id"), start="__in", end="__out", width=width)
     return moved.select(

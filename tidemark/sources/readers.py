@@ -19,8 +19,11 @@ STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
 
 def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Whole files; the name is the file's stem, or the folder's ``name=value`` where there is one."""
+    where = F.col("_metadata.file_path")
+    folder = F.regexp_extract(where, r"/[^/=]+=([^/=]+)/[^/]+$", 1)
     return spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), STEM, 1).alias("file"), F.col("value")
+        F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(where, STEM, 1)).alias("file"), F.col("value")
     )
 
 
