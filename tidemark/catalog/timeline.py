@@ -363,7 +363,7 @@ def w15(spark, sf):
     ),
 )
 def w17(spark, sf):
-    ev = S.events(spark, sf)
+    ev = S.events(spark, sf).select("source_id", "event_id", "timestamp_s", "confidence", "text")
     good = F.when(F.col("confidence") >= 0.5, F.col("text"))
     out = scan(
         ev, ["source_id"], ["timestamp_s", "event_id"], {"filled": last_value(good)}, pos="timestamp_s", width=600.0

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
 from tidemark.operators.scan import (
-    BIN, last_value, next_value, range_over, row_number, running_sum, scan, with_halo,
+    BIN, last_value, next_value, range_over, row_number, scan, with_halo,
 )
 from tidemark.session import cut_lineage
 
@@ -34,22 +34,21 @@ MAX_FOLD = 4096
 
 
 def _fold_short(nodes: DataFrame, group: Sequence[str]) -> DataFrame:
+    rest = [c for c in nodes.columns if c not in (*group, "ix", "next_ix")]
     packed = nodes.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("ix", "next_ix"))).alias("__nodes")
-    )
-    seed = F.struct(
-        F.col("__nodes")[0]["ix"].alias("want"), F.array().cast("array<bigint>").alias("got")
+        F.array_sort(F.collect_list(F.struct("ix", "next_ix", *rest))).alias("__nodes")
     )
+    seed = F.struct(F.col("__nodes")[0]["ix"].alias("want"), F.slice("__nodes", 1, 0).alias("got"))
     walked = F.aggregate(
         "__nodes",
         seed,
         lambda acc, x: F.when(
             x["ix"] == acc["want"],
-            F.struct(x["next_ix"].alias("want"), F.concat(acc["got"], F.array(x["ix"])).alias("got")),
+            F.struct(x["next_ix"].alias("want"), F.concat(acc["got"], F.array(x)).alias("got")),
         ).otherwise(acc),
         lambda acc: acc["got"],
     )
-    return packed.select(*group, F.explode(walked).alias("ix"))
+    return packed.select(*group, F.explode(walked).alias("__x")).select(*group, "__x.*").select(nodes.columns)
 
 
 def _double_pointers(nodes: DataFrame, group: Sequence[str], longest: int) -> DataFrame:
@@ -71,10 +70,11 @@ def _double_pointers(nodes: DataFrame, group: Sequence[str], longest: int) -> Da
 def follow_chain(
     nodes: DataFrame, group: Sequence[str], *, max_fold: int = MAX_FOLD, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Rows visited from each group's first ``ix`` along ``next_ix`` (null ends the chain).
+    """Nodes visited from each group's first ``ix`` along ``next_ix`` (null ends the chain).
 
-    ``nodes`` holds group columns, ``ix`` and ``next_ix > ix``, where ``next_ix`` is the
-    ``ix`` of another node.  ``sizes`` may name a cheaper frame to count groups from.
+    ``nodes`` holds group columns, ``ix``, ``next_ix > ix``, where ``next_ix`` is the ``ix``
+    of another node, and any narrow columns to keep.  ``sizes`` may name a cheaper frame to
+    count groups from.
     """
     group = list(group)
     counted = (sizes if sizes is not None else nodes).groupBy(*group).count()
@@ -83,22 +83,9 @@ def follow_chain(
         return _fold_short(nodes, group)
     large = counted.where(F.col("count") > max_fold).select(*group)
     short = _fold_short(nodes.join(large, group, "left_anti"), group)
-    return short.unionByName(_double_pointers(nodes.join(large, group, "left_semi"), group, longest))
-
-
-def rank_in_segment(
-    events: DataFrame, *, triggers: Sequence[str] = TRIGGER_LABELS, key: str = "source_id",
-    width: float = 600.0,
-) -> DataFrame:
-    """Number the events of each segment (``ix``) and its triggers (``rank``), both from 1."""
-    return scan(
-        events, [key, "segment_id"], ["timestamp_s", "event_id"],
-        {
-            "ix": row_number(),
-            "rank": running_sum(F.col("label").isin(*triggers).cast("bigint")),
-        },
-        pos="timestamp_s", width=width,
-    )
+    long = nodes.join(large, group, "left_semi")
+    reached = _double_pointers(long.select(*group, "ix", "next_ix"), group, longest)
+    return short.unionByName(long.join(reached, [*group, "ix"], "left_semi"))
 
 
 def trigger_nodes(
@@ -141,33 +128,48 @@ def trigger_windows(
     group = [key, "segment_id"]
     nodes = trigger_nodes(ranked, window_s=window_s, triggers=triggers, key=key, width=width)
     visited = follow_chain(
-        nodes.select(*group, "ix", "next_ix"), group, max_fold=max_fold,
-        sizes=ranked.where(F.col("label").isin(*triggers)),
-    )
-    return visited.join(nodes, [*group, "ix"]).select(
-        *group, "event_id", "row_ix", "last_ix", "n_window", "window_start"
+        nodes, group, max_fold=max_fold, sizes=ranked.where(F.col("label").isin(*triggers))
     )
+    return visited.select(*group, "event_id", "row_ix", "last_ix", "n_window", "window_start")
 
 
-def _first_at_or_after(
-    rows: DataFrame, marks: DataFrame, want: Column, mark: Column, name: str, key: str, width: float
+def _chapter_cuts(
+    linked: DataFrame, key: str, width: float, min_length: float, max_length: float
 ) -> DataFrame:
-    """For each row: ``ix`` of the first mark whose value is at least ``want``."""
-    left = rows.select(
-        key, want.alias("__p"), F.lit(0).alias("__o"), F.col("ix").alias("__row"),
-        F.lit(None).cast("bigint").alias("__m"),
+    """For a chapter starting at each line: ``ix`` of the line that would cut it.
+
+    Ends and previous ends rise, so "first line with previous end >= x" answers all three
+    conditions, and one backward scan over lines (marks) and asked times reads it:
+    at start + min for any and for a cut line, at start + max for the length limit
+    (the line before the one found, or the last line when its own end reaches).
+    """
+    marks = linked.select(
+        key, F.col("last_end").alias("__p"), F.lit(1).alias("__o"), F.col("ix").alias("__tie"),
+        F.lit(None).cast("bigint").alias("__row"), F.lit(None).cast("string").alias("__ask"),
+        F.col("ix").alias("__any"), F.when(F.col("cut"), F.col("ix")).alias("__cut"),
+    )
+    asked = F.explode(
+        F.array(
+            F.struct(F.lit("min").alias("ask"), (F.col("start") + min_length).alias("p")),
+            F.struct(F.lit("max").alias("ask"), (F.col("start") + max_length).alias("p")),
+        )
     )
-    right = marks.select(
-        key, mark.alias("__p"), F.lit(1).alias("__o"), F.lit(None).cast("bigint").alias("__row"),
-        F.col("ix").alias("__m"),
+    none = F.lit(None).cast("bigint")
+    asks = linked.withColumn("__q", asked).select(
+        key, F.col("__q.p").alias("__p"), F.lit(0).alias("__o"), F.col("ix").alias("__tie"),
+        F.col("ix").alias("__row"), F.col("__q.ask").alias("__ask"), none.alias("__any"), none.alias("__cut"),
     )
-    both = left.unionByName(right).where(F.col("__p").isNotNull())
-    both = both.withColumn("__tie", F.coalesce("__row", "__m"))
-    out = scan(
-        both, [key], ["__p", "__o", "__tie"], {name: next_value(F.col("__m"))},
+    seen = scan(
+        marks.unionByName(asks), [key], ["__p", "__o", "__tie", "__ask"],
+        {"next_any": next_value(F.col("__any")), "next_cut": next_value(F.col("__cut"))},
         pos="__p", width=width, backward=True,
+    ).where(F.col("__row").isNotNull())
+    is_min = F.col("__ask") == "min"
+    return seen.groupBy(key, F.col("__row").alias("ix")).agg(
+        F.max(F.when(is_min, F.col("next_cut"))).alias("soft"),
+        F.max(F.when(is_min, F.col("next_any"))).alias("enough"),
+        F.max(F.when(~is_min, F.col("next_any"))).alias("past"),
     )
-    return out.where(F.col("__row").isNotNull()).select(key, F.col("__row").alias("ix"), name)
 
 
 def chapters(
@@ -210,15 +212,12 @@ def chapters(
         cut = pause
     # read by three lookups and the chain: written once
     linked = cut_lineage(linked.select(key, "ix", "start", "end", "last_end", cut.alias("cut")))
-    start = F.col("start")
-    soft = _first_at_or_after(linked, linked.where("cut"), start + min_length, F.col("last_end"), "soft", key, width)
-    long = _first_at_or_after(linked, linked, start + max_length, F.col("end"), "long", key, width)
-    enough = _first_at_or_after(linked, linked, start + min_length, F.col("last_end"), "enough", key, width)
-    hard = F.when(F.col("long").isNotNull() & F.col("enough").isNotNull(), F.greatest("long", "enough"))
-    nodes = (
-        linked.join(soft, [key, "ix"]).join(long, [key, "ix"]).join(enough, [key, "ix"])
-        .withColumn("next_ix", F.least(F.col("soft"), hard))
-    )
+    cuts = _chapter_cuts(linked, key, width, min_length, max_length)
+    lasts = linked.groupBy(key).agg(F.max("ix").alias("__last"), F.max("end").alias("__close"))
+    reaches_end = F.col("__close") >= F.col("start") + max_length
+    long = F.coalesce(F.col("past") - 1, F.when(reaches_end, F.col("__last")))
+    hard = F.when(long.isNotNull() & F.col("enough").isNotNull(), F.greatest(long, F.col("enough")))
+    nodes = linked.join(cuts, [key, "ix"]).join(lasts, key).withColumn("next_ix", F.least(F.col("soft"), hard))
     # a chain may not begin on a line that starts at exactly 0 unless it is the only line
     begin = linked.groupBy(key).agg(
         F.coalesce(F.min(F.when(F.col("start") != 0.0, F.col("ix"))), F.max("ix")).alias("__first")
@@ -226,9 +225,8 @@ def chapters(
     nodes = cut_lineage(
         nodes.join(begin, key).where(F.col("ix") >= F.col("__first")).select(key, "ix", "start", "next_ix")
     )
-    visited = follow_chain(nodes.select(key, "ix", "next_ix"), [key], max_fold=max_fold)
+    starts = follow_chain(nodes, [key], max_fold=max_fold)
     ends = linked.groupBy(key).agg(F.max("end").alias("__close"))
-    starts = visited.join(nodes.select(key, "ix", "start", "next_ix"), [key, "ix"])
     closed = starts.join(
         linked.select(key, F.col("ix").alias("next_ix"), F.col("last_end").alias("__cut_end")),
         [key, "next_ix"], "left",

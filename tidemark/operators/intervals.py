@@ -125,6 +125,17 @@ def time_points(events: DataFrame, *, key: str = "source_id", t: str = "timestam
     )
 
 
+def _gap_rule(gap_s: float, bridge_s: float, audio_label: str) -> JoinRule:
+    wide_gap = max(gap_s, bridge_s)
+
+    def rule(reach: Column, ptail: Column, start: Column, head: Column) -> Column:
+        beside = (ptail == audio_label) | (head == audio_label)
+        limit = F.when(F.coalesce(beside, F.lit(False)), wide_gap).otherwise(gap_s)
+        return (start - reach) < limit
+
+    return rule
+
+
 def gap_segments(
     events: DataFrame,
     *,
@@ -141,15 +152,8 @@ def gap_segments(
     Returns one row per segment: segment_id (from 1), start, end, n_events.
     """
     pts = points if points is not None else time_points(events, key=key)
-    wide_gap = max(gap_s, bridge_s)
-
-    def rule(reach: Column, ptail: Column, start: Column, head: Column) -> Column:
-        beside = (ptail == audio_label) | (head == audio_label)
-        limit = F.when(F.coalesce(beside, F.lit(False)), wide_gap).otherwise(gap_s)
-        return (start - reach) < limit
-
     out = islands(
-        pts, rule, {"n_events": total(F.col("n")), **(aggs or {})},
+        pts, _gap_rule(gap_s, bridge_s, audio_label), {"n_events": total(F.col("n")), **(aggs or {})},
         start=F.col("t"), end=F.col("t"), head=F.col("first_label"), tail=F.col("last_label"),
         key=key, width=width, number="segment_ix",
     )
@@ -157,6 +161,59 @@ def gap_segments(
                       *(aggs or {}))
 
 
+def number_segments(
+    events: DataFrame, *, counted: Column, gap_s: float = 30.0, bridge_s: float = 60.0, audio_label: str = SPIKE,
+    key: str = "source_id", t: str = "timestamp_s", tie: str = "event_id", width: float = 600.0,
+) -> DataFrame:
+    """Every event with its segment and its place in it, from one shuffle of the events.
+
+    Adds segment_id, segment_events, ``ix`` (position in the segment, from 1) and ``rank``
+    (running number of events that meet ``counted``).  Positions are counted inside
+    (source, bin); each island of a bin leaves one row, and the islands' running totals
+    give the offset between a place in the bin and a place in the segment.
+    """
+    rows = events.withColumns(
+        {"__start": F.col(t), "__end": F.col(t), "__head": F.col("label"), "__tail": F.col("label"),
+         BIN: bin_of(F.col(t), width), "__c": F.coalesce(counted, F.lit(False)).cast("bigint")}
+    ).where(F.col(key).isNotNull() & F.col(BIN).isNotNull()).repartition(key, BIN)
+    rule = _gap_rule(gap_s, bridge_s, audio_label)
+    order = ["__start", tie]
+    upto = Window.partitionBy(key, BIN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = _number(rows, [key, BIN], order, rule).withColumns(
+        {"__at": F.count(F.lit(1)).over(upto), "__seen": F.sum("__c").over(upto)}
+    )
+    place = F.struct(*order)
+    alike = sum((F.count(F.col(c)) for c in events.columns), F.lit(0))  # as in scan()
+    small = (
+        near.groupBy(key, BIN, F.col("__isl").alias("__near"))
+        .agg(
+            F.min("__start").alias("__s"), F.max("__end").alias("__e"), F.min_by("__head", place).alias("__head"),
+            F.max_by("__tail", place).alias("__tail"), F.count(F.lit(1)).alias("__n"), F.sum("__c").alias("__k"),
+            alike.alias("__alike"),
+        )
+        .where(F.col("__alike") >= 0)
+        .withColumnsRenamed({"__s": "__start", "__e": "__end"})
+    )
+    wide = _number(small, [key], ["__start", BIN, "__near"], rule)
+    before = Window.unboundedPreceding, -1
+    whole = Window.partitionBy(key, "__isl")
+    in_seg = whole.orderBy("__start", BIN, "__near").rowsBetween(*before)
+    in_bin = Window.partitionBy(key, BIN).orderBy("__near").rowsBetween(*before)
+
+    def shift(c: str) -> Column:
+        zero = F.lit(0)
+        return F.coalesce(F.sum(c).over(in_seg), zero) - F.coalesce(F.sum(c).over(in_bin), zero)
+
+    place_of = wide.select(
+        key, BIN, F.col("__near").alias("__isl"), F.col("__isl").alias("segment_id"),
+        F.sum("__n").over(whole).alias("segment_events"), shift("__n").alias("__ix0"), shift("__k").alias("__rank0"),
+    )
+    return near.join(place_of, [key, BIN, "__isl"]).select(
+        *events.columns, "segment_id", "segment_events",
+        (F.col("__at") + F.col("__ix0")).alias("ix"), (F.col("__seen") + F.col("__rank0")).alias("rank"),
+    )
+
+
 def assign_segments(events: DataFrame, segments: DataFrame, *, key: str = "source_id",
                     t: str = "timestamp_s", width: float = 600.0, salt: int = 1) -> DataFrame:
     """Give every event its segment (segments are disjoint, so at most one matches)."""

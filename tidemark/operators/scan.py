@@ -101,17 +101,21 @@ def scan(
 ) -> DataFrame:
     """Add one column per fold, scanning each ``key`` in ``order``.
 
-    ``pos`` must rise with ``order``; it places a row in its bin of ``width``.  Keys and
-    positions are not null.
+    ``pos`` must rise with ``order``; it places a row in its bin of ``width``.  Rows
+    whose key or position is null are left out.
     ``backward`` takes the carried value from later bins (for :func:`next_value`).
     """
     key, order = list(key), list(order)
     position = F.col(pos) if isinstance(pos, str) else pos
-    binned = df.withColumn(BIN, bin_of(position, width)).repartition(*key, BIN)
+    present = F.col(BIN).isNotNull()
+    for k in key:
+        present = present & F.col(k).isNotNull()
+    binned = df.withColumn(BIN, bin_of(position, width)).where(present).repartition(*key, BIN)
     inside = Window.partitionBy(*key, BIN).orderBy(*order)
     local = binned.withColumns({f"__l_{n}": f.local(inside) for n, f in folds.items()})
     # counting every column, in a filter that always holds, keeps the columns of both
-    # branches alike: Spark then reads and shuffles the input once and reuses the exchange
+    # branches alike, and so does stating above what the join would infer for one side
+    # only: Spark then reads and shuffles the input once and reuses the exchange
     alike = sum((F.count(F.col(c)) for c in df.columns), F.lit(0))
     totals = (
         binned.groupBy(*key, BIN)

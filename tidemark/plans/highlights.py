@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import intensity, is_combat
-from tidemark.operators.chains import TRIGGER_LABELS, rank_in_segment, trigger_windows
+from tidemark.operators.chains import TRIGGER_LABELS, trigger_windows
 from tidemark.operators.intervals import (
-    SPIKE, Agg, assign_segments, bursts, count, gap_segments, highest, islands, label_set, lowest,
-    merge_intervals, time_points, total,
+    SPIKE, Agg, bursts, count, highest, islands, label_set, lowest, merge_intervals, number_segments,
+    time_points, total,
 )
 from tidemark.operators.rangejoin import nearest_spikes, points_in_intervals
 from tidemark.operators.scan import row_number, scan
@@ -67,21 +67,18 @@ def anchored_raw_clips(
     points = time_points(
         events, score=F.sum(intensity(F.col("label"), F.col("confidence"), F.col("text"), weights))
     )
-    inside = clip_intensity(points, placed, start="raw_start", end="raw_end", ident=["burst_ix"])
-    heard = audio.select(KEY).distinct().withColumn("audio_anchored", F.lit(True))
-    return placed.join(inside, [KEY, "burst_ix"], "left").join(heard, KEY, "left").select(
-        KEY,
-        "burst_ix",
-        F.concat(F.lit("elim_"), F.floor("start").cast("string")).alias("clip_id"),
-        F.round("raw_start", 2).alias("start_time"),
-        F.round("raw_end", 2).alias("end_time"),
-        "elim_count",
-        F.coalesce("event_count", F.lit(0)).alias("event_count"),
-        F.round(F.coalesce("intensity_score", F.lit(0.0)), 3).alias("intensity_score"),
-        F.coalesce("audio_anchored", F.lit(False)).alias("audio_anchored"),
-        "raw_start",
-        "raw_end",
+    # a clip holds at least its own anchors, so the inner join keeps every burst
+    inside = points_in_intervals(points.select(KEY, "t", "n", "score"), placed, t="t", start="raw_start", end="raw_end")
+    clips = inside.groupBy(KEY, "burst_ix").agg(
+        F.concat(F.lit("elim_"), F.floor(F.max("start")).cast("string")).alias("clip_id"),
+        F.round(F.max("raw_start"), 2).alias("start_time"),
+        F.round(F.max("raw_end"), 2).alias("end_time"),
+        F.max("elim_count").alias("elim_count"),
+        F.sum("n").alias("event_count"),
+        F.round(F.sum("score"), 3).alias("intensity_score"),
     )
+    heard = audio.select(KEY).distinct().withColumn("audio_anchored", F.lit(True))
+    return clips.join(heard, KEY, "left").withColumn("audio_anchored", F.coalesce("audio_anchored", F.lit(False)))
 
 
 def anchored_clips(
@@ -140,9 +137,10 @@ def accepted_windows(totals: DataFrame, min_intensity: float = 3.0) -> DataFrame
 def segmented_events(events: DataFrame, *, weights=None, gap_s=30.0, bridge_s=60.0, audio_label=SPIKE,
                      triggers=TRIGGER_LABELS, width=600.0) -> DataFrame:
     """Scored events with their segment and their position in it."""
-    scored = scored_events(events, weights, audio_label)
-    segments = gap_segments(scored, gap_s=gap_s, bridge_s=bridge_s, audio_label=audio_label, width=width)
-    return rank_in_segment(assign_segments(scored, segments, width=width), triggers=triggers, width=width)
+    return number_segments(
+        scored_events(events, weights, audio_label), counted=F.col("label").isin(*triggers), gap_s=gap_s,
+        bridge_s=bridge_s, audio_label=audio_label, width=width,
+    )
 
 
 def near_windows(kept: DataFrame, *, merge_s: float = 30.0, width: float = 600.0) -> DataFrame:
