@@ -295,6 +295,8 @@ def j11(spark, sf):
     )
 
 
+# the SQL edit distance counts bytes, so the native variant is compared on ASCII text
+_ASCII = "regexp_replace(text, '[^ -~]', 'x', 'g')"
 _LINE_KEY = "regexp_replace(regexp_replace(lower({x}), '^\\s+|\\s+$', '', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
 
 
@@ -304,7 +306,7 @@ _LINE_KEY = "regexp_replace(regexp_replace(lower({x}), '^\\s+|\\s+$', '', 'g'),
         f"""SELECT c.source_id, c.chapter_ix, c.item_ix, coalesce(b.s, c.start) AS snapped FROM cand c LEFT JOIN (
   SELECT source_id, chapter_ix, item_ix, arg_max(s, (ratio, -ix)) AS s FROM (
     SELECT c.source_id, c.chapter_ix, c.item_ix, t.ix, t.start AS s, CASE WHEN contains(t.k, w.w) THEN 1e0 ELSE 1 - levenshtein(w.w, t.k) / CAST(greatest(length(w.w), length(t.k)) AS DOUBLE) END AS ratio
-    FROM cand c, LATERAL (SELECT {_LINE_KEY.format(x='c.anchor_start_text')} AS w) w JOIN (SELECT *, {_LINE_KEY.format(x='text')} AS k FROM tr) t ON t.source_id = c.source_id AND abs(t.start - c.start) < 15
+    FROM cand c, LATERAL (SELECT {_LINE_KEY.format(x='c.anchor_start_text')} AS w) w JOIN (SELECT *, {_LINE_KEY.format(x=_ASCII)} AS k FROM tr) t ON t.source_id = c.source_id AND abs(t.start - c.start) < 15
     WHERE c.anchor_start_text <> '')
   WHERE ratio > 4e-1 GROUP BY ALL) b USING (source_id, chapter_ix, item_ix)""",
         "rp", "tr", ctes=_ITEMS,
@@ -322,7 +324,10 @@ def j13(spark, sf):
 def _snapped(spark, sf, fuzzy: bool):
     items, _ = narrative.parse_replies(S.replies(spark, sf))
     c = items.select("source_id", "chapter_ix", "item_ix", "item.start", "item.anchor_start_text", F.struct("chapter_ix", "item_ix").alias("ident"))
-    out = narrative.snap_to_text(c, S.transcript(spark, sf), anchor="anchor_start_text", target="start", ident="ident", fuzzy=fuzzy)
+    tr = S.transcript(spark, sf)
+    if not fuzzy:
+        tr = tr.withColumn("text", F.regexp_replace("text", "[^ -~]", "x"))
+    out = narrative.snap_to_text(c, tr, anchor="anchor_start_text", target="start", ident="ident", fuzzy=fuzzy)
     return out.select("source_id", "chapter_ix", F.col("item_ix").cast("bigint").alias("item_ix"), "snapped")
 
 
@@ -578,4 +583,17 @@ def t02(spark, sf):
     return out.select("source_id", F.unix_seconds("first_ts").alias("first_s"), "n")
 
 
+@query(
+    "t04_anchored_pairs",
+    """SELECT a.event_id, epoch_us(s.ts) AS spike_us FROM events a JOIN events s ON a.user_id = s.user_id AND a.event_type = 'purchase' AND s.event_type = 'error'
+  AND s.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR""",
+)
+def t04(spark, sf):
+    ev = _stamped(spark, sf)
+    out = windows.anchored_pairs(
+        ev.where("label = 'ELIMINATED Text'"), ev.where("label = 'audio_combat_spike'"), lookback="6 hours", lookahead="6 hours"
+    )
+    return out.select("event_id", F.unix_micros("spike_ts").alias("spike_us"))
+
+
 __all__ = ["chains"]

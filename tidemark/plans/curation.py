@@ -20,12 +20,10 @@ def uncertain_frames(detections: DataFrame, *, low: float = 0.20, high: float =
 
 def next_uncertain(frames: DataFrame, uncertain: DataFrame, *, frame: str = "frame", width: float = 4096) -> DataFrame:
     """For each frame the next uncertain frame after it, if any."""
-    marks = uncertain.select(KEY, F.col(frame).alias("__m")).distinct()
-    all_rows = frames.select(KEY, F.col(frame).alias("__f")).distinct()
-    both = all_rows.join(marks, (all_rows[KEY] == marks[KEY]) & (F.col("__f") == F.col("__m")), "full").select(
-        F.coalesce(all_rows[KEY], marks[KEY]).alias(KEY), F.coalesce("__f", "__m").alias("__at"),
-        F.col("__f").isNotNull().alias("__ask"), "__m",
-    )
+    at = F.col(frame).alias("__at")
+    asks = frames.select(KEY, at, F.lit(True).alias("__ask"), F.lit(None).cast("bigint").alias("__m"))
+    marks = uncertain.select(KEY, at, F.lit(False).alias("__ask"), F.col(frame).cast("bigint").alias("__m"))
+    both = asks.unionByName(marks).groupBy(KEY, "__at").agg(F.bool_or("__ask").alias("__ask"), F.max("__m").alias("__m"))
     out = scan(
         both, [KEY], ["__at"], {"next_uncertain": next_value(F.col("__m"), inclusive=False)},
         pos="__at", width=width, backward=True,
