@@ -9,9 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("double")
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of two texts (not symmetric); null in, null out."""
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [
             None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
@@ -21,6 +19,14 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def fuzzy_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp ratio of two texts (not symmetric); null in, null out.
+
+    The function is wrapped when called, as a session must exist by then.
+    """
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """Native stand-in: 1 - edit distance / longer length."""
     longer = F.greatest(F.length(a), F.length(b))
