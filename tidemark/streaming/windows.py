@@ -35,10 +35,15 @@ def label_intensity(
 def session_bursts(
     events: DataFrame, *, anchor_label: str = "ELIMINATED Text", gap: str = "30 seconds", delay: str = DELAY
 ) -> DataFrame:
-    """Bursts of anchor events as sessions: a gap of at most ``gap`` joins."""
+    """Bursts of anchor events as sessions: a gap of at most ``gap`` joins.
+
+    The filter names the event time so that it stays above the watermark: all events move
+    the watermark, not just anchors, and the last burst closes without waiting for another.
+    """
+    anchor = F.when(F.col("ts").isNotNull(), F.col("label") == anchor_label)
     return (
         events.withWatermark("ts", delay)
-        .where(F.col("label") == anchor_label)
+        .where(anchor)
         .groupBy("source_id", F.session_window("ts", gap))
         .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     )
