@@ -101,6 +101,21 @@ def test_sliding_clips_do_not_depend_on_bins(skewed):
     assert rows(a) == rows(b)
 
 
+def test_merge_without_slack_equals_the_walk(spark):
+    rng = random.Random(4)
+    data = [(1, i, s, s + rng.choice([0.5, 3.0, 40.0])) for i, s in enumerate(round(rng.uniform(0, 3000), 1) for _ in range(300))]
+    want = []
+    for _, _, s, e in sorted(data, key=lambda r: r[2]):
+        if want and s <= want[-1][1]:
+            want[-1] = (want[-1][0], max(want[-1][1], e), want[-1][2] + 1)
+        else:
+            want.append((s, e, 1))
+    df = spark.createDataFrame(data, "source_id BIGINT, id BIGINT, start DOUBLE, end DOUBLE")
+    got = intervals.merge_intervals(df, {"n": intervals.count()}, start="start", end="end", tie=["id"], width=20.0)
+    assert [(r.start, r.end, r.n) for r in got.orderBy("island_ix").collect()] == want
+    assert [r.island_ix for r in got.orderBy("start").collect()] == list(range(len(want)))
+
+
 def iou(a, b):
     x = max(0.0, min(a[3], b[3]) - max(a[2], b[2]))
     u = (a[3] - a[2]) + (b[3] - b[2]) - x
@@ -158,8 +173,8 @@ def test_changed_texts_equal_the_walk(spark):
                 want.append(i)
                 last = x
     df = spark.createDataFrame(data, "source_id BIGINT, event_id BIGINT, t DOUBLE, text STRING")
-    for width in (1e6, 20.0):
-        assert sorted(r.event_id for r in changed_texts(df, width=width).collect()) == sorted(want)
+    for page in (2048, 9):
+        assert sorted(r.event_id for r in changed_texts(df, width=50.0, page_rows=page).collect()) == sorted(want)
 
 
 def test_chapters_equal_the_walk_on_both_paths(spark):

@@ -601,7 +601,7 @@ def o08(spark, sf):
     return detection.window_frames(S.intervals(spark, sf), fps=10.0, interval_s=1.0, total_frames=30000)
 
 
-@query("o09_negative_sample")
+@query("o09_negative_sample", "SELECT doc_id, quality FROM labels WHERE quality <> 0 OR CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10")
 def o09(spark, sf):
     d = S.table(spark, sf, "labels")
     return select.sample_negatives(d, F.col("quality") == 0, "doc_id").select("doc_id", "quality")

@@ -112,10 +112,14 @@ def s07(spark, sf):
     return sig.select("chunk_ix", F.size("samples").cast("bigint").alias("n"), F.round(total, 5).alias("total"))
 
 
-@query("s08_file_list")
+@query("s08_file_list", sql("SELECT stem, ext, 'label' AS kind FROM lb", "lb"))
 def s08(spark, sf):
-    """The given table files themselves, listed by extension."""
-    return readers.list_files(spark, sf, [".parquet"], kind="table").select("stem", "ext", "kind")
+    """One label file per labelled document is written, then listed by extension."""
+    folder = _scratch()
+    _, lb = S.files(spark, sf)
+    lb.select("stem", F.col("quality").cast("string").alias("value")).write.mode("overwrite").partitionBy("stem").text(folder)
+    found = readers.list_files(spark, folder, [".txt"], kind="label")
+    return found.select(F.regexp_extract("path", "stem=([^/]+)/", 1).alias("stem"), "ext", "kind")
 
 
 @query("s09_class_names", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS ix, n_name AS name FROM nation")
@@ -491,7 +495,12 @@ def j14(spark, sf):
     return out.select("stem", "ext", "quality", F.coalesce("has_label", F.lit(False)).alias("has_label"))
 
 
-@query("e11_curate_dataset")
+@query(
+    "e11_curate_dataset",
+    f"""SELECT stem, reply_class, has_label, CASE WHEN row_number() OVER (ORDER BY md5(stem), stem) <= floor(count(*) OVER () * 0.8e0) THEN 'train' ELSE 'val' END AS split
+FROM (SELECT 'frame_' || doc_id AS stem, true AS has_label, CASE WHEN contains(upper(a), 'YES') THEN 'YES' ELSE 'NO' END AS reply_class FROM (SELECT doc_id, {_ANSWER_SQL} AS a FROM labels)
+  WHERE contains(upper(a), 'YES') OR contains(upper(a), 'NO')) WHERE reply_class = 'YES' OR CAST('0x' || substr(md5(stem), 1, 8) AS BIGINT) % 100 < 10""",
+)
 def e11(spark, sf):
     im, lb = S.files(spark, sf)
     answers = _answers(spark, sf).select(F.concat(F.lit("frame_"), F.col("doc_id").cast("string")).alias("stem"), "answer")

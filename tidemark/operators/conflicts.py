@@ -11,7 +11,7 @@ from tidemark.functions.intervals import iou
 from tidemark.functions.similarity import fold_changed
 from tidemark.operators.intervals import count, merge_intervals
 from tidemark.operators.rangejoin import overlaps, points_in_intervals, spread
-from tidemark.operators.scan import BIN, bin_of, next_value, row_number, running_max, scan
+from tidemark.operators.scan import BIN, next_value, row_number, running_max, scan
 from tidemark.session import cut_lineage
 
 MAX_FOLD = 2048
@@ -169,20 +169,24 @@ def deoverlap(
 
 def changed_texts(
     lines: DataFrame, *, min_chars: int = 4, similarity: float = 0.8, key: str = "source_id",
-    t: str = "t", text: str = "text", tie: str = "event_id", width: float = 600.0,
+    t: str = "t", text: str = "text", tie: str = "event_id", width: float = 600.0, page_rows: int = 2048,
 ) -> DataFrame:
     """Keep a text when it is longer than ``min_chars`` and unlike the last text kept.
 
-    Each (source, time bin) is folded on its own from the text it enters with.  The text a
-    bin leaves with becomes the next bin's entry; only bins whose entry changed are folded
-    again, until nothing changes.  A bin that keeps nothing passes its entry on.
+    A source is cut into pages of ``page_rows`` rows; each is folded on its own from the
+    text it enters with.  The text a page leaves with becomes the next page's entry; only
+    pages whose entry changed are folded again, until nothing changes.  A page that keeps
+    nothing passes its entry on.
     """
-    rows = lines.where(F.length(F.trim(text)) > min_chars).withColumn(BIN, bin_of(F.col(t), width))
+    long = lines.where(F.length(F.trim(text)) > min_chars).select(key, t, tie, text)
+    rows = scan(long, [key], [t, tie], {"__n": row_number()}, pos=t, width=width)
+    rows = rows.withColumn(BIN, F.floor((F.col("__n") - 1) / page_rows).cast("bigint")).drop("__n")
     # a text equal to the one before it is never kept, so runs of copies collapse here
     inside = Window.partitionBy(key, BIN).orderBy(t, tie)
     rows = rows.withColumn("__same", F.trim(text) == F.lag(F.trim(text)).over(inside)).where(
         ~F.coalesce("__same", F.lit(False))
     )
+    rows = cut_lineage(rows)
     schema = f"{key} BIGINT, {BIN} BIGINT, __ids ARRAY<BIGINT>, __exit STRING, __entry STRING"
 
     def run(entries: DataFrame) -> DataFrame:

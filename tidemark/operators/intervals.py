@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
-from tidemark.operators.scan import BIN, bin_of
+from tidemark.operators.scan import BIN, bin_of, last_value, running_max, running_sum, scan
 
 SPIKE = "audio_combat_spike"
 
@@ -65,6 +65,22 @@ def _number(df: DataFrame, part: Sequence[str], order: Sequence[str], rule: Join
     )
 
 
+def _number_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: JoinRule, width: float) -> DataFrame:
+    """As :func:`_number` for sources with any number of rows: two scans instead of one window."""
+    home = df.withColumnRenamed(BIN, "__home")
+    order = ["__home" if c == BIN else c for c in order]
+    seen = scan(
+        home, keys, order,
+        {"__reach": running_max(F.col("__end"), inclusive=False), "__ptail": last_value(F.col("__tail"), inclusive=False)},
+        pos="__start", width=width,
+    )
+    joins = rule(F.col("__reach"), F.col("__ptail"), F.col("__start"), F.col("__head"))
+    fresh = F.when(F.col("__reach").isNull() | ~joins, 1).otherwise(0)
+    return scan(
+        seen.withColumn("__fresh", fresh), keys, order, {"__isl": running_sum(F.col("__fresh"))}, pos="__start", width=width
+    )
+
+
 def islands(
     df: DataFrame,
     rule: JoinRule,
@@ -78,9 +94,13 @@ def islands(
     key: str | Sequence[str] = "source_id",
     width: float = 600.0,
     number: str = "island_ix",
+    apart: bool = True,
 ) -> DataFrame:
     """Merge rows into islands; one row each with start, end, aggregates and a number from 0.
 
+    ``apart`` says that the rule leaves a gap between islands, which bounds their number per
+    source; without it the second step scans in wider bins instead of one window.
+
     ``head`` / ``tail`` are carried from an island's first / last row for rules that look
     at more than time.  ``tie`` orders rows of equal start.
     """
@@ -105,7 +125,8 @@ def islands(
         F.max_by("__tail", place).alias("__tail"),
         *[a.first.alias(n) for n, a in aggs.items()],
     ).withColumnsRenamed({"__s": "__start", "__e": "__end"})
-    wide = _number(small, keys, ["__start", BIN, "__near"], rule)
+    far = ["__start", BIN, "__near"]
+    wide = _number(small, keys, far, rule) if apart else _number_far(small, keys, far, rule, 16 * width)
     out = wide.groupBy(*keys, "__isl").agg(
         F.min("__start").alias("start"),
         F.max("__end").alias("end"),
@@ -259,5 +280,5 @@ def merge_intervals(
     """Merge intervals whose start is at most ``slack_s`` past the running end."""
     return islands(
         df, lambda reach, tail, s, head: s <= reach + F.lit(slack_s), aggs,
-        start=F.col(start), end=F.col(end), tie=tie, key=key, width=width, number=number,
+        start=F.col(start), end=F.col(end), tie=tie, key=key, width=width, number=number, apart=slack_s > 0,
     )

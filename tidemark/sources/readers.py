@@ -19,11 +19,12 @@ STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
 
 def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Whole files; the name is the file's stem, or the folder's ``name=value`` where there is one."""
+    """Whole files with their name (the stem, or ``log=<name>`` of a paged log) and page."""
     where = F.col("_metadata.file_path")
-    folder = F.regexp_extract(where, r"/[^/=]+=([^/=]+)/[^/]+$", 1)
+    log = F.nullif(F.regexp_extract(where, r"/log=([^/]+)/", 1), F.lit(""))
+    page = F.regexp_extract(where, r"/page=(\d+)/", 1).try_cast("bigint")
     return spark.read.text(path, wholetext=True).select(
-        F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract(where, STEM, 1)).alias("file"), F.col("value")
+        F.coalesce(log, F.regexp_extract(where, STEM, 1)).alias("file"), F.coalesce(page, F.lit(0)).alias("page"), F.col("value")
     )
 
 
@@ -33,12 +34,12 @@ def _source_id(file: Column) -> Column:
 
 
 def read_event_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Event tables from JSON arrays of event objects, one file per source."""
+    """Event tables from JSON arrays of event objects, one file (or paged folder) per source."""
     fields = RAW_EVENT.replace(", _corrupt_record STRING", "")
     docs = _documents(spark, path).withColumn("__events", F.from_json("value", f"array<struct<{fields}>>"))
-    return docs.select(
-        _source_id(F.col("file")).alias("source_id"), F.posexplode("__events").alias("event_id", "e")
-    ).select("source_id", F.col("event_id").cast("bigint").alias("event_id"), "e.*")
+    rows = docs.select(_source_id(F.col("file")).alias("source_id"), "page", F.posexplode("__events").alias("pos", "e"))
+    # pages keep their order: page in the upper, position in the lower half
+    return rows.select("source_id", (F.shiftleft("page", 32) + F.col("pos")).alias("event_id"), "e.*")
 
 
 def audio_triples(value: Column) -> Column:

@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import row_number, scan
 
-def write_event_arrays(events: DataFrame, folder: str) -> None:
-    """One JSON array document per source, as the event log reader expects.
 
-    A document is one recording's log and must fit one row; larger logs go to
-    :func:`write_events`, one object per line.
+def write_event_arrays(events: DataFrame, folder: str, *, page_rows: int = 5000, width: float = 600.0) -> None:
+    """JSON array documents as the event log reader expects them, under ``log=<source>/page=<n>``.
+
+    A source is cut into pages of at most ``page_rows`` events, so no document grows with a source.
     """
+    n = scan(events, ["source_id"], ["timestamp_s", "event_id"], {"__n": row_number()}, pos="timestamp_s", width=width)
     record = F.struct("timestamp_s", "label", "confidence", "text")
-    docs = events.groupBy("source_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("timestamp_s", "event_id", record.alias("r")))), lambda x: x["r"]
-        ).alias("rows")
-    )
-    spark_path = docs.select(F.to_json("rows").alias("value"), F.col("source_id").cast("string").alias("log"))
-    spark_path.write.mode("overwrite").partitionBy("log").text(folder)
+    docs = n.groupBy(
+        F.col("source_id").alias("log"), F.floor((F.col("__n") - 1) / page_rows).cast("bigint").alias("page")
+    ).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", record.alias("r")))), lambda x: x["r"]).alias("rows"))
+    docs.select(F.to_json("rows").alias("value"), "log", "page").write.mode("overwrite").partitionBy("log", "page").text(folder)
+
+
+def _spread(df: DataFrame, files: int) -> DataFrame:
+    """Rows of a source over a few tasks: few files per source, and no task holds a whole one."""
+    slot = F.pmod(F.xxhash64(*df.columns), F.lit(files))
+    return df.repartition("source_id", slot)
 
 
-def write_events(events: DataFrame, folder: str, fmt: str = "json") -> None:
+def write_events(events: DataFrame, folder: str, fmt: str = "json", files_per_source: int = 8) -> None:
     """Events split over files by source, one record per line (or parquet)."""
-    events.write.mode("overwrite").partitionBy("source_id").format(fmt).save(folder)
+    _spread(events, files_per_source).write.mode("overwrite").partitionBy("source_id").format(fmt).save(folder)
 
 
-def write_clips(clips: DataFrame, folder: str, fmt: str = "json") -> None:
-    """Clips split over files by source; rows of one source are brought together first."""
-    clips.repartition("source_id").write.mode("overwrite").partitionBy("source_id").format(fmt).save(folder)
+def write_clips(clips: DataFrame, folder: str, fmt: str = "json", files_per_source: int = 4) -> None:
+    """Clips split over files by source."""
+    _spread(clips, files_per_source).write.mode("overwrite").partitionBy("source_id").format(fmt).save(folder)
 
 
 def stage(df: DataFrame, folder: str, name: str, *, refresh: bool = False) -> DataFrame:
