@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
-from tidemark.operators.scan import BIN, bin_of, last_value, running_max, running_sum, scan
+from tidemark.operators.scan import BIN, alike, bin_of, last_value, running_max, running_sum, scan
 
 SPIKE = "audio_combat_spike"
 
@@ -204,13 +204,12 @@ def number_segments(
         {"__at": F.count(F.lit(1)).over(upto), "__seen": F.sum("__c").over(upto)}
     )
     place = F.struct(*order)
-    alike = sum((F.count(F.col(c)) for c in events.columns), F.lit(0))  # as in scan()
     small = (
         near.groupBy(key, BIN, F.col("__isl").alias("__near"))
         .agg(
             F.min("__start").alias("__s"), F.max("__end").alias("__e"), F.min_by("__head", place).alias("__head"),
             F.max_by("__tail", place).alias("__tail"), F.count(F.lit(1)).alias("__n"), F.sum("__c").alias("__k"),
-            alike.alias("__alike"),
+            alike(events.columns).alias("__alike"),
         )
         .where(F.col("__alike") >= 0)
         .withColumnsRenamed({"__s": "__start", "__e": "__end"})

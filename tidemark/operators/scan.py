@@ -89,6 +89,16 @@ def next_value(col: Column, inclusive: bool = True) -> Fold:
     )
 
 
+def alike(columns: Sequence[str]) -> Column:
+    """Count of every column, for a filter that always holds (``>= 0``) on a summary branch.
+
+    It keeps the columns of a detail and a summary branch alike; with the not-null filters
+    a join would infer stated on both, Spark reads and shuffles their common input once and
+    reuses the exchange.
+    """
+    return sum((F.count(F.col(c)) for c in columns), F.lit(0))
+
+
 def scan(
     df: DataFrame,
     key: Sequence[str],
@@ -113,13 +123,9 @@ def scan(
     binned = df.withColumn(BIN, bin_of(position, width)).where(present).repartition(*key, BIN)
     inside = Window.partitionBy(*key, BIN).orderBy(*order)
     local = binned.withColumns({f"__l_{n}": f.local(inside) for n, f in folds.items()})
-    # counting every column, in a filter that always holds, keeps the columns of both
-    # branches alike, and so does stating above what the join would infer for one side
-    # only: Spark then reads and shuffles the input once and reuses the exchange
-    alike = sum((F.count(F.col(c)) for c in df.columns), F.lit(0))
     totals = (
         binned.groupBy(*key, BIN)
-        .agg(*[f.total(order).alias(f"__t_{n}") for n, f in folds.items()], alike.alias("__alike"))
+        .agg(*[f.total(order).alias(f"__t_{n}") for n, f in folds.items()], alike(df.columns).alias("__alike"))
         .where(F.col("__alike") >= 0)
     )
     across = Window.partitionBy(*key).orderBy(BIN)

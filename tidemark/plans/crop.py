@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.spatial import PORTRAIT, crop_box, crop_strategy
 from tidemark.operators.rangejoin import overlaps, points_in_intervals
+from tidemark.operators.scan import alike
 
 KEY = "source_id"
 
@@ -30,22 +31,31 @@ def scene_people(scenes: DataFrame, detections: DataFrame) -> DataFrame:
     count, and only frames with that count take part.  With one such frame its boxes stand.
     """
     boxes = points_in_intervals(
-        detections, scenes.select(KEY, "scene_ix", "start_seconds", "end_seconds"),
+        detections.select(KEY, "frame_ts", "det_ix", "person_box", "face_box"),
+        scenes.select(KEY, "scene_ix", "start_seconds", "end_seconds"),
         t="frame_ts", start="start_seconds", end="end_seconds",
+    ).drop("start_seconds", "end_seconds")
+    scene = [KEY, "scene_ix"]
+    counted = (
+        boxes.where(F.col(KEY).isNotNull() & F.col("scene_ix").isNotNull())
+        .repartition(*scene, "frame_ts")
+        .withColumn("people", F.count(F.lit(1)).over(Window.partitionBy(*scene, "frame_ts")))
     )
-    per_frame = boxes.groupBy(KEY, "scene_ix", "frame_ts").agg(F.count(F.lit(1)).alias("people"))
     # frames of equal count are summed, so a scene ranks at most as many rows as distinct counts
-    per_count = per_frame.groupBy(KEY, "scene_ix", "people").agg(F.count(F.lit(1)).alias("frames"))
-    w = Window.partitionBy(KEY, "scene_ix")
+    per_count = (
+        counted.groupBy(*scene, "people")
+        .agg((F.count(F.lit(1)) / F.col("people")).cast("bigint").alias("frames"), alike(boxes.columns).alias("__alike"))
+        .where(F.col("__alike") >= 0)
+    )
+    w = Window.partitionBy(*scene)
     upto = F.sum("frames").over(w.orderBy("people"))
     middle = F.floor(F.sum("frames").over(w) / 2)
     typical = (
         per_count.withColumns({"__upto": upto, "__mid": middle})
         .where((F.col("__mid") < F.col("__upto")) & (F.col("__mid") >= F.col("__upto") - F.col("frames")))
-        .select(KEY, "scene_ix", "people")
+        .select(*scene, "people")
     )
-    chosen = per_frame.join(typical, [KEY, "scene_ix", "people"])
-    rows = boxes.join(chosen, [KEY, "scene_ix", "frame_ts"])
+    rows = counted.join(typical, [*scene, "people"])
 
     def mean(box: str, i: int):
         return F.avg(F.get(box, F.lit(i))).cast("int")

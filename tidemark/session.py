@@ -28,15 +28,15 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder and go on from the copy.
 
-    The cluster names the folder in ``spark.checkpoint.dir``.  Only where that is
-    unset (a test session) a temporary folder is used.  The copy survives the loss of
-    executors, unlike block-manager copies.
+    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (a
+    test session) a temporary one is taken.  The copy survives the loss of executors,
+    unlike block-manager copies.  Callers select
+    the few columns they need first, as a checkpoint is read whole.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(_CHECKPOINT_KEY, None)
+        folder = df.sparkSession.conf.get(_CHECKPOINT_KEY, None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
