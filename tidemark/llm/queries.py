@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import compress, fingerprint, mixture, quality, secrets
+from tidemark.llm import compress, fingerprint, mixture, pieces, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.secret_scan,
     "op3_document_fingerprints": fingerprint.document_fingerprints,
     "op4_quality_rules": quality.quality_rules,
+    "op6_sentencepiece_codes": pieces.sentencepiece_codes,
     "op7_language_id": compress.language_id,
     "op9_quality_classifier": compress.quality_classifier,
     "op10_source_mix": mixture.source_mix,
