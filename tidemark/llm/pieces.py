@@ -76,7 +76,8 @@ class PieceModel:
         # Unused ranks carry a huge negative score; they keep their place at the end of the order.
         rank = np.clip(-raw[own], 0, 4 * n)
         score[own] = -np.log(rank + 2.7) - np.log((1 / (rank + 2.7)).sum()) if ranked else raw[own]
-        return PieceModel.build(pieces, score, byte_id, texts)
+        # Scores on a binary grid have exact sums, so that ties are ties whatever the order of addition.
+        return PieceModel.build(pieces, np.round(score * 2**20) / 2**20, byte_id, texts)
 
     @staticmethod
     def build(pieces: list[tuple[bytes, int]], score: np.ndarray, byte_id: np.ndarray, texts: list[bytes]) -> PieceModel:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import compress, fingerprint, mixture, pieces, quality, secrets
+from tidemark.llm import compress, fingerprint, mixture, ngram_join, pieces, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.secret_scan,
+    "op2_ngram_jaccard_join": ngram_join.ngram_jaccard_join,
     "op3_document_fingerprints": fingerprint.document_fingerprints,
     "op4_quality_rules": quality.quality_rules,
     "op6_sentencepiece_codes": pieces.sentencepiece_codes,
