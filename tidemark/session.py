@@ -27,16 +27,27 @@ def local_session(cores: int | str = 8, app: str = "tidemark", **conf: str) -> S
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset, as tests do; it then gets a temporary one.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get(_CHECKPOINT_KEY, None)
+        if folder is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the copy.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset (a
-    test session) a temporary one is taken.  The copy survives the loss of executors,
-    unlike block-manager copies.  Callers select
+    The copy survives the loss of executors, unlike block-manager copies.  Callers select
     the few columns they need first, as a checkpoint is read whole.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get(_CHECKPOINT_KEY, None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
