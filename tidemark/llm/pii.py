@@ -25,16 +25,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import doc_rows, documents
+from tidemark.llm.text import doc_rows, documents, where_made
 from tidemark.session import cut_lineage
 
 # The base kinds in the order of listing, and their patterns.  Repetitions are
-# possessive where nothing that follows could take a character back; the matches are the same,
-# and the matcher needs no stack for long ones.
+# possessive where nothing that follows could take a character back, and a run is tried from its
+# first character or from the end of the match before, as a later start finds nothing else; the
+# matches are the same, and the matcher needs no stack and one pass for long runs.
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -168,13 +169,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def contexts(keyed: DataFrame, p: PiiParams = DEFAULT) -> DataFrame:
     """One row per line with spans: its place in the text, the line, its values and its terms."""
-    rows = keyed.where(F.size("spans") > 0)
+    rows = where_made(keyed, F.size("spans") > 0)
     starts = F.concat(F.array(F.lit(0)), F.transform(matches(F.col("text"), F.lit("\n")), lambda z: z["e"]))
     lines = rows.withColumn("starts", starts).withColumn("lines", F.split("text", "\n", -1))
     each = lines.select("doc_id", "text_hash", "spans", "starts", F.posexplode("lines").alias("i", "line"))
     each = each.withColumn("at", F.get("starts", F.col("i")))
     here = F.filter("spans", lambda z: (z["s"] >= F.col("at")) & (z["s"] < F.col("at") + F.char_length("line")))
-    each = each.withColumn("here", here).where(F.size("here") > 0)
+    each = where_made(each.withColumn("here", here), F.size("here") > 0)
     values = F.array_distinct(F.transform("here", lambda z: F.concat_ws(":", z["kind"], z["v"])))
     words = F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda t: F.char_length(t) >= p.term_chars)
     each = each.select("doc_id", "text_hash", "at", "line", "here", values.alias("values"), F.array_distinct(words).alias("terms"))
@@ -193,6 +194,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, p: PiiParams = DEFAULT)
     pairs = pairs.groupBy("entity", "n_e", "term").agg(
         F.countDistinct("line_hash").alias("lines"), F.countDistinct("doc_id", "text_hash").alias("n_te")
     ).where(F.col("lines") >= p.support)
+    # PMI cannot reach its bar for a term of more than n(t, e) (N / n(e)) ** (1 - share) documents;
+    # a count over the contexts alone already rules the frequent words out.
+    total = float(docs.count())
+    around = found.select("doc_id", "text_hash", F.explode("terms").alias("term")).groupBy("term").agg(
+        F.countDistinct("doc_id", "text_hash").alias("n_around")
+    )
+    most = F.col("n_te") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - p.share))
+    pairs = pairs.join(around, "term").where(F.col("n_around") <= most)
     pairs = cut_lineage(pairs.select("entity", "n_e", "term", "n_te"))
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
@@ -202,7 +211,6 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, p: PiiParams = DEFAULT)
     counts = words.join(F.broadcast(terms) if n_terms <= p.broadcast_terms else terms, "term").groupBy("term").agg(
         F.count(F.lit(1)).alias("n_t")
     )
-    total = float(docs.count())
     pmi = F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e")))
     told = pairs.join(counts, "term").select("entity", "term", pmi.alias("pmi"), F.log(F.lit(total) / F.col("n_e")).alias("ic"))
     return told.where((F.col("ic") > 0) & (F.col("pmi") >= p.share * F.col("ic")))
