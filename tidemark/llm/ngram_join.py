@@ -3,14 +3,15 @@
 A document is the set of its five-word shingles.  In every run each set samples those of its
 tokens whose hash is below branch / (threshold x size); sets that sample the same token share
 a bucket.  Two sets of Jaccard similarity s >= threshold share branch * s / threshold sampled
-tokens of a run on average.  A bucket of more than ``small`` sets is split again by the tokens
-that its sets sampled for the next run, and so on; small ones are compared by brute force.  The
+tokens of a run on average.  A bucket of more than ``small`` sets is split again by tokens that
+its sets sampled for the next run, one on average at the threshold, so that sets that share less die
+out; small buckets are compared by brute force.  The
 number of runs follows from the target recall.
 
 * Copies: documents with the same set are one node with a number of documents and of texts, made
   by a map-side aggregation before anything else, so that a group of exact copies is one row.
-* Near copies: when a part holds half of its bucket or more, splitting does not tell its sets
-  apart.  Each set of such dense buckets gets one home, the largest of its dense buckets, and
+* Near copies: splitting does not tell sets apart that are similar on average.  Each set of such
+  dense buckets, and of those that are large at the last level, gets one home, the largest of its dense buckets, and
   homes that meet in a bucket are compared block by block, every pair once.  A task holds two
   blocks of bounded size; it adds up the links of each set and ties sets that belong together, so
   that rows grow with the sets, not with the pairs.
@@ -50,7 +51,10 @@ class JoinParams:
     target_recall: float = 0.9999
     min_runs: int = 8
     small: int = 64
-    max_depth: int = 6
+    max_depth: int = 8
+    #: A large bucket whose sets are so similar on average is compared as it is.
+    dense: float = 0.4
+    dense_bins: int = 8
     block_sets: int = 512
     block_tokens: int = 400_000
     #: Sketch similarity below which a pair is not fetched: five deviations under the threshold.
@@ -88,11 +92,13 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def sampled(tokens: np.ndarray, run: int, p: JoinParams) -> np.ndarray:
-    """Bucket keys of the tokens that the set samples in a run."""
+    """Bucket keys of the tokens that the set samples in a run; odd ones also split large buckets."""
     draw = mix(tokens ^ mix(np.array([p.seed * 1000 + run], np.uint64)))
-    bar = p.branch / (p.threshold * len(tokens)) if len(tokens) else 0.0
+    bar = p.branch / (p.threshold * len(tokens))
     chosen = draw if bar >= 1 else draw[draw < np.uint64(int(bar * 2**64))]
-    return mix(chosen + np.uint64(run)).view(np.int64)
+    deep = bar / p.branch  # the bar of the later levels, which must tell sets under the threshold apart
+    low = chosen < np.uint64(min(int(deep * 2**64), 2**64 - 1))
+    return (mix(chosen + np.uint64(run)) & ~np.uint64(1) | low).view(np.int64)
 
 
 def _signed(x: np.ndarray) -> int:
@@ -162,17 +168,17 @@ def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | No
         if depth == p.max_depth:
             dense.append(big.select("path", "node", "n"))
             break
-        tokens = nodes.select("node", "keys")
-        parts = big.join(tokens, "node").select(
-            "path", "run", "node", "n", F.explode(F.get("keys", (F.col("run") + depth) % p.runs)).alias("k")
-        ).withColumn("child", F.xxhash64("path", "k")).select("path", "run", "node", "n", "child")
-        parts = cut_lineage(parts)
-        part_sizes = parts.groupBy("path", "child").agg(F.count(F.lit(1)).alias("m"))
-        largest = part_sizes.groupBy("path").agg(F.max("m").alias("m"))
-        split = big.select("path", "n").groupBy("path").agg(F.first("n").alias("n")).join(largest, "path", "left")
-        split = split.select("path", (2 * F.coalesce(F.col("m"), F.lit(0)) >= F.col("n")).alias("stuck"))
-        dense.append(big.join(split.where("stuck"), "path", "left_semi").select("path", "node", "n"))
-        rows = parts.join(split.where("NOT stuck"), "path", "left_semi").select(F.col("child").alias("path"), "run", "node")
+        big = big.join(nodes.select("node", "keys", "sketch"), "node")
+        # Average similarity of a bucket's sets, from a few bytes of their sketches.
+        tried = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("sketch", k + 1, F.lit(1)).alias("v")) for k in range(0, BINS, BINS // p.dense_bins)])
+        alike = big.select("path", "n", F.explode(tried).alias("t")).where(F.col("t.v") != F.lit(b"\0"))
+        alike = alike.groupBy("path", "t").agg(F.count(F.lit(1)).cast("double").alias("c"), F.first("n").alias("n"))
+        alike = alike.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (p.dense_bins * F.first("n") * F.first("n"))).alias("mean"))
+        stuck = cut_lineage(alike.where(F.col("mean") >= p.dense).select("path"))
+        dense.append(big.join(stuck, "path", "left_semi").select("path", "node", "n"))
+        odd = F.filter(F.get("keys", (F.col("run") + depth) % p.runs), lambda k: k.bitwiseAND(F.lit(1)) == 1)
+        parts = big.join(stuck, "path", "left_anti").select("path", "run", "node", F.explode(odd).alias("k"))
+        rows = parts.select(F.xxhash64("path", "k").alias("path"), "run", "node")
     whole = small[0]
     for s in small[1:]:
         whole = whole.union(s)
