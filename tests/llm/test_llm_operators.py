@@ -158,7 +158,8 @@ def test_secret_spans(spark):
         4: f"{prose} {key} {prose}", 5: "secret=tooth secret=toothy", 6: prose, 7: "TOKEN==abcdef apiKey:'123456'",
     }
     docs = spark.createDataFrame([*texts.items()], "doc_id BIGINT, text STRING")
-    rows = {r["doc_id"]: r for r in secrets.scan_secrets(docs, secrets.learn(docs)).collect()}
+    ratio = secrets.learn(docs.where("doc_id <> 4"))
+    rows = {r["doc_id"]: r for r in secrets.scan_secrets(docs, ratio).collect()}
     assert [rows[i]["n_assign"] for i in (1, 5, 7)] == [1, 1, 2]
     assert rows[2]["n_access"] == 1 and rows[3]["n_hex"] == 1
     assert rows[1]["spans"] == f"assign:{texts[1].index('Password')}:{texts[1].index(chr(34) + ' end')}"
@@ -166,7 +167,7 @@ def test_secret_spans(spark):
     at = texts[4].index(key)
     assert rows[4]["spans"] == f"random:{at}:{at + len(key)}"
     assert rows[6]["spans"] == ""
-    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, secrets.learn(docs)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs, ratio).collect()}
     assert key not in clean[4] and clean[6] == prose
 
 

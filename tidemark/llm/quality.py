@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import SPACE_CLASS, WORD
+from tidemark.llm.text import SPACE_CLASS, WORD, where_made
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW_WORDS = 3
@@ -141,7 +141,8 @@ def apply_policy(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     name = "__ledger"
     while name in docs.columns:
         name += "_"
-    return ledger(docs, name).where(passes(F.col(name)["failure_bits"], version)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = where_made(ledger(docs, name), passes(F.col(name)["failure_bits"], version))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablations(entries: DataFrame, bits: str = "failure_bits") -> DataFrame:

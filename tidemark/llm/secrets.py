@@ -1,8 +1,8 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order models over the bytes of token characters are trained from labelled samples:
-``random`` from values that the patterns mark as secrets and from generated random strings, and
-``ordinary`` from all other text.  Counts cover every row; they are summed per Arrow batch, so that
+``random`` from values that the patterns mark as secrets and, in equal parts, from generated
+random strings, and ``ordinary`` from all other text.  Counts cover every row; they are summed per Arrow batch, so that
 one small matrix per batch is shuffled and 2 x K x K numbers reach the driver, whatever the
 input.  A candidate is a run of ``min_chars`` token characters or more outside the pattern
 spans; it is reported as kind ``random`` when its log-likelihood ratio is at least ``min_total``
@@ -49,8 +49,8 @@ class SecretParams:
     min_total: float = 16.0
     min_each: float = 0.6
     smoothing: float = 0.5
-    #: Generated random strings per row of training text, each of 32 characters.
-    generated: bool = True
+    #: Generated random strings of 32 characters; they weigh as much as the values found in the corpus.
+    generated: int = 4096
 
 
 DEFAULT = SecretParams()
@@ -92,15 +92,14 @@ def _train(p: SecretParams):
                 for s, kind, e in found:
                     m = _ASSIGN.match(b, s) if kind == 0 else None
                     secret.append(m[2] if m else b[s:e])
-                totals[1] += _sparse(secret) if secret else 0
+                if secret:
+                    totals[1] += _pair_counts(secret)
                 at, rest = 0, []
                 for s, _, e in found:
                     rest.append(b[at:s])
                     at = max(at, e)
                 rest.append(b[at:])
                 totals[0] += _pair_counts(rest)
-                if p.generated and b:
-                    totals[1] += _sparse([_random_string(b)])
         label, pair = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(totals[label, pair])],
@@ -110,10 +109,6 @@ def _train(p: SecretParams):
     return run
 
 
-def _sparse(pieces: list[bytes]) -> np.ndarray:
-    return _pair_counts(pieces)
-
-
 def transition_counts(docs: DataFrame, p: SecretParams = DEFAULT) -> DataFrame:
     """label (1 random, 0 ordinary), pair (class * K + next class), n: over all rows."""
     parts = doc_rows(docs).select("text").mapInArrow(_train(p), "label int, pair int, n long")
@@ -121,16 +116,21 @@ def transition_counts(docs: DataFrame, p: SecretParams = DEFAULT) -> DataFrame:
 
 
 def ratio_matrix(counts: list, p: SecretParams = DEFAULT) -> np.ndarray | None:
-    """Log-likelihood ratio of every transition, or None when one of the models saw nothing."""
-    table = np.zeros((2, K, K))
+    """Log-likelihood ratio of every transition, or None when there is no ordinary text."""
+    table = np.zeros((3, K, K))
     for label, pair, n in counts:
         table[label, pair // K, pair % K] = n
+    table[2] = _pair_counts([_random_string(b"%d" % i) for i in range(p.generated)]).reshape(K, K)
     table[:, 0, 0] = 0  # between tokens nothing is told
-    if table[0].sum() == 0 or table[1].sum() == 0:
+    if table[0].sum() == 0 or table[1:].sum() == 0:
         return None
-    table += p.smoothing
-    log = np.log(table / table.sum(axis=2, keepdims=True))
-    return log[1] - log[0]
+    seen = table.sum(axis=(1, 2)) > 0
+    # Transitions are smoothed towards how frequent the next class is at all, so that a character
+    # that a model never saw is judged by what follows it elsewhere.
+    single = table.sum(axis=1, keepdims=True) + p.smoothing
+    table += p.smoothing * K * single / single.sum(axis=2, keepdims=True)
+    share = table / table.sum(axis=2, keepdims=True)
+    return np.log(share[1:][seen[1:]].mean(axis=0)) - np.log(share[0])
 
 
 def random_spans(text: bytes, base: list, ratio: np.ndarray, p: SecretParams, finder: re.Pattern) -> list:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -35,6 +35,16 @@ def doc_rows(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+def where_made(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are costly to make.
+
+    The optimizer moves a plain filter below the projections that make its columns and so has
+    them made again, once per mention; it leaves a filter on a running number where it is.
+    """
+    fence = "__fence"
+    return df.withColumn(fence, F.monotonically_increasing_id()).where(condition & (F.col(fence) >= 0)).drop(fence)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly."""
     x = x.astype(np.uint64, copy=True)
