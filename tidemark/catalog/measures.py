@@ -219,7 +219,7 @@ def _in_clips(spark, sf):
 @query(
     "f12_anchor_filter",
     sql(
-        "SELECT source_id, chapter_ix, anchor FROM (SELECT source_id, chapter_ix, CASE chapter_ix % 3 WHEN 0 THEN 'first four words exactly' WHEN 1 THEN '' ELSE substr(reply, 1, 30) END AS anchor FROM rp) WHERE anchor <> '' AND anchor NOT IN ('first four words exactly', 'last four words exactly')",
+        "SELECT source_id, chapter_ix, anchor FROM (SELECT source_id, chapter_ix, CASE chapter_ix % 3 WHEN 0 THEN 'first four words exactly' WHEN 1 THEN '' ELSE reply END AS anchor FROM rp) WHERE anchor <> '' AND anchor NOT IN ('first four words exactly', 'last four words exactly')",
         "rp",
     ),
 )
@@ -229,7 +229,7 @@ def f12(spark, sf):
     m = F.col("chapter_ix") % 3
     rp = S.replies(spark, sf).select(
         "source_id", "chapter_ix",
-        F.when(m == 0, "first four words exactly").when(m == 1, "").otherwise(F.substring("reply", 1, 30)).alias("anchor"),
+        F.when(m == 0, "first four words exactly").when(m == 1, "").otherwise(F.col("reply")).alias("anchor"),
     )
     return rp.where(has_anchor(F.col("anchor")))
 
@@ -593,12 +593,14 @@ def o07(spark, sf):
 @query(
     "o08_distinct_frames",
     sql(
-        """SELECT DISTINCT source_id, f AS frame FROM (SELECT source_id, unnest(range(a - a % 10, b, 10)) AS f FROM (SELECT source_id, CAST(floor(start * 10) AS BIGINT) AS a, least(CAST(floor("end" * 10) AS BIGINT), 30000) AS b FROM iv))""",
+        """SELECT DISTINCT source_id, f AS frame FROM (SELECT source_id, unnest(range(a - a % 10, b, 10)) AS f FROM (SELECT source_id, CAST(floor(start * 10) AS BIGINT) AS a, least(CAST(floor("end" * 10) AS BIGINT), CAST(floor(length_s * 10) AS BIGINT)) AS b FROM (SELECT *, max(start) OVER (PARTITION BY source_id) AS length_s FROM iv)))""",
         "iv",
     ),
 )
 def o08(spark, sf):
-    return detection.window_frames(S.intervals(spark, sf), fps=10.0, interval_s=1.0, total_frames=30000)
+    iv = S.intervals(spark, sf)
+    windows = iv.join(iv.groupBy("source_id").agg(F.max("start").alias("length_s")), "source_id")
+    return detection.window_frames(windows, fps=10.0, interval_s=1.0, total_frames=F.floor(F.col("length_s") * 10).cast("bigint"))
 
 
 @query("o09_negative_sample", "SELECT doc_id, quality FROM labels WHERE quality <> 0 OR CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10")

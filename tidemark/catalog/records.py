@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,12 +14,14 @@ from tidemark.functions import text as T
 from tidemark.operators import chains, rangejoin
 from tidemark.operators.scorer import score_batches
 from tidemark.plans import crop, curation, narrative
+from tidemark.session import shared_folder
 from tidemark.sources import params, readers, sinks
 from tidemark.streaming import windows
 
 
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def _scratch(spark) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # ---------------------------------------------------------------- sources
@@ -31,7 +33,7 @@ def _scratch() -> str:
 )
 def s01(spark, sf):
     """Write the events as JSON arrays, one document per source, and read them back."""
-    folder = _scratch()
+    folder = _scratch(spark)
     sinks.write_event_arrays(S.events(spark, sf), folder)
     out = readers.read_event_logs(spark, folder)
     return out.select("source_id", "timestamp_s", "label", F.round("confidence", 6).alias("confidence"), "text")
@@ -103,7 +105,7 @@ def s06(spark, sf):
     "SELECT vec_id AS chunk_ix, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings",
 )
 def s07(spark, sf):
-    folder = _scratch()
+    folder = _scratch(spark)
     S.table(spark, sf, "embeddings").select(
         F.col("label").cast("bigint").alias("source_id"), F.col("vec_id").alias("chunk_ix"), F.col("embedding").alias("samples")
     ).write.mode("overwrite").parquet(folder)
@@ -115,7 +117,7 @@ def s07(spark, sf):
 @query("s08_file_list", sql("SELECT stem, ext, 'label' AS kind FROM lb", "lb"))
 def s08(spark, sf):
     """One label file per labelled document is written, then listed by extension."""
-    folder = _scratch()
+    folder = _scratch(spark)
     _, lb = S.files(spark, sf)
     lb.select("stem", F.col("quality").cast("string").alias("value")).write.mode("overwrite").partitionBy("stem").text(folder)
     found = readers.list_files(spark, folder, [".txt"], kind="label")
@@ -143,14 +145,14 @@ def s10(spark, sf):
 
 @query("k01_clip_sink", sql("SELECT source_id, clip_id, start_time, end_time FROM cp", "cp"))
 def k01(spark, sf):
-    folder = _scratch()
+    folder = _scratch(spark)
     sinks.write_clips(S.clips(spark, sf).select("source_id", "clip_id", "start_time", "end_time"), folder)
     return spark.read.schema("clip_id BIGINT, start_time DOUBLE, end_time DOUBLE, source_id BIGINT").json(folder)
 
 
 @query("k02_stage_checkpoint", sql("SELECT source_id, id, score FROM iv", "iv"))
 def k02(spark, sf):
-    folder = _scratch()
+    folder = _scratch(spark)
     iv = S.intervals(spark, sf).select("source_id", "id", "score")
     sinks.stage(iv, folder, "scored")
     # the second call finds the finished stage and does not run its input
@@ -273,11 +275,11 @@ def e07(spark, sf):
     )
 
 
-_PICK = """pick AS (SELECT conv_id AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pick_no, 'clip_' || (turn % 4) AS clip_id FROM conversations WHERE turn < 5)"""
+_PICK = """pick AS (SELECT conv_id AS source_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pick_no, 'clip_' || (turn % 4) AS clip_id FROM conversations)"""
 
 
 def _picks(spark, sf):
-    conv = S.table(spark, sf, "conversations").where("turn < 5")
+    conv = S.table(spark, sf, "conversations")
     return conv.select(
         F.col("conv_id").alias("source_id"), (F.col("turn") + 1).alias("pick_no"),
         F.concat(F.lit("clip_"), (F.col("turn") % 4).cast("string")).alias("clip_id"),
@@ -542,7 +544,7 @@ def u01(spark, sf):
     "u02_custom_weights",
     sql(
         """SELECT event_id, CASE WHEN label = 'Teammate' THEN 0e0 ELSE 5e-1 + CASE label WHEN 'ELIMINATED Text' THEN 8e0 WHEN 'Floating Damage Numbers' THEN 3e0 ELSE 0e0 END
-  + CASE WHEN combat THEN 1e0 ELSE 0e0 END END AS score FROM (SELECT *, CASE WHEN regexp_matches(coalesce(text, ''), '\\+\\d') THEN 1 ELSE 0 END AS plus FROM sev) WHERE plus = 0""",
+  + CASE WHEN combat THEN 1e0 ELSE 0e0 END + coalesce(TRY_CAST(regexp_extract(coalesce(text, ''), '\\+(\\d+)', 1) AS DOUBLE) * 1e-1, 0e0) END AS score FROM sev""",
         "sev",
     ),
 )
@@ -553,8 +555,7 @@ def u02(spark, sf):
         "base_score": 0.5, "combat_bonus": 1.0, "high_confidence_bonus": 0.0, "squad_wipe_bonus": 0.0, "elimination_bonus": 0.0,
         "label_bonuses": {"ELIMINATED Text": 8.0, "Floating Damage Numbers": 3.0, "audio_combat_spike": -2.0},
     }
-    ev = S.events(spark, sf).where(~F.coalesce(F.col("text"), F.lit("")).rlike(r"\+\d"))
-    return ev.select("event_id", intensity(F.col("label"), F.col("confidence"), F.col("text"), w).alias("score"))
+    return S.events(spark, sf).select("event_id", intensity(F.col("label"), F.col("confidence"), F.col("text"), w).alias("score"))
 
 
 # ---------------------------------------------------------------- streams (batch run of the same plan)

@@ -81,16 +81,17 @@ view("au", "SELECT source_id, timestamp_s, label, confidence AS score FROM ev WH
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).where(F.col("value") > 1).select(
+    """One interval per event, at least a second long."""
+    return events(spark, sf).select(
         "source_id", F.col("event_id").alias("id"), F.col("timestamp_s").alias("start"),
-        (F.col("timestamp_s") + F.col("value")).alias("end"), F.col("value").alias("score"),
+        (F.col("timestamp_s") + F.greatest("value", F.lit(1.0))).alias("end"), F.col("value").alias("score"),
     )
 
 
 view(
     "iv",
-    """SELECT source_id, event_id AS id, timestamp_s AS start, timestamp_s + value AS "end", value AS score
-FROM ev WHERE value > 1""",
+    """SELECT source_id, event_id AS id, timestamp_s AS start, timestamp_s + greatest(value, 1e0) AS "end", value AS score
+FROM ev""",
     "ev",
 )
 
@@ -184,13 +185,13 @@ SOUNDS = (
 
 
 def chunk_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Nine labels for each of seven chunks per vector; a chunk lasts one second."""
+    """Up to nine labels for each of eight chunks per vector; a chunk lasts one second."""
     emb = table(spark, sf, "embeddings")
-    flat = emb.select("vec_id", F.posexplode("embedding").alias("i", "x")).where(F.col("i") < 63)
+    flat = emb.select("vec_id", F.posexplode("embedding").alias("i", "x"))
     names = F.array(*[F.lit(s) for s in SOUNDS])
     return flat.select(
         F.floor(F.col("vec_id") / 100).cast("bigint").alias("source_id"),
-        (F.col("vec_id") % 100 * 7 + F.floor(F.col("i") / 9)).alias("chunk_ix"),
+        (F.col("vec_id") % 100 * 8 + F.floor(F.col("i") / 9)).alias("chunk_ix"),
         F.get(names, F.col("i") % 9).alias("label"),
         F.abs(F.col("x").cast("double")).alias("score"),
     )
@@ -198,10 +199,10 @@ def chunk_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 view(
     "cl",
-    """SELECT vec_id // 100 AS source_id, vec_id % 100 * 7 + i // 9 AS chunk_ix,
+    """SELECT vec_id // 100 AS source_id, vec_id % 100 * 8 + i // 9 AS chunk_ix,
   ['Gunshot, gunfire', 'Explosion', 'Speech', 'Music', 'Bang', 'Silence', 'Machine gun', 'Laughter', 'Wind'][i % 9 + 1] AS label,
   abs(CAST(embedding[i + 1] AS DOUBLE)) AS score
-FROM embeddings, (SELECT unnest(range(63)) AS i)""",
+FROM embeddings, (SELECT unnest(range(64)) AS i)""",
 )
 
 
@@ -290,12 +291,14 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     """Model replies rendered from turns: thinking, fences, missing keys, broken ones."""
     conv = table(spark, sf, "conversations")
     n, turn = F.length("text"), F.col("turn")
-    word = F.regexp_replace(F.substring("text", 1, 24), "[^A-Za-z ]", "")
+    word = F.regexp_replace("text", "[^A-Za-z ]", "")
 
     def item(shift: int) -> F.Column:
         start = turn * 40 + shift
+        # some models quote numbers, and some write words
+        written = F.when(turn % 4 == 1, F.concat(F.lit('"'), start.cast("string"), F.lit('"'))).when(turn % 7 == 6, F.lit('"soon"'))
         return F.concat(
-            F.lit('{"clip_title": "'), word, F.lit('", "start": '), start.cast("string"), F.lit(', "end": '),
+            F.lit('{"clip_title": "'), word, F.lit('", "start": '), written.otherwise(start.cast("string")), F.lit(', "end": '),
             (start + 10 + n % 100).cast("string"), F.lit(', "anchor_start_text": "'), word,
             F.lit('", "virality_metrics": {"hook_strength": '), (n % 97).cast("string"),
             F.when(turn % 3 != 0, F.concat(F.lit(', "retention_potential": '), (n % 89).cast("string"))).otherwise(""),
@@ -317,7 +320,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_ITEM = """'{"clip_title": "' || word || '", "start": ' || (turn * 40 + @) || ', "end": ' || (turn * 40 + @ + 10 + n % 100)
+_ITEM = """'{"clip_title": "' || word || '", "start": ' || CASE WHEN turn % 4 = 1 THEN '"' || (turn * 40 + @) || '"' WHEN turn % 7 = 6 THEN '"soon"' ELSE CAST(turn * 40 + @ AS VARCHAR) END || ', "end": ' || (turn * 40 + @ + 10 + n % 100)
   || ', "anchor_start_text": "' || word || '", "virality_metrics": {"hook_strength": ' || (n % 97)
   || CASE WHEN turn % 3 <> 0 THEN ', "retention_potential": ' || (n % 89) ELSE '' END || '}'
   || CASE WHEN turn % 2 = 0 THEN ', "padding": {"start_buffer": 7.5}' ELSE '' END || '}'"""
@@ -328,7 +331,7 @@ view(
   WHEN 3 THEN '[{{bad ' || word || ']' ELSE body END AS reply
 FROM (SELECT *, '[' || {_ITEM.replace("@", "0")} || ', ' || {_ITEM.replace("@", "3")} || ']' AS body
   FROM (SELECT conv_id AS source_id, turn AS chapter_ix, turn, length(text) AS n,
-    regexp_replace(substr(text, 1, 24), '[^A-Za-z ]', '', 'g') AS word FROM conversations))""",
+    regexp_replace(text, '[^A-Za-z ]', '', 'g') AS word FROM conversations))""",
 )
 
 

@@ -125,7 +125,7 @@ cand AS (SELECT source_id, chapter_ix, item_ix, item.clip_title AS clip_title, i
   item.anchor_start_text AS anchor_start_text, item.padding.start_buffer AS pad,
   (coalesce(item.virality_metrics.hook_strength, 50) + 50 + coalesce(item.virality_metrics.retention_potential, 50)) / 3 AS narrative FROM it)"""
 _SCORED = _ITEMS + """,
-hy AS (SELECT c.*, CASE WHEN duration < 15 THEN 'too_short' WHEN duration > 90 THEN 'too_long' ELSE 'accepted' END AS status,
+hy AS (SELECT c.*, CASE WHEN duration IS NULL THEN 'bad_timestamps' WHEN duration < 15 THEN 'too_short' WHEN duration > 90 THEN 'too_long' ELSE 'accepted' END AS status,
   (SELECT count(*) FROM sc WHERE sc.source_id = c.source_id AND sc.t BETWEEN c.start AND c."end") AS screens,
   (SELECT count(*) FROM tr WHERE tr.source_id = c.source_id AND tr.start BETWEEN c.start AND c."end") AS lines,
   (SELECT count(*) FROM tr WHERE tr.source_id = c.source_id AND tr.start BETWEEN c.start AND c."end" AND loudness = 'Loud') AS loud,
@@ -155,20 +155,25 @@ def p11(spark, sf):
     return out.where("status = 'accepted'").select("source_id", "chapter_ix", F.col("item_ix").cast("bigint").alias("item_ix"), "hybrid_score")
 
 
+def _with_length(iv):
+    """Intervals with the length of their recording: here, its last event."""
+    return iv.join(iv.groupBy("source_id").agg(F.max("start").alias("length_s")), "source_id")
+
+
 @query(
     "p12_padding",
     sql(
         """SELECT id, round(greatest(0e0, start - greatest(0e0, least(coalesce(ps, 3e-1), 5e0))), 6) AS s,
-  round(least(3000e0, "end" + greatest(0e0, least(coalesce(pe, 15e-1), 5e0))), 6) AS e
-FROM (SELECT *, CASE WHEN id % 4 > 0 THEN score - 20 END AS ps, CASE WHEN id % 5 > 0 THEN score / 30 END AS pe FROM iv)""",
+  round(least(length_s, "end" + greatest(0e0, least(coalesce(pe, 15e-1), 5e0))), 6) AS e
+FROM (SELECT *, CASE WHEN id % 4 > 0 THEN score - 20 END AS ps, CASE WHEN id % 5 > 0 THEN score / 30 END AS pe, max(start) OVER (PARTITION BY source_id) AS length_s FROM iv)""",
         "iv",
     ),
 )
 def p12(spark, sf):
-    iv = S.intervals(spark, sf)
+    iv = _with_length(S.intervals(spark, sf))
     ps = F.when(F.col("id") % 4 > 0, F.col("score") - 20)
     pe = F.when(F.col("id") % 5 > 0, F.col("score") / 30)
-    s, e = scoring.padded_span(F.col("start"), F.col("end"), ps, pe, F.lit(3000.0))
+    s, e = scoring.padded_span(F.col("start"), F.col("end"), ps, pe, F.col("length_s"))
     return iv.select("id", F.round(s, 6).alias("s"), F.round(e, 6).alias("e"))
 
 
@@ -295,11 +300,11 @@ def p20(spark, sf):
 
 @query(
     "p21_rms",
-    "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding[1:20], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / 20e0), 6) AS rms FROM embeddings",
+    "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / 64e0), 6) AS rms FROM embeddings",
 )
 def p21(spark, sf):
     return S.table(spark, sf, "embeddings").select(
-        "vec_id", F.round(frame_energy(F.slice("embedding", 1, 20)), 6).alias("rms")
+        "vec_id", F.round(frame_energy(F.col("embedding")), 6).alias("rms")
     )
 
 
@@ -379,19 +384,19 @@ def p26(spark, sf):
 @query(
     "p27_sampled_frames",
     sql(
-        """SELECT id, f AS frame FROM (SELECT id, unnest(range(a - a % 25, b, 25)) AS f FROM (SELECT id, CAST(floor(start * 25) AS BIGINT) AS a, least(CAST(floor("end" * 25) AS BIGINT), 80000) AS b FROM iv))""",
+        """SELECT id, f AS frame FROM (SELECT id, unnest(range(a - a % 25, b, 25)) AS f FROM (SELECT id, CAST(floor(start * 25) AS BIGINT) AS a, least(CAST(floor("end" * 25) AS BIGINT), CAST(floor(length_s * 25) AS BIGINT)) AS b FROM (SELECT *, max(start) OVER (PARTITION BY source_id) AS length_s FROM iv)))""",
         "iv",
     ),
 )
 def p27(spark, sf):
-    iv = S.intervals(spark, sf)
-    frames = spatial.sampled_frames(F.col("start"), F.col("end"), F.lit(25.0), F.lit(1.0), F.lit(80000))
+    iv = _with_length(S.intervals(spark, sf))
+    frames = spatial.sampled_frames(F.col("start"), F.col("end"), F.lit(25.0), F.lit(1.0), F.floor(F.col("length_s") * 25).cast("bigint"))
     return iv.select("id", F.explode(frames).alias("frame"))
 
 
 @query(
     "p29_natural_key",
-    "SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(n, '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(ltrim(r, '0'), 20, '0') ELSE lower(r) END), 'string_agg', '') AS k FROM (SELECT p_partkey, p_name || '_' || p_partkey || '.MP4' AS n FROM part)",
+    "SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(n, '\\d+|\\D+'), lambda r: CASE WHEN regexp_matches(r, '^\\d') THEN lpad(CAST(length(coalesce(nullif(ltrim(r, '0'), ''), '0')) AS VARCHAR), 10, '0') || coalesce(nullif(ltrim(r, '0'), ''), '0') ELSE lower(r) END), 'string_agg', '') AS k FROM (SELECT p_partkey, p_name || '_' || p_partkey || '.MP4' AS n FROM part)",
 )
 def p29(spark, sf):
     p = S.table(spark, sf, "part")

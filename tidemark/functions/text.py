@@ -126,12 +126,15 @@ def yes_no(answer: Column) -> Column:
     return F.when(F.contains(up, F.lit("YES")), "YES").when(F.contains(up, F.lit("NO")), "NO").otherwise("UNEXPECTED")
 
 
-def natural_key(name: Column, digits: int = 20) -> Column:
-    """Sort key with numbers compared by value: digit runs padded, the rest in lower case."""
+def natural_key(name: Column) -> Column:
+    """Sort key with numbers compared by value: digit runs behind their length, the rest in lower case."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        runs, lambda r: F.when(r.rlike(r"^\d"), F.lpad(F.regexp_replace(r, "^0+(?=.)", ""), digits, "0")).otherwise(F.lower(r))
-    )
+
+    def ranked(run: Column) -> Column:
+        bare = F.regexp_replace(run, "^0+(?=.)", "")
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)).otherwise(F.lower(run))
+
+    padded = F.transform(runs, ranked)
     return F.array_join(padded, "")
 
 

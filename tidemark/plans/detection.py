@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import fuzzy_ratio
@@ -12,9 +12,10 @@ from tidemark.functions.text import SPACE, strip
 KEY = "source_id"
 
 
-def window_frames(windows: DataFrame, *, fps: float, interval_s: float, total_frames: int, key: str = KEY) -> DataFrame:
-    """Distinct sampled frames of a source's scan windows."""
-    frames = sampled_frames(F.col("start"), F.col("end"), F.lit(fps), F.lit(interval_s), F.lit(total_frames))
+def window_frames(windows: DataFrame, *, fps: float, interval_s: float, total_frames: int | Column, key: str = KEY) -> DataFrame:
+    """Distinct sampled frames of a source's scan windows; ``total_frames`` may be a column of them."""
+    total = total_frames if isinstance(total_frames, Column) else F.lit(total_frames)
+    frames = sampled_frames(F.col("start"), F.col("end"), F.lit(fps), F.lit(interval_s), total)
     return windows.select(key, F.explode(frames).alias("frame")).distinct()
 
 
@@ -27,6 +28,7 @@ KEYWORDS = {
         "eliminated": 2.0, "knocked down": 2.0, "assist": 1.5,
     },
 }
+# fixed values: labels whose text is a number, and labels without text
 NUMBER_LABELS = ("Floating Damage Numbers", "loating Damage Numbers")
 EXEMPT_LABELS = ("Directional Damage Indicators", "loating Damage Numbers", "Floating Damage Numbers")
 

@@ -18,14 +18,31 @@ KEY = "source_id"
 NO_BEFORE, NO_AFTER = "[Beginning of video]", "[End of video]"
 
 
+def _typed(item: Column) -> Column:
+    """A candidate with its numbers."""
+    number = lambda c: F.trim(c).try_cast("double")
+    of = lambda part, *names: F.when(part.isNotNull(), F.struct(*[number(part[n]).alias(n) for n in names]))
+    time = lambda n: F.when(item[n].isNull(), F.lit(0.0)).otherwise(number(item[n])).alias(n)
+    return F.struct(
+        item["clip_title"].alias("clip_title"), time("start"), time("end"),
+        item["anchor_start_text"].alias("anchor_start_text"), item["anchor_end_text"].alias("anchor_end_text"),
+        of(item["padding"], "start_buffer", "end_buffer").alias("padding"),
+        of(item["virality_metrics"], "hook_strength", "payoff_satisfaction", "retention_potential").alias("virality_metrics"),
+        item["reasoning"].alias("reasoning"),
+    )
+
+
 def parse_replies(replies: DataFrame, schema: str = CANDIDATE, *, reply: str = "reply") -> tuple[DataFrame, DataFrame]:
     """Items of the JSON arrays found in replies, and the replies that hold none.
 
-    Items keep their reply's other columns and their position.
+    Items keep their reply's other columns and their position.  Numbers of candidates are read
+    whether quoted or not; a missing start or end is 0, an unreadable one null.
     """
     parsed = replies.withColumn(
         "__items", F.from_json(T.reply_array(F.col(reply)), f"array<struct<{schema}>>")
     )
+    if schema == CANDIDATE:
+        parsed = parsed.withColumn("__items", F.transform("__items", _typed))
     good = parsed.where(F.col("__items").isNotNull())
     keep = [c for c in replies.columns if c != reply]
     items = good.select(*keep, F.posexplode("__items").alias("item_ix", "item"))
@@ -61,8 +78,7 @@ def score_candidates(
     """
     items, _ = parse_replies(replies)
     flat = items.select(
-        KEY, "chapter_ix", "item_ix", "item.clip_title", F.coalesce("item.start", F.lit(0.0)).alias("start"),
-        F.coalesce("item.end", F.lit(0.0)).alias("end"), "item.anchor_start_text", "item.anchor_end_text",
+        KEY, "chapter_ix", "item_ix", "item.clip_title", "item.start", "item.end", "item.anchor_start_text", "item.anchor_end_text",
         "item.padding", "item.virality_metrics", "item.reasoning",
     )
     m = F.col("virality_metrics")

@@ -29,11 +29,12 @@ DETECTIONS = (
 )
 WORDS = "source_id BIGINT, clip_id STRING, ix BIGINT, word STRING, start DOUBLE, end DOUBLE"
 
+# numbers are read as text: models quote them, and an unreadable one is not a missing one
 CANDIDATE = (
-    "clip_title STRING, start DOUBLE, end DOUBLE, anchor_start_text STRING, anchor_end_text STRING, "
-    "padding STRUCT<start_buffer: DOUBLE, end_buffer: DOUBLE>, "
-    "virality_metrics STRUCT<hook_strength: DOUBLE, payoff_satisfaction: DOUBLE, "
-    "retention_potential: DOUBLE>, reasoning STRING"
+    "clip_title STRING, start STRING, end STRING, anchor_start_text STRING, anchor_end_text STRING, "
+    "padding STRUCT<start_buffer: STRING, end_buffer: STRING>, "
+    "virality_metrics STRUCT<hook_strength: STRING, payoff_satisfaction: STRING, "
+    "retention_potential: STRING>, reasoning STRING"
 )
 SELECTION = (
     "clip_id STRING, clip_title STRING, title STRING, viral_archetype STRING, "

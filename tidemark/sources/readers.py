@@ -29,8 +29,8 @@ def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def _source_id(file: Column) -> Column:
-    """Digits of the file name name the source; other names are hashed."""
-    return F.coalesce(F.regexp_extract(file, r"(\d+)$", 1).try_cast("bigint"), F.xxhash64(file))
+    """A file name that is a number names the source; other names are hashed whole."""
+    return F.coalesce(F.regexp_extract(file, r"^(\d+)$", 1).try_cast("bigint"), F.xxhash64(file))
 
 
 def read_event_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -13,7 +13,8 @@ def write_event_arrays(events: DataFrame, folder: str, *, page_rows: int = 5000,
 
     A source is cut into pages of at most ``page_rows`` events, so no document grows with a source.
     """
-    n = scan(events, ["source_id"], ["timestamp_s", "event_id"], {"__n": row_number()}, pos="timestamp_s", width=width)
+    timed = events.withColumn("timestamp_s", F.coalesce("timestamp_s", F.lit(0.0)))  # a missing time counts as 0
+    n = scan(timed, ["source_id"], ["timestamp_s", "event_id"], {"__n": row_number()}, pos="timestamp_s", width=width)
     record = F.struct("timestamp_s", "label", "confidence", "text")
     docs = n.groupBy(
         F.col("source_id").alias("log"), F.floor((F.col("__n") - 1) / page_rows).cast("bigint").alias("page")
