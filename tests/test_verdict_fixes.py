@@ -47,3 +47,25 @@ def test_shared_folder_is_that_of_the_context(spark):
     from tidemark.session import shared_folder
 
     assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_manifest_from_an_editor(spark):
+    reply = (
+        '```json\n[{"clip_id": "clip_1", "title": "By title", "viral_archetype": "v", "engagement_trigger": "g", "selection_reason": "r"},'
+        ' {"clip_id": "gone"}, {"clip_id": "clip_0", "clip_title": "Chosen", "title": "Second"}, {"clip_id": "clip_0"}]\n```'
+    )
+    selection = narrative.parse_selection(spark.createDataFrame([(1, reply)], "source_id BIGINT, reply STRING"))
+    spans = '[{"clip_title": "Own", "start": 10, "end": 40}, {"clip_title": "Near", "start": "11", "end": "40"}]'
+    transcript = spark.createDataFrame(
+        [(1, i, 10.0 * i, 10.0 * i + 9, "Normal", "Normal", f"line {i}") for i in range(8)],
+        "source_id BIGINT, ix BIGINT, start DOUBLE, end DOUBLE, loudness STRING, pace STRING, text STRING",
+    )
+    screen = spark.createDataFrame([], "source_id BIGINT, t DOUBLE, text STRING")
+    candidates = narrative.score_candidates(
+        spark.createDataFrame([(1, 0, spans)], "source_id BIGINT, chapter_ix INT, reply STRING"), transcript, screen
+    )
+    assert narrative.offered_candidates(candidates).count() == 1
+    rows = narrative.build_manifest(selection, candidates, transcript, max_clips=3, fuzzy=False).orderBy("pick_no").collect()
+    assert [(r["pick_no"], r["clip_id"], r["title"], r["viral_archetype"]) for r in rows] == [
+        (1, "clip_1", "By title", "v"), (3, "clip_0", "Chosen", None),
+    ]

@@ -533,6 +533,23 @@ def e02(spark, sf):
     )
 
 
+@query(
+    "e02_highlight_clips",
+    sql(
+        """SELECT source_id, start_time, end_time, round(duration, 6) AS duration, event_count, round(intensity_score, 6) AS intensity_score, 'anchored' AS origin FROM anchored
+UNION ALL SELECT source_id, start_time, end_time, round(end_time - start_time, 6), event_count, round(intensity_score, 6), 'sliding' FROM slide
+WHERE source_id NOT IN (SELECT source_id FROM au) OR source_id NOT IN (SELECT source_id FROM ev WHERE label = 'ELIMINATED Text')""",
+        "seg_ev", "anchored", "au", "ev", recursive=True, ctes=_SLIDING,
+    ),
+)
+def e02_highlights(spark, sf):
+    """Clips of every source by the mode that it allows."""
+    out = highlights.highlight_clips(S.events(spark, sf), S.audio(spark, sf))
+    return out.withColumns({
+        "event_count": F.col("event_count").cast("bigint"), "duration": F.round("duration", 6), "intensity_score": F.round("intensity_score", 6),
+    })
+
+
 @query(
     "e12_render_list",
     sql(

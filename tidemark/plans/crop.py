@@ -106,9 +106,14 @@ def crop_plan(clips: DataFrame, scenes: DataFrame, detections: DataFrame, *, sta
               end: str = "end_time", width: float = 60.0, **params) -> DataFrame:
     """One row per clip and scene it overlaps, with the scene's plan.
 
-    Scenes are planned once, however many clips they meet.
+    Only scenes that meet a clip are planned, once each, however many clips they meet.
     """
-    planned = scene_plan(scenes, detections, **params)
+    spans = clips.select(KEY, F.col(start).alias("__c0"), F.col(end).alias("__c1"))
+    met = overlaps(
+        scenes.select(KEY, "scene_ix", "start_seconds", "end_seconds"), spans,
+        left_span=("start_seconds", "end_seconds"), right_span=("__c0", "__c1"), width=width,
+    ).select(KEY, "scene_ix").distinct()
+    planned = scene_plan(scenes.join(met, [KEY, "scene_ix"], "left_semi"), detections, **params)
     return overlaps(
         clips, planned, left_span=(start, end), right_span=("start_seconds", "end_seconds"), width=width, prefix=""
     )

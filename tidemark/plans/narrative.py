@@ -165,26 +165,39 @@ def select_candidates(selection: DataFrame, candidates: DataFrame) -> tuple[Data
     return known, unknown
 
 
+_NOTES = ("viral_archetype", "engagement_trigger", "selection_reason")
+
+
 def parse_selection(replies: DataFrame) -> DataFrame:
+    """Choices of an editor's reply per source (one reply each): pick_no from 1, clip_id, title, notes."""
     items, _ = parse_replies(replies, SELECTION)
-    rest = [c for c in items.columns if c not in ("item", KEY)]
-    return items.select(KEY, *rest, "item.*")
+    title = F.coalesce(F.nullif("item.clip_title", F.lit("")), F.nullif("item.title", F.lit("")))
+    return items.select(
+        KEY, (F.col("item_ix") + 1).cast("bigint").alias("pick_no"), "item.clip_id", title.alias("title"), *[f"item.{n}" for n in _NOTES]
+    )
+
+
+def offered_candidates(candidates: DataFrame, *, dedupe_iou: float = 0.5) -> DataFrame:
+    """Accepted candidates that an editor is shown: of near-equal spans the best one."""
+    accepted = cut_lineage(candidates.where("status = 'accepted'"))
+    return suppress_overlaps(accepted, score="hybrid_score", threshold=dedupe_iou, ident="clip_no")
 
 
 def build_manifest(
-    selection: DataFrame, candidates: DataFrame, transcript: DataFrame, *, max_clips: int = 20,
-    dedupe_iou: float = 0.5, fuzzy: bool = True,
+    selection: DataFrame, candidates: DataFrame, transcript: DataFrame, *, max_clips: int = 20, fuzzy: bool = True,
 ) -> DataFrame:
     """Selected, repaired, snapped, padded and named clips.
 
-    ``selection`` has ``pick_no`` (order of choice, from 1) and ``clip_id`` per source.
+    ``selection`` has ``pick_no`` (order of choice, from 1) and ``clip_id`` per source, and may
+    have a title and an editor's notes.  The first ``max_clips`` choices count; their ids are
+    looked up among all accepted candidates, and unknown ones are left out.
     Recording length is the end of the last transcript line.
     """
-    # candidates meet suppression, selection and two text lookups: worked out once
     accepted = cut_lineage(candidates.where("status = 'accepted'"))
-    unique = suppress_overlaps(accepted, score="hybrid_score", threshold=dedupe_iou, ident="clip_no")
-    offered = selection.join(unique.select(KEY, "clip_id"), [KEY, "clip_id"], "left_semi")
-    capped = scan(offered, [KEY], ["pick_no"], {"__n": row_number()}, pos="pick_no", width=1024).where(
+    chosen = selection.select(KEY, "pick_no", "clip_id", *[
+        (F.col(c) if c in selection.columns else F.lit(None)).cast("string").alias(c) for c in ("title", *_NOTES)
+    ])
+    capped = scan(chosen, [KEY], ["pick_no"], {"__n": row_number()}, pos="pick_no", width=1024).where(
         F.col("__n") <= max_clips
     )
     known, _ = select_candidates(capped.drop("__n"), accepted)
@@ -210,6 +223,7 @@ def build_manifest(
         scoring.clamp_padding(pad.end_buffer, 1.5).alias("end_padding"),
         "anchor_start_text", "anchor_end_text",
         F.struct(F.col("narrative_score").alias("narrative"), F.col("hybrid_score").alias("hybrid")).alias("scores"),
+        *_NOTES,
     )
 
 
