@@ -1,8 +1,11 @@
 """Rules that the tables at hand do not reach."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import natural_key
+from tidemark.operators import signal
 from tidemark.plans import narrative
 from tidemark.sources import readers, sinks
 
@@ -69,3 +72,12 @@ def test_manifest_from_an_editor(spark):
     assert [(r["pick_no"], r["clip_id"], r["title"], r["viral_archetype"]) for r in rows] == [
         (1, "clip_1", "By title", "v"), (3, "clip_0", "Chosen", None),
     ]
+
+
+def test_quantiles_with_an_outlier(spark):
+    rng = np.random.default_rng(6)
+    values = {1: [*rng.normal(0, 1, 900).tolist(), 1e12], 2: [5.0] * 40, 3: [1.0, 2.0], 4: rng.integers(0, 7, 300).astype(float).tolist()}
+    rows = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [(4, None)], "source_id BIGINT, v DOUBLE")
+    at = {"a": 0.0, "b": 0.3, "c": 0.77, "d": 1.0}
+    for r in signal.exact_quantiles(rows, "v", at, buckets=16).collect():
+        assert [r[n] for n in at] == pytest.approx(np.quantile(values[r["source_id"]], [*at.values()]).tolist())

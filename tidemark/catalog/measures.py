@@ -101,12 +101,8 @@ def _smoothed(spark, sf):
     ),
 )
 def a06(spark, sf):
-    pf = S.profile(spark, sf).select("source_id", "rms")
-    out = None
-    for p, name in ((0.7, "p70"), (0.3, "p30"), (0.2, "p20")):
-        q = signal.exact_quantile(pf, "rms", p, name="q").select("source_id", F.round("q", 8).alias(name))
-        out = q if out is None else out.join(q, "source_id")
-    return out
+    found = signal.exact_quantiles(S.profile(spark, sf), "rms", {"p70": 0.7, "p30": 0.3, "p20": 0.2})
+    return found.select("source_id", *[F.round(c, 8).alias(c) for c in ("p70", "p30", "p20")])
 
 
 @query("f09_quiet_gate", sql("SELECT source_id, chunk_ix FROM loud", "loud"))

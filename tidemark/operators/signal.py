@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,36 +72,51 @@ def moving_average(
     return out.where("__own").drop(BIN, "__own")
 
 
-def exact_quantile(
-    df: DataFrame, value: str, p: float, *, key: str = "source_id", name: str = "quantile", buckets: int = 1024
+def exact_quantiles(
+    df: DataFrame, value: str, at: Mapping[str, float], *, key: str = "source_id", buckets: int = 256
 ) -> DataFrame:
-    """Exact linear-interpolated quantile per key without a per-key value map in one task.
+    """Exact linear-interpolated quantiles per key (name to p), all from one scan.
 
-    Equal values are counted first.  Each key's value range is cut into ``buckets``; a scan
-    over bucket counts ranks the values, and the two values around the rank are read off.
+    Equal values are counted first.  Each key's values are cut into ``buckets`` cells at
+    approximate quantiles, so that cells hold like numbers of values however these are
+    spread; a scan over cell counts ranks the values, and those around the ranks are read off.
     """
+    shares = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     counts = df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("c")
     )
     bounds = df.groupBy(key).agg(
-        F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
-        F.count(value).alias("n"),
+        F.percentile_approx(F.col(value).cast("double"), shares, 10 * buckets).alias("cuts"), F.count(value).alias("n")
+    )
+    # The cell is the number of cuts below the value, found by halving.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((buckets - 1).bit_length()))])
+    cell = F.aggregate(
+        steps, F.lit(0), lambda done, step: done + F.when(F.get("cuts", done + step - 1) < F.col("v"), step).otherwise(0)
     )
-    rank = (F.col("n") - 1) * p
     ranked = scan(
-        counts.join(bounds, key).withColumn(
-            "cell", F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets).otherwise(0.0)
-        ),
+        counts.join(bounds, key).withColumn("cell", cell.cast("double")).drop("cuts"),
         [key], ["v"], {"upto": running_sum(F.col("c"))}, pos="cell", width=1.0,
     )
-    below, above = F.floor(rank), F.ceil(rank)
     covers = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
-    ends = ranked.where(covers(below) | covers(above)).groupBy(key).agg(
-        F.max(F.when(covers(below), F.col("v"))).alias("a"),
-        F.max(F.when(covers(above), F.col("v"))).alias("b"),
-        F.max(rank - below).alias("w"),
-    )
-    return ends.select(key, (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias(name))
+    wanted, sides, out = F.lit(False), [], []
+    for name, p in at.items():
+        rank = (F.col("n") - 1) * p
+        below, above = F.floor(rank), F.ceil(rank)
+        wanted = wanted | covers(below) | covers(above)
+        a, b, w = (f"__{side}_{name}" for side in "abw")
+        sides += [
+            F.max(F.when(covers(below), F.col("v"))).alias(a), F.max(F.when(covers(above), F.col("v"))).alias(b),
+            F.max(rank - below).alias(w),
+        ]
+        out.append((F.col(a) + (F.col(b) - F.col(a)) * F.col(w)).alias(name))
+    return ranked.where(wanted).groupBy(key).agg(*sides).select(key, *out)
+
+
+def exact_quantile(
+    df: DataFrame, value: str, p: float, *, key: str = "source_id", name: str = "quantile", buckets: int = 256
+) -> DataFrame:
+    """One exact quantile per key."""
+    return exact_quantiles(df, value, {name: p}, key=key, buckets=buckets)
 
 
 def quiet_gate(
