@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import doc_rows, documents, string_column
+from tidemark.llm.text import doc_rows, documents, parted, string_column
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, p: CompressParams =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(model.dictionaries, p)
-        for batch in batches:
+        for batch in parted(batches):
             names, scores, narrow = [], [], []
             for text in string_column(batch, "text"):
                 if not model.labels or not _has_letter(text):
@@ -218,7 +218,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, p: CompressParams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer([model.good, model.bad], p) if model else None
-        for batch in batches:
+        for batch in parted(batches):
             texts = [(t or "").encode() for t in string_column(batch, "text")]
             diffs = np.array([_difference(*sizer.sizes(b), len(b)) if sizer else 0.0 for b in texts], float)
             z = model.slope * diffs + model.offset if model else diffs

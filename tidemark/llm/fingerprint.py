@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import doc_rows, documents, mix, string_column, words_of
+from tidemark.llm.text import doc_rows, documents, mix, parted, string_column, words_of
 
 
 @dataclass(frozen=True)
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, p: FingerprintParams = DEFAULT) -> DataFrame:
     """``docs`` (doc_id, text) with a ``fingerprint`` of every text, hexadecimal; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             found = [sample(*terms((t or "").encode(), p), p).tobytes().hex() for t in string_column(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("doc_id")), pa.array(found, pa.string())],
@@ -165,7 +165,7 @@ def with_neighbours(docs: DataFrame, p: FingerprintParams = DEFAULT) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         closed = False
-        for batch in batches:
+        for batch in parted(batches):
             ids, after, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "after", "text"))
             out = []
             for doc_id, late, text in zip(ids, after, texts, strict=True):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
-from tidemark.llm.text import doc_rows, documents, grams, mix, slices, string_column, words_of
+from tidemark.llm.text import doc_rows, documents, grams, mix, parted, slices, string_column, words_of
 from tidemark.session import cut_lineage
 
 
@@ -112,7 +112,7 @@ _SIGNATURE = (
 
 def _signatures(p: JoinParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             hashes = batch.column(batch.schema.get_field_index("text_hash"))
             for first, encoded in slices(string_column(batch, "text")):
@@ -193,7 +193,7 @@ def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | No
 def _runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
     """Rows in order of ``key``, one list for each of its values."""
     held: list[dict] = []
-    for batch in batches:
+    for batch in parted(batches):
         for row in batch.to_pylist():
             if held and held[-1][key] != row[key]:
                 yield held
@@ -263,7 +263,7 @@ def _to_sets(p: JoinParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, made = None, b""
-        for batch in batches:
+        for batch in parted(batches):
             texts = string_column(batch, "text")
             rest = batch.drop_columns(["text"])
             for a in range(0, len(texts), 500):

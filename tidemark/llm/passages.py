@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import doc_rows, documents, mix, slices, string_column, words_of
+from tidemark.llm.text import doc_rows, documents, mix, parted, slices, string_column, words_of
 from tidemark.session import cut_lineage
 
 
@@ -76,7 +76,7 @@ def seeds(words: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray]:
 
 def _seed_rows(p: PassageParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for first, encoded in slices(string_column(batch, "text")):
                 words, count, _ = words_of(encoded)
@@ -172,7 +172,7 @@ def _chain_rows(p: PassageParams):
                 links = np.array([[x[i] for i in c], [y[i] for i in c]], np.int32)
                 out.append((*last, *(int(v) for v in (links[0, 0], links[0, -1] + p.k, links[1, 0], links[1, -1] + p.k)), links.tobytes()))
 
-        for batch in batches:
+        for batch in parted(batches):
             table = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             if not table.shape[1]:
                 continue
@@ -212,7 +212,7 @@ def _word_slices(p: PassageParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, words = None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in parted(batches):
             out = []
             for r in batch.to_pylist():
                 if r["text"] != text:
@@ -293,7 +293,7 @@ def _align_rows(p: PassageParams):
             if identity >= p.min_identity:
                 out.append((last[0], last[1], a0 + s, a0 + e, b0 + t, b0 + f, matched, identity))
 
-        for batch in batches:
+        for batch in parted(batches):
             for r in batch.to_pylist():
                 key = (r["doc_id"], r["other_id"], r["x0"], r["y0"])
                 if key != last:
@@ -316,7 +316,7 @@ def _covering(p: PassageParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         low = high = 0
-        for batch in batches:
+        for batch in parted(batches):
             out = []
             for r in batch.to_pylist():
                 row = tuple(r.values())

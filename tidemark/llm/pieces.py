@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.text import doc_rows, documents, slices, string_column
+from tidemark.llm.text import doc_rows, documents, parted, slices, string_column
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_COST = 10.0  # below the least score of the vocabulary, as the format has it
 
-CACHE_UNITS = 600_000
-CACHE_IDS = 8_000_000
+CACHE_UNITS = 250_000
+CACHE_IDS = 3_000_000
 BLOCK_BYTES = 1 << 19  # of new units, segmented together
 
 
@@ -302,7 +302,7 @@ def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(shared.value), Decoder(shared.value)
-        for batch in batches:
+        for batch in parted(batches):
             names = batch.column(batch.schema.get_field_index("doc_id"))
             for first, encoded in slices(string_column(batch, "text")):
                 ids, count = encoder.encode(encoded)
@@ -324,7 +324,7 @@ def decode(rows: DataFrame, model: PieceModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for batch in batches:
+        for batch in parted(batches):
             lists = [np.array(x or [], np.int32) for x in batch.column(1).to_pylist()]
             back = decoder.decode(_flat(lists), np.array([len(x) for x in lists]))
             yield pa.RecordBatch.from_arrays(

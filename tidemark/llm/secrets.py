@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import doc_rows, string_column
+from tidemark.llm.text import doc_rows, parted, string_column
 
 # The patterns of the base kinds, in the order of listing.  They work on UTF-8
 # bytes: every character that they name is ASCII, and so is every letter taken in either case.
@@ -84,7 +84,7 @@ def _random_string(seed: bytes) -> bytes:
 def _train(p: SecretParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, K * K), np.int64)
-        for batch in batches:
+        for batch in parted(batches):
             for text in string_column(batch, "text"):
                 b = (text or "").encode()
                 found = base_spans(b)
@@ -170,7 +170,7 @@ def _scan(ratio: np.ndarray | None, p: SecretParams):
     finder = re.compile(b"[" + re.escape(_TOKEN) + b"]{%d,}" % p.min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             sums, joined, numbers = [], [], np.zeros((4, batch.num_rows), np.int64)
             for i, text in enumerate(string_column(batch, "text")):
                 b = (text or "").encode()
@@ -208,7 +208,7 @@ def redact(docs: DataFrame, ratio: np.ndarray | None, p: SecretParams = DEFAULT,
     sign = mark.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parted(batches):
             k, out = batch.schema.get_field_index("text"), []
             for text in batch.column(k).to_pylist():
                 b = (text or "").encode()

@@ -123,5 +123,12 @@ def grams(hashes: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np
     return mix(sums[keep]), sizes
 
 
+def parted(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def string_column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
