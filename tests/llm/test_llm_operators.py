@@ -217,6 +217,23 @@ def test_links_and_classes(spark, small, block):
     assert got == plain_links(texts)
 
 
+@pytest.mark.parametrize("size, copies", [(20, 150), (46, 150), (80, 120)])
+def test_short_near_copies(spark, size, copies):
+    """More different near copies of one short text than a small bucket holds, and pairs of short texts."""
+    texts = {}
+    base = words(40 + size, size)
+    for i in range(copies):
+        w = list(base)
+        w[-1 - i % 2 * (size - 1)] = f"edit{i}"  # first or last word: four fifths and more stay alike
+        texts[i] = " ".join(w)
+    for i in range(0, 400, 2):
+        w = words(9000 + i, 14)
+        texts |= {1000 + i: " ".join(w), 1001 + i: " ".join([*w[:-1], "end"])}
+    docs = spark.createDataFrame([*texts.items()], "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["n_text_links"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == plain_links(texts)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(120)]

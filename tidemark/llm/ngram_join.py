@@ -3,13 +3,14 @@
 A document is the set of its five-word shingles.  In every run each set samples those of its
 tokens whose hash is below branch / (threshold x size); sets that sample the same token share
 a bucket.  Two sets of Jaccard similarity s >= threshold share branch * s / threshold sampled
-tokens of a run on average.  A bucket of more than ``small`` sets is split again by tokens that
-its sets sampled for the next run, one on average at the threshold, so that sets that share less die
-out; small buckets are compared by brute force.  The
-number of runs follows from the target recall.
+tokens of a run on average.  A bucket of more than ``small`` sets is split again: every set goes to
+the ``children`` least of its sampled tokens (of all runs) in an order that the bucket draws, so that
+no set is without a part and sets that share less are told apart; small buckets are compared by
+brute force.  The number of runs follows from the target recall at the last level.
 
 * Copies: documents with the same set are one node with a number of documents and of texts, made
   by a map-side aggregation before anything else, so that a group of exact copies is one row.
+* Equal buckets are compared once.  Those that are split again stay apart, each with its own order.
 * Near copies: splitting does not tell sets apart that are similar on average.  Each set of such
   dense buckets, and of those that are large at the last level, gets one home, the largest of its dense buckets, and
   homes that meet in a bucket are compared block by block, every pair once.  A task holds two
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
@@ -54,17 +55,23 @@ class JoinParams:
     max_depth: int = 8
     #: A large bucket whose sets are so similar on average is compared as it is.
     dense: float = 0.4
-    dense_bins: int = 8
+    #: Sets of a bucket, about, that its average similarity is estimated from.
+    dense_sets: int = 128
+    #: Parts of a large bucket that each of its sets goes to.
+    children: int = 2
     block_sets: int = 512
     block_tokens: int = 400_000
-    #: Sketch similarity below which a pair is not fetched: five deviations under the threshold.
+    #: Sketch similarity below which a pair is not fetched: ``sketch_deviations`` under the threshold, this at most.
     sketch_floor: float = 0.5
+    sketch_deviations: float = 5.0
     seed: int = 11
 
     @property
     def runs(self) -> int:
         missed = -math.log(1 - self.target_recall)
-        return max(self.min_runs, math.ceil(missed / self.branch))
+        # A pair at the threshold stays together in a split unless it differs in all parts.
+        stays = (1 - (1 - self.threshold) ** self.children) ** (self.max_depth - 1)
+        return max(self.min_runs, math.ceil(missed / (self.branch * stays)))
 
 
 DEFAULT = JoinParams()
@@ -92,13 +99,11 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def sampled(tokens: np.ndarray, run: int, p: JoinParams) -> np.ndarray:
-    """Bucket keys of the tokens that the set samples in a run; odd ones also split large buckets."""
+    """Bucket keys of the tokens that the set samples in a run."""
     draw = mix(tokens ^ mix(np.array([p.seed * 1000 + run], np.uint64)))
     bar = p.branch / (p.threshold * len(tokens))
     chosen = draw if bar >= 1 else draw[draw < np.uint64(int(bar * 2**64))]
-    deep = bar / p.branch  # the bar of the later levels, which must tell sets under the threshold apart
-    low = chosen < np.uint64(min(int(deep * 2**64), 2**64 - 1))
-    return (mix(chosen + np.uint64(run)) & ~np.uint64(1) | low).view(np.int64)
+    return mix(chosen + np.uint64(run)).view(np.int64)
 
 
 def _signed(x: np.ndarray) -> int:
@@ -149,36 +154,43 @@ def _nodes(signed: DataFrame) -> DataFrame:
     ).select(F.col("least.doc_id").alias("node"), F.col("least.text_hash").alias("text_hash"), *_SET, "n_docs", "n_texts", "sketch", "keys")
 
 
+def _alike(big: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """first, mean: average similarity of a bucket's sets over sketch bytes that one of two has at least."""
+    some = big.where(F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("n") / p.dense_sets)) == 0)
+    marks = F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.substring("sketch", k, F.lit(1)))
+    cells = some.join(nodes.select("node", "sketch"), "node").select("first", F.posexplode(marks).alias("k", "v"))
+    cells = cells.groupBy("first", "k", "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    none = F.col("v") == F.lit(b"\0")
+    bins = cells.groupBy("first", "k").agg(
+        F.sum(F.when(none, 0.0).otherwise(F.col("c") * F.col("c"))).alias("same"),
+        F.sum("c").alias("m"), F.sum(F.when(none, F.col("c")).otherwise(0.0)).alias("z"),
+    )
+    return bins.groupBy("first").agg((F.sum("same") / F.sum(F.col("m") * F.col("m") - F.col("z") * F.col("z"))).alias("mean"))
+
+
 def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | None]:
     """Rows (path, node, n) of small buckets and of dense ones."""
-    exploded = nodes.select("node", F.posexplode("keys").alias("run", "ks")).select("node", "run", F.explode("ks").alias("path"))
-    rows = exploded
+    rows = nodes.select("node", F.explode(F.flatten("keys")).alias("path"))
     small, dense = [], []
     for depth in range(1, p.max_depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
-        sizes = sizes.where(F.col("n") > 1)
-        if depth == 1:
-            # Buckets of the same sets are compared once.
-            sizes = sizes.groupBy("n", "who").agg(F.min("path").alias("path"))
-        rows = cut_lineage(rows.join(sizes.select("path", "n"), "path").select("path", "run", "node", "n"))
+        # Buckets of the same sets have one of them as ``first``; a set's tokens bound their number.
+        sizes = sizes.where(F.col("n") > 1).withColumn("first", F.min("path").over(Window.partitionBy("n", "who")))
+        sizes = sizes.where((F.col("n") > p.small) | (F.col("path") == F.col("first")))
+        rows = cut_lineage(rows.join(sizes.select("path", "n", "first"), "path").select("path", "first", "node", "n"))
         small.append(rows.where(F.col("n") <= p.small).select("path", "node", "n"))
         big = rows.where(F.col("n") > p.small)
         if big.isEmpty():
             break
+        one = big.where(F.col("path") == F.col("first"))
         if depth == p.max_depth:
-            dense.append(big.select("path", "node", "n"))
+            dense.append(one.select("path", "node", "n"))
             break
-        big = big.join(nodes.select("node", "keys", "sketch"), "node")
-        # Average similarity of a bucket's sets, from a few bytes of their sketches.
-        tried = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("sketch", k + 1, F.lit(1)).alias("v")) for k in range(0, BINS, BINS // p.dense_bins)])
-        alike = big.select("path", "n", F.explode(tried).alias("t")).where(F.col("t.v") != F.lit(b"\0"))
-        alike = alike.groupBy("path", "t").agg(F.count(F.lit(1)).cast("double").alias("c"), F.first("n").alias("n"))
-        alike = alike.groupBy("path").agg((F.sum(F.col("c") * F.col("c")) / (p.dense_bins * F.first("n") * F.first("n"))).alias("mean"))
-        stuck = cut_lineage(alike.where(F.col("mean") >= p.dense).select("path"))
-        dense.append(big.join(stuck, "path", "left_semi").select("path", "node", "n"))
-        odd = F.filter(F.get("keys", (F.col("run") + depth) % p.runs), lambda k: k.bitwiseAND(F.lit(1)) == 1)
-        parts = big.join(stuck, "path", "left_anti").select("path", "run", "node", F.explode(odd).alias("k"))
-        rows = parts.select(F.xxhash64("path", "k").alias("path"), "run", "node")
+        stuck = cut_lineage(_alike(one, nodes, p).where(F.col("mean") >= p.dense).select("first"))
+        dense.append(one.join(stuck, "first", "left_semi").select("path", "node", "n"))
+        parts = big.join(stuck, "first", "left_anti").join(nodes.select("node", "keys"), "node")
+        ordered = F.array_sort(F.transform(F.flatten("keys"), lambda k: F.xxhash64("path", k)))
+        rows = parts.select("node", F.explode(F.slice(ordered, 1, p.children)).alias("path"))
     whole = small[0]
     for s in small[1:]:
         whole = whole.union(s)
@@ -213,7 +225,10 @@ def _likely(p: JoinParams):
             n = np.array([r["n_set"] for r in rows], float)
             same = ((marks[:, None] == marks[None]) & (marks[:, None] > 0)).sum(2)
             either = ((marks[:, None] > 0) | (marks[None] > 0)).sum(2)
-            fits = (np.minimum(n[:, None], n) >= p.threshold * np.maximum(n[:, None], n)) & (same >= p.sketch_floor * either)
+            # Short sets fill few bytes, and the fewer there are the more their share varies.
+            varies = p.sketch_deviations * np.sqrt(p.threshold * (1 - p.threshold) / np.maximum(either, 1))
+            floor = np.minimum(p.sketch_floor, p.threshold - varies)
+            fits = (np.minimum(n[:, None], n) >= p.threshold * np.maximum(n[:, None], n)) & (same >= floor * either)
             np.fill_diagonal(fits, False)
             for i in np.flatnonzero(fits.any(1)).tolist():
                 paths.append(rows[i]["path"]), nodes.append(rows[i]["node"])
