@@ -454,3 +454,22 @@ def test_mixture_adds_up(spark):
     assert sum(target.values()) == pytest.approx(sum(size.values()))
     for s in taken:
         assert taken[s] == pytest.approx(target[s], rel=0.02) and target[s] <= 3 * size[s]
+
+
+def test_passage_before_a_gap(spark):
+    """60 equal words stay a passage when a second shared part follows, or precedes, after unlike words."""
+    want, rows = {}, []
+    for i, gap in enumerate(range(15, 41)):
+        long, short = ([f"w{i}x{k}y{part}" for k in range(n)] for part, n in (("l", 60), ("s", 25)))
+        for turn in (0, 1):
+            d = 4 * i + 2 * turn
+            for k in (0, 1):
+                own = [f"own{d + k}x{m}" for m in range(gap)]
+                parts = [short, own, long] if turn else [long, own, short]
+                rows.append((d + k, " ".join([f"head{d + k}", *(w for x in parts for w in x), f"tail{d + k}"])))
+            want[d + 1] = (1 + turn * (25 + gap), 61 + turn * (25 + gap))
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    for d, (start, end) in want.items():
+        mine = [r for r in found if r["doc_id"] == d]
+        assert any(r["start_word"] <= start and r["end_word"] >= end for r in mine), d
+    assert all(r["identity"] >= 0.8 for r in found)

@@ -7,7 +7,8 @@ occurrence, however many documents share it.  The matches of a document with one
 chained: a chain's matches rise in both, and a step costs ``gap_cost`` per word it skips in
 either; the best predecessor is a prefix maximum in a Fenwick tree over the other document's
 places.  Chains are aligned word by word from seed to seed and beyond, over substitutions,
-insertions and deletions of a few words.  A passage is reported when the aligned stretches of
+insertions and deletions of a few words.  Where the whole of a chain is too unlike, each of its
+longest pieces that are alike enough stands for itself.  A passage is reported when the aligned stretches of
 its document that overlap or touch it cover ``min_words`` words.
 
 At scale: seeds are aggregated on the map side (three numbers per seed) and joined back, so a
@@ -230,22 +231,22 @@ def _word_slices(p: PassageParams):
     return run
 
 
-def _follow(a: np.ndarray, b: np.ndarray, a3: np.ndarray, b3: np.ndarray, i: int, j: int, p: PassageParams) -> tuple[int, int, int]:
-    """Ends of the alignment that goes on from (i, j), and its matched words."""
-    matched, end_i, end_j = 0, i, j
+def _follow(a: np.ndarray, b: np.ndarray, a3: np.ndarray, b3: np.ndarray, i: int, j: int, p: PassageParams) -> list[tuple[int, int, int]]:
+    """Equal runs (place in ``a``, place in ``b``, words) of the alignment that goes on from (i, j)."""
+    runs = []
     while True:
         n = min(len(a) - i, len(b) - j)
         differs = np.flatnonzero(a[i : i + n] != b[j : j + n])
         run = int(differs[0]) if len(differs) else n
         if run:
-            matched += run
-            i, j = end_i, end_j = i + run, j + run
+            runs.append((i, j, run))
+            i, j = i + run, j + run
         s, t = a3[i : i + p.shift + 1], b3[j : j + p.shift + 1]
         if not len(s) or not len(t):
-            return end_i, end_j, matched
+            return runs
         di, dj = np.nonzero(s[:, None] == t[None])
         if not len(di):
-            return end_i, end_j, matched
+            return runs
         best = int(np.lexsort((di + dj, np.maximum(di, dj)))[0])
         i, j = i + int(di[best]), j + int(dj[best])
 
@@ -258,20 +259,40 @@ def _grams(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, p: PassageParams) -> tuple[int, int, int, int, int]:
-    """(start, end) in ``a`` and in ``b`` and the matched words of the chain's passage, stretched as far as it goes."""
-    a3, b3 = _grams(a, p.resume), _grams(b, p.resume)
+def _back(a: np.ndarray, b: np.ndarray, p: PassageParams) -> list[tuple[int, int, int]]:
+    """Equal runs of the alignment that goes back from the ends of both, in order."""
     back_a, back_b = a[::-1], b[::-1]
-    ra, rb, matched = _follow(back_a, back_b, _grams(back_a, p.resume), _grams(back_b, p.resume), len(a) - int(xs[0]), len(b) - int(ys[0]), p)
-    start_a, start_b = len(a) - ra, len(b) - rb
+    runs = _follow(back_a, back_b, _grams(back_a, p.resume), _grams(back_b, p.resume), 0, 0, p)
+    return [(len(a) - i - n, len(b) - j - n, n) for i, j, n in runs[::-1]]
+
+
+def align(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, p: PassageParams) -> list[tuple[int, int, int, int, int]]:
+    """(start, end) in ``a`` and in ``b`` and the matched words of the chain's passages, stretched as far as they go.
+
+    One passage, or else all pieces of ``min_identity`` that no longer one holds; an equal run is such a piece.
+    """
+    a3, b3 = _grams(a, p.resume), _grams(b, p.resume)
     i, j = int(xs[0]), int(ys[0])
-    i, j, more = _follow(a, b, a3, b3, i, j, p)
-    matched += more
+    runs = _back(a[:i], b[:j], p) + _follow(a, b, a3, b3, i, j, p)
+    if not runs:  # two seeds of one hash
+        return []
     for x, y in zip(xs[1:].tolist(), ys[1:].tolist(), strict=True):
+        i, j = runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]
         if x >= i and y >= j:
-            i, j, more = _follow(a, b, a3, b3, x, y, p)
-            matched += more
-    return start_a, i, start_b, j, matched
+            runs += [(i + u, j + v, n) for u, v, n in _back(a[i:x], b[j:y], p)] + _follow(a, b, a3, b3, x, y, p)
+    at_a, at_b, size = np.array(runs, np.int64).T
+    end_a, end_b, total = at_a + size, at_b + size, np.cumsum(size)
+    out, far = [], -1
+    for u in range(len(runs)):
+        matched = total[u:] - total[u] + size[u]
+        span = np.maximum(end_a[u:] - at_a[u], end_b[u:] - at_b[u])
+        v = u + int(np.flatnonzero(matched / span >= p.min_identity)[-1])
+        if v > far:
+            out.append((int(at_a[u]), int(end_a[v]), int(at_b[u]), int(end_b[v]), int(matched[v - u])))
+            far = v
+        if far == len(runs) - 1:
+            break
+    return out
 
 
 _PASSAGE = "doc_id long, other_id long, start_word int, end_word int, other_start int, other_end int, matched int, identity double"
@@ -288,10 +309,8 @@ def _align_rows(p: PassageParams):
                 return
             (a0, a, links), (b0, b, _) = held[0], held[1]
             xs, ys = np.frombuffer(links, np.int32).reshape(2, -1)
-            s, e, t, f, matched = align(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), xs - a0, ys - b0, p)
-            identity = matched / max(e - s, f - t, 1)
-            if identity >= p.min_identity:
-                out.append((last[0], last[1], a0 + s, a0 + e, b0 + t, b0 + f, matched, identity))
+            for s, e, t, f, matched in align(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), xs - a0, ys - b0, p):
+                out.append((last[0], last[1], a0 + s, a0 + e, b0 + t, b0 + f, matched, matched / max(e - s, f - t)))
 
         for batch in parted(batches):
             for r in batch.to_pylist():
