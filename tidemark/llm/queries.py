@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import compress, fingerprint, lattice, merkle, mixture, ngram_join, passages, pieces, pii, quality, secrets
+from tidemark.llm import collocations, compress, fingerprint, lattice, merkle, mixture, ngram_join, passages, pieces, pii, quality, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substring_dedup": passages.substring_dedup,
     "op9_quality_classifier": compress.quality_classifier,
     "op10_source_mix": mixture.source_mix,
+    "op11_phrase_collocations": collocations.phrase_collocations,
     "op12_merkle_manifest": merkle.merkle_manifest,
     "op13_embedding_dedup": lattice.embedding_dedup,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 SQL = {
     "op4_quality_rules": quality.SQL,
     "op10_source_mix": mixture.SQL,
+    "op11_phrase_collocations": collocations.SQL,
     "op12_merkle_manifest": merkle.SQL,
     "op13_embedding_dedup": lattice.SQL,
 }
