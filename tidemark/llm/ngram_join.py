@@ -4,18 +4,21 @@ A document is the set of its five-word shingles.  In every run each set samples
 tokens whose hash is below branch / (threshold x size); sets that sample the same token share
 a bucket.  Two sets of Jaccard similarity s >= threshold share branch * s / threshold sampled
 tokens of a run on average.  A bucket of more than ``small`` sets is split again: every set goes to
-the ``children`` least of its sampled tokens (of all runs) in an order that the bucket draws, so that
-no set is without a part and sets that share less are told apart; small buckets are compared by
-brute force.  The number of runs follows from the target recall at the last level.
+the ``children`` least of its sampled tokens (of all runs), in an order that the bucket draws;
+small buckets are compared by brute force.  The number of runs follows from the target recall of
+the first level.
 
 * Copies: documents with the same set are one node with a number of documents and of texts, made
   by a map-side aggregation before anything else, so that a group of exact copies is one row.
-* Equal buckets are compared once.  Those that are split again stay apart, each with its own order.
-* Near copies: splitting does not tell sets apart that are similar on average.  Each set of such
-  dense buckets, and of those that are large at the last level, gets one home, the largest of its dense buckets, and
-  homes that meet in a bucket are compared block by block, every pair once.  A task holds two
-  blocks of bounded size; it adds up the links of each set and ties sets that belong together, so
-  that rows grow with the sets, not with the pairs.
+* A bucket is not split on tokens that are common in it, such as those of the passage that all its
+  sets share: they would lead the same sets to another bucket.  Every part has about half of the
+  sets at most.
+* Near copies: a set most of whose tokens are common in its bucket is dense there.  Each dense set
+  gets one home, the largest of its buckets, and homes that meet in a bucket are compared block by
+  block, every pair once.  A task holds two blocks of bounded size; it adds up the links of each
+  set and ties sets that belong together, so that rows grow with the sets, not with the pairs.
+* Two sets of similarity 0.8 that are not dense have at least half of their other tokens in common.
+* Buckets of the same sets are compared once and split ``copies`` times.
 * Small buckets first compare 64-byte sketches; only sets with a likely partner are fetched.
 * Every link is checked on the full sets.  No bucket, partner or candidate is capped.
 
@@ -25,7 +28,8 @@ number of links: other documents, and other texts, of similarity ``threshold`` o
 Defined cases: null, empty and blank texts have no shingles, no links and a class of their own;
 texts of one to four words are one shingle; words are compared as they stand; repeated rows
 count as documents; a null doc_id gets a null class and no links and is no partner; rows that
-share an id should share their text; an empty table gives no rows; extra columns are ignored.
+share an id but not the text are documents of their own, with classes of their own; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,13 +56,15 @@ class JoinParams:
     target_recall: float = 0.9999
     min_runs: int = 8
     small: int = 64
-    max_depth: int = 8
-    #: A large bucket whose sets are so similar on average is compared as it is.
-    dense: float = 0.4
-    #: Sets of a bucket, about, that its average similarity is estimated from.
-    dense_sets: int = 128
-    #: Parts of a large bucket that each of its sets goes to.
+    #: A key is common in a bucket that holds it in a greater share of its sets.
+    common_share: float = 0.5
+    #: Sets of a bucket, about, that its common keys are told from.
+    probe_sets: int = 128
+    #: A set is dense in a bucket where so great a share of its keys is common.
+    dense: float = 0.6
+    #: Parts of a large bucket that each of its sets goes to, and buckets of the same sets that are split.
     children: int = 2
+    copies: int = 6
     block_sets: int = 512
     block_tokens: int = 400_000
     #: Sketch similarity below which a pair is not fetched: ``sketch_deviations`` under the threshold, this at most.
@@ -68,10 +74,7 @@ class JoinParams:
 
     @property
     def runs(self) -> int:
-        missed = -math.log(1 - self.target_recall)
-        # A pair at the threshold stays together in a split unless it differs in all parts.
-        stays = (1 - (1 - self.threshold) ** self.children) ** (self.max_depth - 1)
-        return max(self.min_runs, math.ceil(missed / (self.branch * stays)))
+        return max(self.min_runs, math.ceil(-math.log(1 - self.target_recall) / self.branch))
 
 
 DEFAULT = JoinParams()
@@ -111,7 +114,7 @@ def _signed(x: np.ndarray) -> int:
 
 
 _SIGNATURE = (
-    "doc_id long, text_hash long, s1 long, s2 long, n_set long, sketch binary, keys array<array<long>>"
+    "doc_id long, text_hash long, s1 long, s2 long, n_set long, sketch binary, keys array<long>"
 )
 
 
@@ -126,13 +129,13 @@ def _signatures(p: JoinParams):
                     rows.append((
                         _signed(tokens.sum(dtype=np.uint64)), _signed(mix(tokens ^ np.uint64(p.seed)).sum(dtype=np.uint64)),
                         len(tokens), sketch(tokens).tobytes(),
-                        [sampled(tokens, k, p).tolist() for k in range(p.runs)] if len(tokens) else [],
+                        [key for k in range(p.runs) for key in sampled(tokens, k, p).tolist()] if len(tokens) else [],
                     ))
                 s1, s2, n, sk, keys = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(encoded)), hashes.slice(first, len(encoded)), pa.array(s1, pa.int64()),
                      pa.array(s2, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.binary()),
-                     pa.array(keys, pa.list_(pa.list_(pa.int64())))],
+                     pa.array(keys, pa.list_(pa.int64()))],
                     names=["doc_id", "text_hash", "s1", "s2", "n_set", "sketch", "keys"],
                 )
 
@@ -143,7 +146,7 @@ _SET = ["s1", "s2", "n_set"]
 
 
 def _nodes(signed: DataFrame) -> DataFrame:
-    """One row per distinct set: node (least doc_id), its documents and texts."""
+    """One row per distinct set: node (a hash of the set), its least (doc_id, text_hash), documents and texts."""
     usable = signed.where((F.col("n_set") > 0) & F.col("doc_id").isNotNull())
     per_text = usable.groupBy(*_SET, "text_hash").agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_docs"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
@@ -151,45 +154,44 @@ def _nodes(signed: DataFrame) -> DataFrame:
     return per_text.groupBy(*_SET).agg(
         F.min(F.struct("doc_id", "text_hash")).alias("least"), F.sum("n_docs").alias("n_docs"),
         F.count(F.lit(1)).alias("n_texts"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"),
-    ).select(F.col("least.doc_id").alias("node"), F.col("least.text_hash").alias("text_hash"), *_SET, "n_docs", "n_texts", "sketch", "keys")
-
-
-def _alike(big: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
-    """first, mean: average similarity of a bucket's sets over sketch bytes that one of two has at least."""
-    some = big.where(F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("n") / p.dense_sets)) == 0)
-    marks = F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.substring("sketch", k, F.lit(1)))
-    cells = some.join(nodes.select("node", "sketch"), "node").select("first", F.posexplode(marks).alias("k", "v"))
-    cells = cells.groupBy("first", "k", "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    none = F.col("v") == F.lit(b"\0")
-    bins = cells.groupBy("first", "k").agg(
-        F.sum(F.when(none, 0.0).otherwise(F.col("c") * F.col("c"))).alias("same"),
-        F.sum("c").alias("m"), F.sum(F.when(none, F.col("c")).otherwise(0.0)).alias("z"),
-    )
-    return bins.groupBy("first").agg((F.sum("same") / F.sum(F.col("m") * F.col("m") - F.col("z") * F.col("z"))).alias("mean"))
+    ).select(F.xxhash64(*_SET).alias("node"), "least", *_SET, "n_docs", "n_texts", "sketch", "keys")
+
+
+def _common(big: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """first, common: the keys that more than ``common_share`` of a bucket's sets hold, from about ``probe_sets`` of them."""
+    some = big.where((F.col("path") == F.col("first")) & (F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("n") / p.probe_sets)) == 0))
+    # Key 0 stands for the set itself, so that its count is that of the sets.
+    held = some.join(nodes.select("node", "keys"), "node").select("first", F.explode(F.array_prepend("keys", F.lit(0).cast("long"))).alias("key"))
+    counts = held.groupBy("first", "key").agg(F.count(F.lit(1)).alias("c"))
+    every = counts.groupBy("first").agg(F.collect_list(F.struct("key", "c")).alias("each"), F.max("c").alias("sets"))
+    often = F.filter("each", lambda x: (x["key"] != 0) & (x["c"] > p.common_share * F.col("sets")))
+    return every.select("first", F.transform(often, lambda x: x["key"]).alias("common"))
 
 
 def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (path, node, n) of small buckets and of dense ones."""
-    rows = nodes.select("node", F.explode(F.flatten("keys")).alias("path"))
+    """Rows (path, node, n) of small buckets, and of the dense sets of large ones.
+
+    A large bucket is split on keys that are not common in it: its parts have about half of its
+    sets at most, so that the loop ends after the logarithm of the largest bucket.
+    """
+    rows = nodes.select("node", F.explode("keys").alias("path"))
     small, dense = [], []
-    for depth in range(1, p.max_depth + 1):
+    while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
-        # Buckets of the same sets have one of them as ``first``; a set's tokens bound their number.
-        sizes = sizes.where(F.col("n") > 1).withColumn("first", F.min("path").over(Window.partitionBy("n", "who")))
-        sizes = sizes.where((F.col("n") > p.small) | (F.col("path") == F.col("first")))
+        # Buckets of the same sets: one is compared, ``copies`` are split, each in its own order.  A set's keys bound their number.
+        alike = Window.partitionBy("n", "who").orderBy("path")
+        sizes = sizes.where(F.col("n") > 1).withColumn("copy", F.row_number().over(alike)).withColumn("first", F.first("path").over(alike))
+        sizes = sizes.where((F.col("copy") == 1) | ((F.col("n") > p.small) & (F.col("copy") <= p.copies)))
         rows = cut_lineage(rows.join(sizes.select("path", "n", "first"), "path").select("path", "first", "node", "n"))
         small.append(rows.where(F.col("n") <= p.small).select("path", "node", "n"))
         big = rows.where(F.col("n") > p.small)
         if big.isEmpty():
             break
-        one = big.where(F.col("path") == F.col("first"))
-        if depth == p.max_depth:
-            dense.append(one.select("path", "node", "n"))
-            break
-        stuck = cut_lineage(_alike(one, nodes, p).where(F.col("mean") >= p.dense).select("first"))
-        dense.append(one.join(stuck, "first", "left_semi").select("path", "node", "n"))
-        parts = big.join(stuck, "first", "left_anti").join(nodes.select("node", "keys"), "node")
-        ordered = F.array_sort(F.transform(F.flatten("keys"), lambda k: F.xxhash64("path", k)))
+        held = big.join(_common(big, nodes, p), "first").join(nodes.select("node", "keys"), "node")
+        own = F.array_except("keys", "common")
+        parts = cut_lineage(held.select("path", "first", "node", "n", own.alias("own"), (F.size(own) < (1 - p.dense) * F.size("keys")).alias("stays")))
+        dense.append(parts.where(F.col("stays") & (F.col("path") == F.col("first"))).select("path", "node", "n"))
+        ordered = F.array_sort(F.transform("own", lambda k: F.xxhash64("path", k)))
         rows = parts.select("node", F.explode(F.slice(ordered, 1, p.children)).alias("path"))
     whole = small[0]
     for s in small[1:]:
@@ -378,10 +380,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def near_duplicates(docs: DataFrame, p: JoinParams = DEFAULT) -> DataFrame:
-    """doc_id, class_id, n_links (other documents), n_text_links (other texts), for every row of ``docs``."""
-    source = doc_rows(docs)
-    hashed = source.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+def _hashed(docs: DataFrame) -> DataFrame:
+    return doc_rows(docs).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def classes(docs: DataFrame, p: JoinParams = DEFAULT) -> DataFrame:
+    """doc_id, text_hash, least (doc_id and text_hash that stand for the class), n_links, n_text_links of every row.
+
+    ``least`` is null for rows that have a class of their own.
+    """
+    hashed = _hashed(docs)
     signed = cut_lineage(hashed.mapInArrow(_signatures(p), _SIGNATURE))
     nodes = cut_lineage(_nodes(signed))
     small, dense = _buckets(nodes, p)
@@ -393,10 +401,11 @@ def near_duplicates(docs: DataFrame, p: JoinParams = DEFAULT) -> DataFrame:
     if dense is not None:
         home, meets = _homes(dense, nodes, p)
         requests = requests.union(_block_requests(home, meets).select("key", "node", "side", "dense"))
-    wanted = requests.join(nodes.select("node", "text_hash", "n_docs", "n_texts"), "node")
+    wanted = requests.join(nodes.select("node", "least", "n_docs", "n_texts"), "node")
     fetched = hashed.join(
-        wanted.withColumnRenamed("text_hash", "wanted_hash"), F.col("doc_id") == F.col("node")
-    ).where(F.col("text_hash") == F.col("wanted_hash")).select("key", "side", "dense", "node", "n_docs", "n_texts", "text")
+        wanted.select("key", "side", "dense", "node", "n_docs", "n_texts", F.col("least.doc_id").alias("at"), F.col("least.text_hash").alias("wanted")),
+        (F.col("doc_id") == F.col("at")) & (F.col("text_hash") == F.col("wanted")),
+    ).select("key", "side", "dense", "node", "n_docs", "n_texts", "text")
     made = fetched.mapInArrow(
         _to_sets(p), "key long, side int, dense boolean, node long, n_docs long, n_texts long, tokens binary"
     )
@@ -417,30 +426,42 @@ def near_duplicates(docs: DataFrame, p: JoinParams = DEFAULT) -> DataFrame:
     sums = sums.groupBy("node").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     roots = components(found.where(F.col("kind") != SUM).select("a", "b"))
 
-    classes = nodes.select(*_SET, "node", "n_docs", "n_texts").join(sums, "node", "left").join(roots, "node", "left").select(
-        *_SET,
-        F.coalesce("root", "node").alias("class_id"),
+    tied = nodes.select(*_SET, "node", "least", "n_docs", "n_texts").join(sums, "node", "left").join(roots, "node", "left")
+    tied = tied.withColumn("root", F.coalesce("root", "node"))
+    first = tied.groupBy("root").agg(F.min("least").alias("first"))
+    of_set = tied.join(first, "root").select(
+        *_SET, F.col("first").alias("least"),
         (F.col("n_docs") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"),
         (F.col("n_texts") - 1 + F.coalesce("texts", F.lit(0))).alias("n_text_links"),
     )
-    known = signed.select("doc_id", *[F.when(F.col("doc_id").isNotNull() & (F.col("n_set") > 0), F.col(c)).alias(c) for c in _SET])
+    known = signed.select("doc_id", "text_hash", *[F.when(F.col("doc_id").isNotNull() & (F.col("n_set") > 0), F.col(c)).alias(c) for c in _SET])
     zero = F.lit(0).cast("long")
-    return known.join(classes, _SET, "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links"),
+    return known.join(of_set, _SET, "left").select(
+        "doc_id", "text_hash", "least", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_text_links", zero).alias("n_text_links")
     )
 
 
+def near_duplicates(docs: DataFrame, p: JoinParams = DEFAULT) -> DataFrame:
+    """doc_id, class_id, n_links (other documents), n_text_links (other texts), for every row of ``docs``."""
+    return classes(docs, p).select("doc_id", F.coalesce("least.doc_id", "doc_id").alias("class_id"), "n_links", "n_text_links")
+
+
 def deduplicated(docs: DataFrame, p: JoinParams = DEFAULT) -> DataFrame:
-    """``docs`` with one document of each class: that of the least id, once.
+    """``docs`` with one row of each class: that of the least (doc_id, hash of the text).
 
-    Rows with a null id stay.
+    Of rows with that id and text the one stays whose other columns, as text, come first.  Rows
+    without id, and of texts without words, stay, the latter once for each id and text.
     """
-    classes = near_duplicates(docs, p)
-    stay = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__stay")).distinct()
-    key = F.col("doc_id").cast("long")
-    kept = docs.join(stay, key == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    rows = classes(docs, p)
+    stay = rows.select(
+        F.coalesce("least.doc_id", "doc_id").alias("__id"), F.coalesce("least.text_hash", "text_hash").alias("__text")
+    ).where(F.col("__id").isNotNull()).distinct()
+    key, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.join(stay, (key == F.col("__id")) & (text == F.col("__text")), "left_semi")
+    order = F.struct(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"], F.col("text").isNull())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.groupBy(key.alias("__id"), text.alias("__text")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return one.union(docs.where(F.col("doc_id").isNull()))
 
 
 # --- the query -------------------------------------------------------------------------------
