@@ -14,11 +14,45 @@ from tidemark.streaming import windows
 SPIKE = "audio_combat_spike"
 
 
-def test_event_logs_and_broken_file(spark, tmp_path):
-    (tmp_path / "rec_7.json").write_text(json.dumps([{"timestamp_s": 1.5, "label": "x"}, {"label": "y", "text": "t"}]))
-    (tmp_path / "rec_8.json").write_text("{broken")
-    rows = readers.read_event_logs(spark, str(tmp_path)).orderBy("event_id").collect()
-    assert [(r.source_id, r.event_id, r.timestamp_s, r.label) for r in rows] == [(7, 0, 1.5, "x"), (7, 1, None, "y")]
+def test_event_logs_and_broken_files(spark, tmp_path):
+    good = [{"timestamp_s": 1.5, "label": "x"}, {"label": "y", "text": "t"}]
+    (tmp_path / "rec 7+.json").write_text(json.dumps(good))
+    (tmp_path / "broken.json").write_text("[{broken")
+    (tmp_path / "object.json").write_text("{}")
+    (tmp_path / "empty.json").write_bytes(b"")
+    (tmp_path / "bytes.json").write_bytes(b"[\xff\xfe]")
+    (tmp_path / "none.json").write_text("[]")
+    names = spark.createDataFrame([(str(tmp_path / "rec 7+.json"), 7)], "file STRING, source_id BIGINT")
+    read = readers.event_logs(spark, f"file://{tmp_path}", names)
+    assert [(r.source_id, r.event_id, r.timestamp_s, r.label) for r in read.rows.orderBy("event_id").collect()] == [(7, 0, 1.5, "x"), (7, 1, None, "y")]
+    bad = {r.file.rsplit("/", 1)[1]: r.reason for r in read.unreadable.collect()}
+    assert bad == {"broken.json": "not JSON", "object.json": "not a list", "empty.json": "empty", "bytes.json": "not UTF-8"}
+
+
+def test_sources_are_told_by_their_whole_path(spark, tmp_path):
+    for name in ("a/7.json", "a/007.json", "b/7.json", "b/c/7.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text('[{"timestamp_s": 1.0, "label": "x"}]')
+    rows = readers.read_event_logs(spark, str(tmp_path)).collect()
+    assert len(rows) == len({r.source_id for r in rows}) == 4
+    again = readers.read_event_logs(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()
+    assert {r.source_id for r in again} == {r.source_id for r in rows}
+
+
+def test_mixed_audio_logs(spark, tmp_path):
+    (tmp_path / "1.json").write_text('[[1.5, "a", 0.25], {"timestamp_s": 2, "label": "b", "confidence": "0.5"}, [3, "short"], 7, null, "x", ["soon", "c", 1, 9], {}]')
+    (tmp_path / "2.json").write_text("[1, ")
+    read = readers.audio_logs(spark, str(tmp_path))
+    rows = [(r.timestamp_s, r.label, r.score) for r in read.rows.collect()]
+    assert rows == [(1.5, "a", 0.25), (2.0, "b", 0.5), (None, "c", 1.0), (None, None, None)]
+    assert [r.reason for r in read.unreadable.collect()] == ["not JSON"]
+    assert readers.read_audio_events(spark, str(tmp_path)).count() == 4
+
+
+def test_transcript_files(spark, tmp_path):
+    (tmp_path / "talk.txt").write_text("no times here\n")
+    rows = readers.read_transcript_lines(spark, str(tmp_path)).orderBy("ix").collect()
+    assert [(r.ix, r.start) for r in rows] == [(0, -1.0), (1, -1.0)]
 
 
 def test_manifest_shapes_and_class_names(spark, tmp_path):
@@ -26,7 +60,7 @@ def test_manifest_shapes_and_class_names(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps([clip]))
     (tmp_path / "2.json").write_text(json.dumps({"vision_frame_timestamps": [0.5], "clips": [clip, clip]}))
     out = readers.read_manifests(spark, str(tmp_path)).groupBy("source_id").count().orderBy("source_id").collect()
-    assert [tuple(r) for r in out] == [(1, 1), (2, 2)]
+    assert sorted(r["count"] for r in out) == [1, 2]
     (tmp_path / "classes.txt").write_text("a\n\n b \r\n")
     assert [tuple(r) for r in readers.read_class_names(spark, str(tmp_path / "classes.txt")).collect()] == [(0, "a"), (1, "b")]
     assert [tuple(r) for r in readers.read_class_names(spark, str(tmp_path / "none.txt")).collect()] == [(0, "target_indicator")]

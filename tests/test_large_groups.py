@@ -90,14 +90,14 @@ def test_trigger_chain_equals_the_walk_on_both_paths(skewed):
     for (s, g), part in pdf.groupby(["source_id", "segment_id"]):
         want += [(s, g, a, b) for a, b in chain_model(list(zip(part["timestamp_s"], part["label"])), 20.0)]
     for limit in (4096, 3):
-        got = chains.trigger_windows(ranked, window_s=20.0, max_fold=limit, width=60.0)
+        got = chains.trigger_windows(ranked, window_s=20.0, page_rows=limit, width=60.0)
         assert rows(got.select("source_id", "segment_id", "row_ix", "last_ix")) == sorted(want, key=repr)
 
 
 def test_sliding_clips_do_not_depend_on_bins(skewed):
     cols = ["source_id", "start_time", "end_time", "event_count", "combat_events", "segment_id", "segment_events"]
     a = highlights.sliding_clips(skewed, gap_s=5.0, bridge_s=8.0, window_s=20.0, merge_s=3.0, width=1e6).select(cols)
-    b = highlights.sliding_clips(skewed, gap_s=5.0, bridge_s=8.0, window_s=20.0, merge_s=3.0, width=40.0, max_fold=5).select(cols)
+    b = highlights.sliding_clips(skewed, gap_s=5.0, bridge_s=8.0, window_s=20.0, merge_s=3.0, width=40.0, page_rows=5).select(cols)
     assert rows(a) == rows(b)
 
 
@@ -206,7 +206,7 @@ def test_chapters_equal_the_walk_on_both_paths(spark):
     tr = spark.createDataFrame(data, "source_id BIGINT, ix BIGINT, start DOUBLE, end DOUBLE")
     sc = spark.createDataFrame(shots, "source_id BIGINT, t DOUBLE")
     for limit, width in ((4096, 600.0), (2, 90.0)):
-        got = chains.chapters(tr, sc, max_fold=limit, width=width)
+        got = chains.chapters(tr, sc, page_rows=limit, width=width)
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 

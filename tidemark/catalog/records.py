@@ -27,29 +27,61 @@ def _scratch(spark) -> str:
 # ---------------------------------------------------------------- sources
 
 
+def _log_names(spark, folder, ids, key="source_id"):
+    """(file, source_id) of the logs that a query has written under ``log=<id>``."""
+    return ids.select(F.concat(F.lit(f"{folder}/log="), F.col(key).cast("string")).alias("file"), F.col(key).alias("source_id"))
+
+
 @query(
     "s01_event_logs",
     sql("SELECT source_id, timestamp_s, label, round(confidence, 6) AS confidence, text FROM ev", "ev"),
 )
 def s01(spark, sf):
-    """Write the events as JSON arrays, one document per source, and read them back."""
+    """Write the events as JSON arrays, one paged document per source, and read them back."""
     folder = _scratch(spark)
-    sinks.write_event_arrays(S.events(spark, sf), folder)
-    out = readers.read_event_logs(spark, folder)
+    ev = S.events(spark, sf)
+    sinks.write_event_arrays(ev, folder)
+    out = readers.read_event_logs(spark, folder, _log_names(spark, folder, ev.select("source_id").distinct()))
     return out.select("source_id", "timestamp_s", "label", F.round("confidence", 6).alias("confidence"), "text")
 
 
+@query(
+    "s01_unreadable_logs",
+    """SELECT s_suppkey AS log, CASE s_suppkey % 4 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not a list' WHEN 3 THEN 'empty' END AS reason,
+  CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 0 END AS n_events FROM supplier""",
+)
+def s01_unreadable(spark, sf):
+    """Logs of suppliers, three quarters of them broken in some way: what was read, and why the rest was not."""
+    folder = _scratch(spark)
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    event = F.concat(F.lit('{"timestamp_s": 1.5, "label": "'), name, F.lit('"}'))
+    whole = F.concat(F.lit("["), event, F.lit(", "), event, F.lit("]"))
+    value = (
+        F.when(key % 4 == 1, F.concat(F.lit("["), event, F.lit(", {bad"))).when(key % 4 == 2, event).when(key % 4 == 3, F.lit(" ")).otherwise(whole)
+    )
+    logs = S.table(spark, sf, "supplier").select(value.alias("value"), key.alias("log"), F.lit(0).alias("page"))
+    logs.write.mode("overwrite").partitionBy("log", "page").text(folder)
+    read = readers.event_logs(spark, folder, _log_names(spark, folder, logs.select("log"), "log"))
+    good = read.rows.groupBy(F.col("source_id").alias("log")).agg(F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).cast("int").alias("n_events"))
+    log = F.regexp_extract("file", r"log=(\d+)$", 1).cast("bigint")
+    return good.unionByName(read.unreadable.select(log.alias("log"), "reason", F.lit(0).alias("n_events")))
+
+
 @query(
     "s02_audio_triples",
     sql("SELECT source_id, timestamp_s, label, round(score, 6) AS score FROM au", "au"),
 )
 def s02(spark, sf):
+    """Audio logs that mix lists and objects in one document."""
     au = S.audio(spark, sf)
-    triple = F.concat(
-        F.lit("[["), F.col("timestamp_s").cast("string"), F.lit(', "'), F.col("label"), F.lit('", '), F.col("score").cast("string"), F.lit("]]")
-    )
-    raw = au.select("source_id", triple.alias("value"))
-    return raw.select("source_id", F.explode(readers.audio_triples(F.col("value"))).alias("a")).select(
+    t, score = F.col("timestamp_s").cast("string"), F.col("score").cast("string")
+    triple = F.concat(F.lit("["), t, F.lit(', "'), F.col("label"), F.lit('", '), score, F.lit("]"))
+    record = F.concat(F.lit('{"timestamp_s": '), t, F.lit(', "label": "'), F.col("label"), F.lit('", "confidence": "'), score, F.lit('"}'))
+    even = F.floor(F.col("timestamp_s") * 100) % 2 == 0
+    # beside each record stand a short list and a number, which are no records
+    doc = F.concat(F.lit("["), F.when(even, triple).otherwise(F.concat(F.lit('[1, "short"], 7, '), record)), F.lit("]"))
+    raw = au.select("source_id", doc.alias("value"))
+    return raw.select("source_id", F.explode(readers.audio_records(F.col("value"))).alias("a")).select(
         "source_id", "a.timestamp_s", "a.label", F.round("a.score", 6).alias("score")
     )
 

@@ -2,9 +2,14 @@
 
 Every such rule is first turned into data: a row's ``next`` row depends on the row alone,
 so range windows and forward as-of scans compute it for all rows at once.  What is left
-is following the pointers from the first row.  Short groups are folded natively; groups
-above ``max_fold`` rows are followed by pointer doubling, in log2(length) evenly hashed
-joins, so no long group is ever collected.
+is following the pointers from the first row, in pages of ``PAGE_ROWS`` places:
+
+1. a page works out where each of its rows leaves it (a map entry to exit);
+2. the maps are composed in a tree of doublings over the rows at which a page can be entered;
+   a chain enters a page once at most;
+3. every page that is entered is followed once from its entry.
+
+One path serves chains of any length: a chain inside one page needs no doubling at all.
 """
 
 from __future__ import annotations
@@ -15,9 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
-from tidemark.operators.scan import (
-    BIN, last_value, next_value, range_over, row_number, scan, with_halo,
-)
+from tidemark.operators.scan import last_value, next_value, row_number, running_max, scan
 from tidemark.session import cut_lineage
 
 TRIGGER_LABELS = (
@@ -30,15 +33,66 @@ TRIGGER_LABELS = (
     "audio_combat_spike",
 )
 
-MAX_FOLD = 4096
+PAGE_ROWS = 256
+
+
+def _exits(pages: DataFrame) -> DataFrame:
+    """Add ``__exits``: for each row of a page (``__nodes``, ascending) the row outside the page that its chain comes to, or null."""
+    ixs, nexts = F.transform("__nodes", lambda x: x["ix"]), F.transform("__nodes", lambda x: x["next_ix"])
+    # 1-based place of the next row in the page, 0 for one outside
+    places = F.transform(nexts, lambda n: F.array_position(F.col("__ixs"), n).cast("int"))
+    n = F.size("__ixs")
+    folded = F.aggregate(
+        F.sequence(n, F.lit(1), F.lit(-1)),
+        F.slice("__nexts", 1, 0),
+        # what is folded so far are the exits of the rows after ``i``
+        lambda done, i: F.concat(
+            F.array(
+                F.when(F.get("__places", i - 1) > 0, F.get(done, F.get("__places", i - 1) - i - 1)).otherwise(F.get("__nexts", i - 1))
+            ),
+            done,
+        ),
+    )
+    return (
+        pages.withColumns({"__ixs": ixs, "__nexts": nexts}).withColumn("__places", places).withColumn("__exits", folded)
+    )
+
+
+def _entries(maps: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows at which the chain of each group enters a page: its first row, and what follows from the page maps."""
+    steps = maps.select(*group, F.explode(F.arrays_zip(F.col("__ixs").alias("ix"), F.col("__exits").alias("to"))).alias("s"))
+    steps = steps.select(*group, "s.ix", "s.to")
+    firsts = maps.groupBy(*group).agg(F.min(F.get("__ixs", F.lit(0))).alias("ix"))
+    # only rows that some page leads to can be entered, beside the first
+    doors = steps.where(F.col("to").isNotNull()).select(*group, F.col("to").alias("ix")).union(firsts).distinct()
+    reached = cut_lineage(firsts)
+    jump = cut_lineage(steps.join(doors, [*group, "ix"], "left_semi").where(F.col("to").isNotNull()))
+    while not jump.isEmpty():
+        more = reached.join(jump, [*group, "ix"]).select(*group, F.col("to").alias("ix"))
+        reached = cut_lineage(reached.union(more).distinct())
+        hop = jump.select(*group, F.col("ix").alias("to"), F.col("to").alias("__then"))
+        jump = cut_lineage(jump.join(hop, [*group, "to"]).select(*group, "ix", F.col("__then").alias("to")))
+    return reached
 
 
-def _fold_short(nodes: DataFrame, group: Sequence[str]) -> DataFrame:
+def follow_chain(nodes: DataFrame, group: Sequence[str], *, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Nodes visited from each group's first ``ix`` along ``next_ix`` (null ends the chain).
+
+    ``nodes`` holds group columns, ``ix``, ``next_ix > ix``, where ``next_ix`` is the ``ix``
+    of another node, and any narrow columns to keep.  ``ix`` is not repeated in a group.
+    """
+    group = list(group)
     rest = [c for c in nodes.columns if c not in (*group, "ix", "next_ix")]
-    packed = nodes.groupBy(*group).agg(
+    paged = nodes.groupBy(*group, F.floor(F.col("ix") / page_rows).cast("bigint").alias("__page")).agg(
         F.array_sort(F.collect_list(F.struct("ix", "next_ix", *rest))).alias("__nodes")
     )
-    seed = F.struct(F.col("__nodes")[0]["ix"].alias("want"), F.slice("__nodes", 1, 0).alias("got"))
+    paged = cut_lineage(paged)
+    entries = _entries(_exits(paged).select(*group, "__ixs", "__exits"), group)
+    entered = paged.join(
+        entries.select(*group, F.floor(F.col("ix") / page_rows).cast("bigint").alias("__page"), F.col("ix").alias("__entry")),
+        [*group, "__page"],
+    )
+    seed = F.struct(F.col("__entry").alias("want"), F.slice("__nodes", 1, 0).alias("got"))
     walked = F.aggregate(
         "__nodes",
         seed,
@@ -48,44 +102,7 @@ def _fold_short(nodes: DataFrame, group: Sequence[str]) -> DataFrame:
         ).otherwise(acc),
         lambda acc: acc["got"],
     )
-    return packed.select(*group, F.explode(walked).alias("__x")).select(*group, "__x.*").select(nodes.columns)
-
-
-def _double_pointers(nodes: DataFrame, group: Sequence[str], longest: int) -> DataFrame:
-    firsts = nodes.groupBy(*group).agg(F.min("ix").alias("ix"))
-    reached, jump = cut_lineage(firsts), cut_lineage(nodes.where(F.col("next_ix").isNotNull()))
-    span = 1
-    while span <= longest:
-        step = jump.select(*group, "ix", F.col("next_ix").alias("__to"))
-        more = reached.join(step, [*group, "ix"]).select(*group, F.col("__to").alias("ix"))
-        reached = cut_lineage(reached.unionByName(more).distinct())
-        hop = jump.select(*group, F.col("ix").alias("next_ix"), F.col("next_ix").alias("__to"))
-        jump = cut_lineage(
-            jump.join(hop, [*group, "next_ix"]).select(*group, "ix", F.col("__to").alias("next_ix"))
-        )
-        span *= 2
-    return reached
-
-
-def follow_chain(
-    nodes: DataFrame, group: Sequence[str], *, max_fold: int = MAX_FOLD, sizes: DataFrame | None = None
-) -> DataFrame:
-    """Nodes visited from each group's first ``ix`` along ``next_ix`` (null ends the chain).
-
-    ``nodes`` holds group columns, ``ix``, ``next_ix > ix``, where ``next_ix`` is the ``ix``
-    of another node, and any narrow columns to keep.  ``sizes`` may name a cheaper frame to
-    count groups from.
-    """
-    group = list(group)
-    counted = (sizes if sizes is not None else nodes).groupBy(*group).count()
-    longest = counted.agg(F.max("count")).first()[0] or 0
-    if longest <= max_fold:
-        return _fold_short(nodes, group)
-    large = counted.where(F.col("count") > max_fold).select(*group)
-    short = _fold_short(nodes.join(large, group, "left_anti"), group)
-    long = nodes.join(large, group, "left_semi")
-    reached = _double_pointers(long.select(*group, "ix", "next_ix"), group, longest)
-    return short.unionByName(long.join(reached, [*group, "ix"], "left_semi"))
+    return entered.select(*group, F.explode(walked).alias("__x")).select(*group, "__x.*").select(nodes.columns)
 
 
 def trigger_nodes(
@@ -98,16 +115,20 @@ def trigger_nodes(
     next try is ``max(1, n // 2)`` rows on, or the first trigger after that.
     """
     group = [key, "segment_id"]
-    narrow = ranked.select(
-        *group, "timestamp_s", "event_id", "ix", "rank",
-        F.col("label").isin(*triggers).alias("__trigger"),
+    at, is_trigger = F.col("timestamp_s"), F.col("label").isin(*triggers)
+    none = F.lit(None).cast("bigint")
+    # The last row of a window is the greatest place up to its end: one scan over rows and the ends asked for,
+    # rows of equal time first.
+    marks = ranked.select(*group, at.alias("__p"), F.lit(0).alias("__o"), F.col("ix").alias("__tie"), F.col("ix").alias("__mark"), none.alias("__q"))
+    asks = ranked.where(is_trigger).select(
+        *group, (at + window_s).alias("__p"), F.lit(1).alias("__o"), F.col("ix").alias("__tie"), none.alias("__mark"), F.col("ix").alias("__q")
     )
-    halo = with_halo(narrow, F.col("timestamp_s"), width=max(width, window_s), after=window_s)
+    ends = scan(
+        marks.unionByName(asks), group, ["__p", "__o", "__tie"], {"last_ix": running_max(F.col("__mark"))}, pos="__p", width=width
+    ).where(F.col("__q").isNotNull()).select(*group, F.col("__q").alias("ix"), "last_ix")
     n = F.col("last_ix") - F.col("ix") + 1
     opened = (
-        halo.withColumn("last_ix", range_over("max(ix)", [*group, BIN], "timestamp_s", ahead=window_s))
-        .where(F.col("__own") & F.col("__trigger"))
-        .drop(BIN, "__own")
+        ranked.where(is_trigger).select(*group, "timestamp_s", "event_id", "ix", "rank").join(ends, [*group, "ix"])
         .withColumn("n_window", n)
         .withColumn("try_ix", F.col("ix") + F.greatest(F.lit(1), F.floor(n / 2)))
     )
@@ -122,14 +143,12 @@ def trigger_nodes(
 
 def trigger_windows(
     ranked: DataFrame, *, window_s: float = 60.0, triggers: Sequence[str] = TRIGGER_LABELS,
-    key: str = "source_id", width: float = 600.0, max_fold: int = MAX_FOLD,
+    key: str = "source_id", width: float = 600.0, page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """Windows opened by the trigger chain: first and last row of each, per segment."""
     group = [key, "segment_id"]
     nodes = trigger_nodes(ranked, window_s=window_s, triggers=triggers, key=key, width=width)
-    visited = follow_chain(
-        nodes, group, max_fold=max_fold, sizes=ranked.where(F.col("label").isin(*triggers))
-    )
+    visited = follow_chain(nodes, group, page_rows=page_rows)
     return visited.select(*group, "event_id", "row_ix", "last_ix", "n_window", "window_start")
 
 
@@ -182,7 +201,7 @@ def chapters(
     tail_s: float = 10.0,
     key: str = "source_id",
     width: float = 600.0,
-    max_fold: int = MAX_FOLD,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """Cut transcript lines into chapters at pauses, screen changes or the maximum length.
 
@@ -225,7 +244,7 @@ def chapters(
     nodes = cut_lineage(
         nodes.join(begin, key).where(F.col("ix") >= F.col("__first")).select(key, "ix", "start", "next_ix")
     )
-    starts = follow_chain(nodes, [key], max_fold=max_fold)
+    starts = follow_chain(nodes, [key], page_rows=page_rows)
     ends = linked.groupBy(key).agg(F.max("end").alias("__close"))
     closed = starts.join(
         linked.select(key, F.col("ix").alias("next_ix"), F.col("last_end").alias("__cut_end")),

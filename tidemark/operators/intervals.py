@@ -2,10 +2,10 @@
 
 All of them are "island" problems: sort, start a new island where a row does not reach
 back to the ones before it, aggregate each island.  Island formation is associative, so
-it is done twice: first inside (source, time bin), which collapses the data next to where
-it lies, then per source over the islands that are left.  Two islands of one bin are
-further apart than the allowed gap, so a source keeps at most
-``timeline / gap + timeline / bin width`` islands, whatever its row count.
+it is done twice: first inside (source, time bin, piece), which collapses the data next to where
+it lies, then per source over the islands that are left.  Pieces bound the rows of a bin
+(see ``scan``).  Two islands of one piece are further apart than the allowed gap, so a source
+keeps at most ``timeline / gap + timeline / bin width + pieces`` islands, whatever its row count.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.rangejoin import points_in_intervals
-from tidemark.operators.scan import BIN, alike, bin_of, last_value, running_max, running_sum, scan
+from tidemark.operators.scan import (
+    BIN, PIECE, alike, key_columns, last_value, plain_keys, running_max, running_sum, scan, with_pieces,
+)
 
 SPIKE = "audio_combat_spike"
 
@@ -67,8 +69,9 @@ def _number(df: DataFrame, part: Sequence[str], order: Sequence[str], rule: Join
 
 def _number_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: JoinRule, width: float) -> DataFrame:
     """As :func:`_number` for sources with any number of rows: two scans instead of one window."""
-    home = df.withColumnRenamed(BIN, "__home")
-    order = ["__home" if c == BIN else c for c in order]
+    renamed = {BIN: "__home", PIECE: "__part", **{k: f"__own{k}" for k in keys}}
+    home = df.withColumnsRenamed(renamed)
+    order, keys = [renamed.get(c, c) for c in order], [renamed[k] for k in keys]
     seen = scan(
         home, keys, order,
         {"__reach": running_max(F.col("__end"), inclusive=False), "__ptail": last_value(F.col("__tail"), inclusive=False)},
@@ -76,9 +79,10 @@ def _number_far(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule:
     )
     joins = rule(F.col("__reach"), F.col("__ptail"), F.col("__start"), F.col("__head"))
     fresh = F.when(F.col("__reach").isNull() | ~joins, 1).otherwise(0)
-    return scan(
+    out = scan(
         seen.withColumn("__fresh", fresh), keys, order, {"__isl": running_sum(F.col("__fresh"))}, pos="__start", width=width
     )
+    return out.withColumnsRenamed({new: old for old, new in renamed.items()})
 
 
 def islands(
@@ -95,44 +99,43 @@ def islands(
     width: float = 600.0,
     number: str = "island_ix",
     apart: bool = True,
+    even: bool = False,
 ) -> DataFrame:
     """Merge rows into islands; one row each with start, end, aggregates and a number from 0.
 
     ``apart`` says that the rule leaves a gap between islands, which bounds their number per
-    source; without it the second step scans in wider bins instead of one window.
+    source; without it the second step scans in wider bins instead of one window.  ``even``
+    says that the rows of a bin are bounded as they stand.
 
     ``head`` / ``tail`` are carried from an island's first / last row for rules that look
     at more than time.  ``tie`` orders rows of equal start.
     """
-    keys = [key] if isinstance(key, str) else list(key)
+    names = [key] if isinstance(key, str) else list(key)
     none = F.lit(None).cast("string")
-    rows = df.withColumns(
-        {
-            "__start": start,
-            "__end": end,
-            "__head": none if head is None else head,
-            "__tail": none if tail is None else tail,
-            BIN: bin_of(start, width),
-        }
+    keyed, keys = plain_keys(df, names)
+    rows = keyed.withColumns(
+        {"__start": start, "__end": end, "__head": none if head is None else head, "__tail": none if tail is None else tail}
     )
     order = ["__start", *tie]
-    near = _number(rows, [*keys, BIN], order, rule)
-    place = F.struct(*order)
-    small = near.groupBy(*keys, BIN, F.col("__isl").alias("__near")).agg(
+    # equal places are told apart by their ends where no tie is named
+    rows = with_pieces(rows, keys, [*order, "__end"], F.col("__start"), width, even=even)
+    near = _number(rows, [*keys, BIN, PIECE], [*order, "__end"], rule)
+    place = F.struct(*order, "__end")
+    small = near.groupBy(*keys, BIN, PIECE, F.col("__isl").alias("__near")).agg(
         F.min("__start").alias("__s"),
         F.max("__end").alias("__e"),
         F.min_by("__head", place).alias("__head"),
         F.max_by("__tail", place).alias("__tail"),
         *[a.first.alias(n) for n, a in aggs.items()],
     ).withColumnsRenamed({"__s": "__start", "__e": "__end"})
-    far = ["__start", BIN, "__near"]
+    far = ["__start", BIN, PIECE, "__near"]
     wide = _number(small, keys, far, rule) if apart else _number_far(small, keys, far, rule, 16 * width)
     out = wide.groupBy(*keys, "__isl").agg(
         F.min("__start").alias("start"),
         F.max("__end").alias("end"),
         *[a.again(F.col(n)).alias(n) for n, a in aggs.items()],
     )
-    return out.select(*keys, (F.col("__isl") - 1).cast("bigint").alias(number), "start", "end", *aggs)
+    return out.select(*key_columns(names), (F.col("__isl") - 1).cast("bigint").alias(number), "start", "end", *aggs)
 
 
 def time_points(events: DataFrame, *, key: str = "source_id", t: str = "timestamp_s",
@@ -176,7 +179,7 @@ def gap_segments(
     out = islands(
         pts, _gap_rule(gap_s, bridge_s, audio_label), {"n_events": total(F.col("n")), **(aggs or {})},
         start=F.col("t"), end=F.col("t"), head=F.col("first_label"), tail=F.col("last_label"),
-        key=key, width=width, number="segment_ix",
+        key=key, width=width, number="segment_ix", even=True,  # one row per time of two decimals
     )
     return out.select(key, (F.col("segment_ix") + 1).alias("segment_id"), "start", "end", "n_events",
                       *(aggs or {}))
@@ -190,22 +193,27 @@ def number_segments(
 
     Adds segment_id, segment_events, ``ix`` (position in the segment, from 1) and ``rank``
     (running number of events that meet ``counted``).  Positions are counted inside
-    (source, bin); each island of a bin leaves one row, and the islands' running totals
-    give the offset between a place in the bin and a place in the segment.
+    (source, bin, piece); each island of a piece leaves one row, and the islands' running totals
+    give the offset between a place in the piece and a place in the segment.  An event
+    without a time counts as one at 0.
     """
-    rows = events.withColumns(
-        {"__start": F.col(t), "__end": F.col(t), "__head": F.col("label"), "__tail": F.col("label"),
-         BIN: bin_of(F.col(t), width), "__c": F.coalesce(counted, F.lit(False)).cast("bigint")}
-    ).where(F.col(key).isNotNull() & F.col(BIN).isNotNull()).repartition(key, BIN)
-    rule = _gap_rule(gap_s, bridge_s, audio_label)
+    keyed, keys = plain_keys(events, [key])
+    time = F.coalesce(F.col(t), F.lit(0.0))
+    rows = keyed.withColumns(
+        {"__start": time, "__end": time, "__head": F.col("label"), "__tail": F.col("label"),
+         "__c": F.coalesce(counted, F.lit(False)).cast("bigint")}
+    )
     order = ["__start", tie]
-    upto = Window.partitionBy(key, BIN).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = _number(rows, [key, BIN], order, rule).withColumns(
+    cell = [*keys, BIN, PIECE]
+    rows = with_pieces(rows, keys, order, F.col("__start"), width).repartition(*cell)
+    rule = _gap_rule(gap_s, bridge_s, audio_label)
+    upto = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = _number(rows, cell, order, rule).withColumns(
         {"__at": F.count(F.lit(1)).over(upto), "__seen": F.sum("__c").over(upto)}
     )
     place = F.struct(*order)
     small = (
-        near.groupBy(key, BIN, F.col("__isl").alias("__near"))
+        near.groupBy(*cell, F.col("__isl").alias("__near"))
         .agg(
             F.min("__start").alias("__s"), F.max("__end").alias("__e"), F.min_by("__head", place).alias("__head"),
             F.max_by("__tail", place).alias("__tail"), F.count(F.lit(1)).alias("__n"), F.sum("__c").alias("__k"),
@@ -214,21 +222,21 @@ def number_segments(
         .where(F.col("__alike") >= 0)
         .withColumnsRenamed({"__s": "__start", "__e": "__end"})
     )
-    wide = _number(small, [key], ["__start", BIN, "__near"], rule)
+    wide = _number(small, keys, ["__start", BIN, PIECE, "__near"], rule)
     before = Window.unboundedPreceding, -1
-    whole = Window.partitionBy(key, "__isl")
-    in_seg = whole.orderBy("__start", BIN, "__near").rowsBetween(*before)
-    in_bin = Window.partitionBy(key, BIN).orderBy("__near").rowsBetween(*before)
+    whole = Window.partitionBy(*keys, "__isl")
+    in_seg = whole.orderBy("__start", BIN, PIECE, "__near").rowsBetween(*before)
+    in_bin = Window.partitionBy(*cell).orderBy("__near").rowsBetween(*before)
 
     def shift(c: str) -> Column:
         zero = F.lit(0)
         return F.coalesce(F.sum(c).over(in_seg), zero) - F.coalesce(F.sum(c).over(in_bin), zero)
 
     place_of = wide.select(
-        key, BIN, F.col("__near").alias("__isl"), F.col("__isl").alias("segment_id"),
+        *cell, F.col("__near").alias("__isl"), F.col("__isl").alias("segment_id"),
         F.sum("__n").over(whole).alias("segment_events"), shift("__n").alias("__ix0"), shift("__k").alias("__rank0"),
     )
-    return near.join(place_of, [key, BIN, "__isl"]).select(
+    return near.join(place_of, [*cell, "__isl"]).select(
         *events.columns, "segment_id", "segment_events",
         (F.col("__at") + F.col("__ix0")).alias("ix"), (F.col("__seen") + F.col("__rank0")).alias("rank"),
     )
@@ -255,7 +263,7 @@ def bursts(
     return islands(
         pts, lambda reach, tail, start, head: start - reach <= gap_s,
         {"elim_count": total(F.col("n"))},
-        start=F.col("t"), end=F.col("t"), key=key, width=width, number="burst_ix",
+        start=F.col("t"), end=F.col("t"), key=key, width=width, number="burst_ix", even=True,
     )
 
 
@@ -266,7 +274,7 @@ def scan_windows(points: DataFrame, *, pad_s: float = 15.0, t: str = "timestamp_
     out = islands(
         pts, lambda reach, tail, start, head: start <= reach,
         {"n_points": total(F.col("n"))},
-        start=F.col("t") - pad_s, end=F.col("t") + pad_s, key=key, width=width, number="window_ix",
+        start=F.col("t") - pad_s, end=F.col("t") + pad_s, key=key, width=width, number="window_ix", even=True,
     )
     return out.withColumn("start", F.greatest(F.lit(0.0), F.col("start")))
 

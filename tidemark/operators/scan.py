@@ -1,10 +1,15 @@
-"""Ordered scans and halos that split every source into time bins.
+"""Ordered scans and halos that split every source into bins of a bounded share of the rows.
 
 A plain ``Window.partitionBy(source)`` puts one whole source into one task, and one
-source may hold a third of all rows.  Here the window runs over (source, bin), each bin
-leaves one summary row, the summaries are scanned per source (their number is bounded
-by the length of the timeline over the bin width, never by the row count) and the
-carried values are joined back.
+source may hold a third of all rows.  Here the window runs over (source, bin, piece), each
+piece leaves one summary row, the summaries are scanned per source and the carried
+values are joined back.
+
+A bin is a stretch of time.  Time alone does not bound it, as one instant of one source may hold
+most rows.  So bins are cut into pieces by rank: of a sample of the rows, drawn by a hash of
+their place in the order, every ``DRAWN``-th is a border.  A piece then holds about one
+part in ``MIN_PIECES`` (or in the number of shuffle partitions, if that is greater) of all rows at
+most, whatever their times.  The borders are a table of that many rows, and so may be broadcast.
 """
 
 from __future__ import annotations
@@ -16,7 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-BIN = "__bin"
+BIN, PIECE = "__bin", "__piece"
+
+#: Least number of pieces that all rows are cut into, and sampled rows per piece.
+MIN_PIECES, DRAWN = 32, 16
+
+#: Bin of rows without a position; they come first, as nulls do in ascending order.
+_FIRST = -(1 << 62)
 
 
 def bin_of(pos: Column, width: float) -> Column:
@@ -99,6 +110,55 @@ def alike(columns: Sequence[str]) -> Column:
     return sum((F.count(F.col(c)) for c in columns), F.lit(0))
 
 
+_BLANK = {"string": "", "boolean": False, "date": "1970-01-01", "timestamp": "1970-01-01"}
+
+
+def plain_keys(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that stand for the key and are never null, so that joins keep null keys."""
+    kinds, made, absent = dict(df.dtypes), {}, F.lit(0)
+    for i, k in enumerate(key):
+        made[f"__k{i}"] = F.coalesce(F.col(k), F.lit(_BLANK.get(kinds[k], 0)).cast(kinds[k]))
+        absent = absent + F.when(F.col(k).isNull(), 1 << i).otherwise(0)
+    return df.withColumns(made | {"__absent": absent}), [*made, "__absent"]
+
+
+def key_columns(key: Sequence[str]) -> list[Column]:
+    """The key again, from the columns of :func:`plain_keys`."""
+    return [F.when(F.col("__absent").bitwiseAND(1 << i) == 0, F.col(f"__k{i}")).alias(k) for i, k in enumerate(key)]
+
+
+def _piece(order: Sequence[str], pieces: int) -> Column:
+    """Number of borders (``__cuts``, ascending) below the row, found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(pieces.bit_length()))])
+    place = F.struct(*order)
+    below = F.aggregate(
+        steps, F.lit(0), lambda done, step: done + F.when(F.get("__cuts", done + step - 1) < place, step).otherwise(0)
+    )
+    return F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(below)
+
+
+def with_pieces(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: float, *, even: bool = False
+) -> DataFrame:
+    """Add BIN and PIECE, which rise with ``order`` within ``keys`` (columns that are never null).
+
+    ``even`` says that bins are bounded as they stand; they are not cut then.
+    """
+    binned = df.withColumn(BIN, F.coalesce(bin_of(position, width), F.lit(_FIRST)))
+    if even:
+        return binned.withColumn(PIECE, F.lit(0))
+    keys = list(keys)
+    pieces = max(MIN_PIECES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    place = F.struct(*order).alias("__place")
+    # The sample and its one window have DRAWN * pieces rows, whatever the input.
+    drawn = binned.select(*keys, BIN, place).orderBy(F.xxhash64(*keys, "__place")).limit(DRAWN * pieces)
+    ranked = drawn.withColumn("__r", F.row_number().over(Window.orderBy(*keys, BIN, "__place")))
+    cuts = ranked.where(F.col("__r") % DRAWN == 0).groupBy(*keys, BIN).agg(
+        F.array_sort(F.collect_set("__place")).alias("__cuts")
+    )
+    return binned.join(F.broadcast(cuts), [*keys, BIN], "left").select(*binned.columns, _piece(order, pieces).alias(PIECE))
+
+
 def scan(
     df: DataFrame,
     key: Sequence[str],
@@ -108,37 +168,38 @@ def scan(
     pos: str | Column,
     width: float,
     backward: bool = False,
+    even: bool = False,
 ) -> DataFrame:
     """Add one column per fold, scanning each ``key`` in ``order``.
 
-    ``pos`` must rise with ``order``; it places a row in its bin of ``width``.  Rows
-    whose key or position is null are left out.
+    ``pos`` must rise with ``order``; it places a row in its bin of ``width``.  Rows whose
+    position is null come first; a null key is a key of its own.  ``even`` says that the rows
+    of a bin are bounded as they stand, see :func:`with_pieces`.
     ``backward`` takes the carried value from later bins (for :func:`next_value`).
     """
-    key, order = list(key), list(order)
+    order = list(order)
     position = F.col(pos) if isinstance(pos, str) else pos
-    present = F.col(BIN).isNotNull()
-    for k in key:
-        present = present & F.col(k).isNotNull()
-    binned = df.withColumn(BIN, bin_of(position, width)).where(present).repartition(*key, BIN)
-    inside = Window.partitionBy(*key, BIN).orderBy(*order)
+    keyed, keys = plain_keys(df, list(key))
+    cell = [*keys, BIN, PIECE]
+    binned = with_pieces(keyed, keys, order, position, width, even=even).repartition(*cell)
+    inside = Window.partitionBy(*cell).orderBy(*order)
     local = binned.withColumns({f"__l_{n}": f.local(inside) for n, f in folds.items()})
     totals = (
-        binned.groupBy(*key, BIN)
+        binned.groupBy(*cell)
         .agg(*[f.total(order).alias(f"__t_{n}") for n, f in folds.items()], alike(df.columns).alias("__alike"))
         .where(F.col("__alike") >= 0)
     )
-    across = Window.partitionBy(*key).orderBy(BIN)
+    across = Window.partitionBy(*keys).orderBy(BIN, PIECE)
     across = (
         across.rowsBetween(1, Window.unboundedFollowing)
         if backward
         else across.rowsBetween(_UP, -1)
     )
     carried = totals.select(
-        *key, BIN, *[f.carry(F.col(f"__t_{n}"), across).alias(f"__c_{n}") for n, f in folds.items()]
+        *cell, *[f.carry(F.col(f"__t_{n}"), across).alias(f"__c_{n}") for n, f in folds.items()]
     )
-    # every bin has one summary row
-    joined = local.join(carried, [*key, BIN])
+    # every piece has one summary row
+    joined = local.join(carried, cell)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[f.merge(F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n, f in folds.items()],

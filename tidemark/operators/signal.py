@@ -95,7 +95,7 @@ def exact_quantiles(
     )
     ranked = scan(
         counts.join(bounds, key).withColumn("cell", cell.cast("double")).drop("cuts"),
-        [key], ["v"], {"upto": running_sum(F.col("c"))}, pos="cell", width=1.0,
+        [key], ["v"], {"upto": running_sum(F.col("c"))}, pos="cell", width=1.0, even=True,
     )
     covers = lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c"))
     wanted, sides, out = F.lit(False), [], []

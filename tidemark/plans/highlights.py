@@ -160,7 +160,7 @@ def sliding_clips(
     events: DataFrame, *, weights: Mapping | None = None, window_s: float = 60.0,
     min_intensity: float = 3.0, gap_s: float = 30.0, bridge_s: float = 60.0, merge_s: float = 30.0,
     tail_s: float = 5.0, celebration_s: float = 10.0, triggers: Sequence[str] = TRIGGER_LABELS,
-    audio_label: str = SPIKE, compat: bool = False, width: float = 600.0, max_fold: int = 4096,
+    audio_label: str = SPIKE, compat: bool = False, width: float = 600.0, page_rows: int = 256,
 ) -> DataFrame:
     """Gap segments, trigger windows, acceptance, merge of near windows, clip profile.
 
@@ -174,7 +174,7 @@ def sliding_clips(
                          audio_label=audio_label, triggers=triggers, width=width)
     )
     _, pairs, totals = window_candidates(
-        ranked, window_s=window_s, tail_s=tail_s, triggers=triggers, width=width, max_fold=max_fold
+        ranked, window_s=window_s, tail_s=tail_s, triggers=triggers, width=width, page_rows=page_rows
     )
     kept = accepted_windows(totals, min_intensity)
     clips = near_windows(kept, merge_s=merge_s, width=width)

@@ -1,12 +1,17 @@
-"""Readers: event logs, audio triples, manifests, text lines, waveforms, probes, file lists.
+"""Readers: event logs, audio logs, manifests, text lines, waveforms, probes, file lists.
 
-JSON arrays are read one file per row with ``wholetext`` (a log of one recording is one
-file), so records keep their position and a broken file gives no rows instead of an error.
+JSON arrays are read one file per row (a log of one recording is one file, or a folder of pages),
+so that records keep their position.  A source is told by the whole path of its log, never by its
+name alone: ``7.json`` and ``007.json``, and equal names in two folders, are different sources.  A
+table of (file, source_id) may name sources instead.  Files that can't be read give no rows; they
+come back as a table of their own, with the reason.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,48 +23,108 @@ from tidemark.schemas import MANIFEST_CLIP, PROBE, RAW_EVENT, SIGNAL
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
 
-def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Whole files with their name (the stem, or ``log=<name>`` of a paged log) and page."""
-    where = F.col("_metadata.file_path")
-    log = F.nullif(F.regexp_extract(where, r"/log=([^/]+)/", 1), F.lit(""))
-    page = F.regexp_extract(where, r"/page=(\d+)/", 1).try_cast("bigint")
-    return spark.read.text(path, wholetext=True).select(
-        F.coalesce(log, F.regexp_extract(where, STEM, 1)).alias("file"), F.coalesce(page, F.lit(0)).alias("page"), F.col("value")
-    )
+class LogRead(NamedTuple):
+    """Rows of the readable files, and (file, reason) of the others."""
+
+    rows: DataFrame
+    unreadable: DataFrame
+
+
+def plain_path(path: Column) -> Column:
+    """A path without scheme and host, so that it is the same however a store is reached."""
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def _source_id(file: Column) -> Column:
-    """A file name that is a number names the source; other names are hashed whole."""
-    return F.coalesce(F.regexp_extract(file, r"^(\d+)$", 1).try_cast("bigint"), F.xxhash64(file))
+def _files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([path] if isinstance(path, str) else [*path])
+
+
+def _log_of(where: Column) -> Column:
+    """The path of a file, or that of the folder ``log=<name>`` of a paged log."""
+    return F.coalesce(F.nullif(F.regexp_extract(where, r"^(.*/log=[^/]+)/page=\d+/", 1), F.lit("")), where)
+
+
+def _documents(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+    """Whole files: file (the path of the log), source_id, page, value (null where the bytes are not UTF-8)."""
+    where = plain_path(F.col("path"))
+    page = F.regexp_extract(where, r"/page=(\d+)/", 1).try_cast("bigint")
+    docs = _files(spark, path).select(
+        _log_of(where).alias("file"), F.coalesce(page, F.lit(0)).alias("page"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("value"),
+    )
+    if sources is None:
+        return docs.withColumn("source_id", F.xxhash64("file"))
+    named = sources.select(plain_path(F.col("file")).alias("file"), F.col("source_id").alias("__named"))
+    return docs.join(named, "file", "left").withColumn("source_id", F.coalesce("__named", F.xxhash64("file"))).drop("__named")
+
+
+def _without_bytes(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, reason) of files of no bytes: a scan leaves them out, the listing has them."""
+    found = _files(spark, path)
+    listed = spark.createDataFrame([(unquote(f),) for f in found.inputFiles()], "path STRING").select(plain_path(F.col("path")).alias("path"))
+    empty = listed.join(found.select(plain_path(F.col("path")).alias("path")), "path", "left_anti")
+    return empty.select(_log_of(F.col("path")).alias("file"), F.lit("empty").alias("reason"))
+
+
+def _read_list(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None, items: Column) -> LogRead:
+    """Rows (source_id, page, pos, e) of documents that are lists; ``items`` is null where one can't be parsed."""
+    docs, value = _documents(spark, path, sources), F.col("value")
+    text = F.ltrim(F.regexp_replace(value, r"^[\s\x{FEFF}]+", ""))
+    reason = (
+        F.when(value.isNull(), "not UTF-8").when(text == "", "empty")
+        .when(~text.startswith("["), "not a list").when(items.isNull(), "not JSON")
+    )
+    judged = docs.select("file", "source_id", "page", items.alias("items"), reason.alias("reason"))
+    rows = judged.where(F.col("reason").isNull()).select("source_id", "page", F.posexplode("items").alias("pos", "e"))
+    bad = judged.where(F.col("reason").isNotNull()).select("file", "reason")
+    return LogRead(rows, bad.union(_without_bytes(spark, path)))
 
 
-def read_event_logs(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def event_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> LogRead:
     """Event tables from JSON arrays of event objects, one file (or paged folder) per source."""
     fields = RAW_EVENT.replace(", _corrupt_record STRING", "")
-    docs = _documents(spark, path).withColumn("__events", F.from_json("value", f"array<struct<{fields}>>"))
-    rows = docs.select(_source_id(F.col("file")).alias("source_id"), "page", F.posexplode("__events").alias("pos", "e"))
+    rows, unreadable = _read_list(spark, path, sources, F.from_json("value", f"array<struct<{fields}>>"))
     # pages keep their order: page in the upper, position in the lower half
-    return rows.select("source_id", (F.shiftleft("page", 32) + F.col("pos")).alias("event_id"), "e.*")
+    return LogRead(rows.select("source_id", (F.shiftleft("page", 32) + F.col("pos")).alias("event_id"), "e.*"), unreadable)
+
+
+def read_event_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`event_logs`."""
+    return event_logs(spark, path, sources).rows
+
 
+def audio_records(value: Column) -> Column:
+    """Records of an audio log as an array of structs, null where it can't be parsed.
+
+    A log lists ``[t, label, score]`` lists, event objects, or both in one document.  Lists of fewer than
+    three entries and entries of another kind are left out; unreadable numbers become null.
+    """
+    items = F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
+    usable = F.filter(items, lambda e: F.schema_of_variant(e).startswith("OBJECT") | F.try_variant_get(e, "$[2]", "variant").isNotNull())
+
+    def field(e: Column, place: int, name: str, kind: str) -> Column:
+        # a list has no names and an object no places, so that one of two is null
+        text = F.coalesce(F.try_variant_get(e, f"$[{place}]", "string"), F.try_variant_get(e, f"$.{name}", "string"))
+        return text if kind == "string" else text.try_cast(kind)
 
-def audio_triples(value: Column) -> Column:
-    """``[[t, label, score], ...]`` as an array of structs; unreadable numbers become null."""
-    rows = F.from_json(value, "array<array<string>>")
     return F.transform(
-        rows,
-        lambda r: F.struct(
-            F.get(r, F.lit(0)).try_cast("double").alias("timestamp_s"),
-            F.get(r, F.lit(1)).alias("label"),
-            F.get(r, F.lit(2)).try_cast("double").alias("score"),
+        usable,
+        lambda e: F.struct(
+            field(e, 0, "timestamp_s", "double").alias("timestamp_s"), field(e, 1, "label", "string").alias("label"),
+            field(e, 2, "confidence", "double").alias("score"),
         ),
     )
 
 
-def read_audio_events(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    docs = _documents(spark, path)
-    return docs.select(
-        _source_id(F.col("file")).alias("source_id"), F.explode(audio_triples(F.col("value"))).alias("a")
-    ).select("source_id", "a.*")
+def audio_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> LogRead:
+    """Audio tables from JSON logs, one file (or paged folder) per source."""
+    rows, unreadable = _read_list(spark, path, sources, audio_records(F.col("value")))
+    return LogRead(rows.select("source_id", "e.*"), unreadable)
+
+
+def read_audio_events(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`audio_logs`."""
+    return audio_logs(spark, path, sources).rows
 
 
 def manifest_clips(value: Column, schema: str = MANIFEST_CLIP) -> Column:
@@ -69,18 +134,18 @@ def manifest_clips(value: Column, schema: str = MANIFEST_CLIP) -> Column:
     return F.when(F.ltrim(value).startswith("["), bare).otherwise(wrapped.clips)
 
 
-def read_manifests(spark: SparkSession, path: str | Sequence[str], schema: str = MANIFEST_CLIP) -> DataFrame:
-    docs = _documents(spark, path)
-    return docs.select(
-        _source_id(F.col("file")).alias("source_id"),
-        F.posexplode(manifest_clips(F.col("value"), schema)).alias("clip_ix", "c"),
-    ).select("source_id", "clip_ix", "c.*")
+def read_manifests(
+    spark: SparkSession, path: str | Sequence[str], schema: str = MANIFEST_CLIP, sources: DataFrame | None = None
+) -> DataFrame:
+    docs = _documents(spark, path, sources)
+    return docs.select("source_id", F.posexplode(manifest_clips(F.col("value"), schema)).alias("clip_ix", "c")).select(
+        "source_id", "clip_ix", "c.*"
+    )
 
 
-def read_transcript_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    docs = _documents(spark, path)
-    lines = docs.select(_source_id(F.col("file")).alias("source_id"), F.posexplode(F.split("value", "\n")).alias("ix", "line"))
-    return transcript_table(lines)
+def read_transcript_lines(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+    docs = _documents(spark, path, sources)
+    return transcript_table(docs.select("source_id", F.posexplode(F.split("value", "\n")).alias("ix", "line")))
 
 
 def transcript_table(lines: DataFrame) -> DataFrame:
