@@ -146,21 +146,28 @@ def s07(spark, sf):
     return sig.select("chunk_ix", F.size("samples").cast("bigint").alias("n"), F.round(total, 5).alias("total"))
 
 
-@query("s08_file_list", sql("SELECT stem, ext, 'label' AS kind FROM lb", "lb"))
+@query("s08_file_list", "SELECT DISTINCT 'shard_' || (doc_id % 64) AS shard, '.txt' AS ext, 'label' AS kind, true AS has_bytes FROM labels")
 def s08(spark, sf):
-    """One label file per labelled document is written, then listed by extension."""
+    """Label files are written, one per shard of the labelled documents, then listed by extension."""
     folder = _scratch(spark)
-    _, lb = S.files(spark, sf)
-    lb.select("stem", F.col("quality").cast("string").alias("value")).write.mode("overwrite").partitionBy("stem").text(folder)
+    shard = F.concat(F.lit("shard_"), (F.col("doc_id") % 64).cast("string"))
+    lb = S.table(spark, sf, "labels").select(shard.alias("shard"), F.col("quality").cast("string").alias("value"))
+    lb.repartition("shard").write.mode("overwrite").partitionBy("shard").text(folder)
     found = readers.list_files(spark, folder, [".txt"], kind="label")
-    return found.select(F.regexp_extract("path", "stem=([^/]+)/", 1).alias("stem"), "ext", "kind")
+    return found.select(
+        F.regexp_extract("path", "shard=([^/]+)/", 1).alias("shard"), "ext", "kind", (F.col("length") > 0).alias("has_bytes")
+    )
 
 
-@query("s09_class_names", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS ix, n_name AS name FROM nation")
+@query(
+    "s09_class_names",
+    "SELECT p_brand AS file, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS INTEGER) AS ix, p_type AS name FROM (SELECT DISTINCT p_brand, p_type FROM part)",
+)
 def s09(spark, sf):
-    n = S.table(spark, sf, "nation")
-    packed = n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), "\r\n\n").alias("value"))
-    return packed.select(F.posexplode(readers.class_names(F.col("value"))).alias("ix", "name"))
+    """One class file per brand, with the types of its parts; their number is that of the types, whatever the rows."""
+    part = S.table(spark, sf, "part")
+    files = part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), "\r\n\n").alias("value"))
+    return files.select(F.col("p_brand").alias("file"), F.posexplode(readers.class_names(F.col("value"))).alias("ix", "name"))
 
 
 @query(
@@ -179,7 +186,19 @@ def s10(spark, sf):
 def k01(spark, sf):
     folder = _scratch(spark)
     sinks.write_clips(S.clips(spark, sf).select("source_id", "clip_id", "start_time", "end_time"), folder)
-    return spark.read.schema("clip_id BIGINT, start_time DOUBLE, end_time DOUBLE, source_id BIGINT").json(folder)
+    return spark.read.schema("source_id BIGINT, clip_id BIGINT, start_time DOUBLE, end_time DOUBLE").json(folder).drop("bucket")
+
+
+@query(
+    "k01_audio_sink",
+    sql("SELECT source_id, round(timestamp_s, 2) AS timestamp_s, label, round(score, 4) AS score FROM au", "au"),
+)
+def k01_audio(spark, sf):
+    """Audio spikes written as lists and read back as a log."""
+    folder = _scratch(spark)
+    au = S.audio(spark, sf)
+    sinks.write_audio_arrays(au, folder)
+    return readers.read_audio_events(spark, folder, _log_names(spark, folder, au.select("source_id").distinct()))
 
 
 @query("k02_stage_checkpoint", sql("SELECT source_id, id, score FROM iv", "iv"))

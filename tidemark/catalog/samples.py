@@ -207,23 +207,22 @@ FROM embeddings, (SELECT unnest(range(64)) AS i)""",
 
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
-    """Clips that do not overlap: one per event of some length, cut at the next event."""
-    iv = intervals(spark, sf).where(F.col("score") > 5)
+    """One clip per event, cut at the next event of its source, but at least a second long."""
+    iv = intervals(spark, sf)
     nxt = scan(
         iv, ["source_id"], ["start", "id"], {"nxt": next_value(F.col("start"), inclusive=False)},
         pos="start", width=600.0, backward=True,
     )
     return nxt.select(
         "source_id", F.col("id").alias("clip_id"), F.col("start").alias("start_time"),
-        F.least("end", F.coalesce("nxt", "end")).alias("end_time"), "score",
-    ).where(F.col("end_time") - F.col("start_time") > 5)
+        F.greatest(F.col("start") + 1.0, F.least("end", F.coalesce("nxt", "end"))).alias("end_time"), "score",
+    )
 
 
 view(
     "cp",
-    """SELECT source_id, id AS clip_id, start AS start_time, least("end", coalesce(nxt, "end")) AS end_time, score
-FROM (SELECT *, lead(start) OVER (PARTITION BY source_id ORDER BY start, id) AS nxt FROM iv WHERE score > 5)
-WHERE least("end", coalesce(nxt, "end")) - start > 5""",
+    """SELECT source_id, id AS clip_id, start AS start_time, greatest(start + 1e0, least("end", coalesce(nxt, "end"))) AS end_time, score
+FROM (SELECT *, lead(start) OVER (PARTITION BY source_id ORDER BY start, id) AS nxt FROM iv)""",
     "iv",
 )
 

@@ -76,7 +76,9 @@ def _keep_rounds(members: DataFrame, key: str, threshold: float, width: float) -
             F.min((F.col("__id") == F.col("__best")).cast("int")).alias("w")
         ).where("w = 1").select(key, "__id")
         winners = cut_lineage(left.join(won, [key, "__id"]))
-        kept = winners.select(key, "__id") if kept is None else kept.unionByName(winners.select(key, "__id"))
+        won = winners.select(key, "__id")
+        # written each round, so that the plan does not grow with the rounds
+        kept = cut_lineage(won if kept is None else kept.unionByName(won))
         wide = spread(winners, F.col("__s"), F.col("__e"), width).select(
             key, BIN, F.col("__id").alias("w_id"), F.col("__s").alias("w_s"), F.col("__e").alias("w_e")
         )

@@ -117,7 +117,8 @@ def nearest_spikes(
     times = spikes.select(key, F.col(spike_t).alias("__t")).distinct()
     halo = with_halo(times, F.col("__t"), width=width, before=lookback, after=lookahead)
     ids = [c for c in queries.columns if c != key]
-    packed = queries.select(key, F.struct(*ids).alias("__q"))
+    # equal queries stay apart by a running number
+    packed = queries.withColumn("__u", F.monotonically_increasing_id()).select(key, F.struct(*ids, "__u").alias("__q"))
     ends = packed.select(
         key,
         "__q",
@@ -147,6 +148,7 @@ def nearest_spikes(
             F.max(F.when(F.col("__side") == "e", F.col("__last"))).alias("spike_after"),
         )
         .select(key, "__q.*", "spike_before", "spike_after")
+        .drop("__u")
     )
 
 

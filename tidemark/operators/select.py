@@ -51,23 +51,31 @@ def hash_split(
     """Exact train / val split of sizes ``int(n * ratio)`` and the rest, in md5 order.
 
     Rows are counted per md5 prefix (at most 16**hex_digits counts).  A prefix wholly below
-    or above the cut decides its rows without moving them; only the one prefix that holds
-    the cut, about n / 16**hex_digits rows, is ranked.
+    or above the cut decides its rows without moving them.  Only the prefix that holds the
+    cut is ranked, by a scan in pieces of bounded rows, so that no task ranks it alone even
+    where one repeated key fills it; rows of one key are ordered by a hash of all columns.
     """
     code = F.md5(F.col(key).cast("string"))
     rows = df.withColumns({"__h": code, "__p": F.substring(code, 1, hex_digits)})
     per = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    # at most 16**hex_digits rows: one task may rank them
+    # at most 16**hex_digits rows: one task may sum them
     w = Window.orderBy("__p")
     cuts = per.withColumns(
         {"__upto": F.sum("__c").over(w), "__all": F.sum("__c").over(Window.partitionBy())}
     ).withColumn("__take", F.floor(F.col("__all") * ratio).cast("bigint"))
     cuts = cuts.select("__p", (F.col("__upto") - F.col("__c")).alias("__from"), "__upto", "__take")
-    placed = rows.join(F.broadcast(cuts), "__p")
+    # a null key has no md5, and is a prefix of its own
+    placed = rows.join(F.broadcast(cuts.withColumnRenamed("__p", "__q")), F.col("__p").eqNullSafe(F.col("__q"))).drop("__q")
     clear = placed.where((F.col("__upto") <= F.col("__take")) | (F.col("__from") >= F.col("__take")))
     edge = placed.where((F.col("__upto") > F.col("__take")) & (F.col("__from") < F.col("__take")))
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key))
-    edge = edge.withColumn("__at", F.col("__from") + rank)
+    # the next 32 bits of the code deal the prefix over 64 bins
+    next_bits = F.conv(F.substring("__h", hex_digits + 1, 8), 16, 10).cast("double")
+    tie = F.xxhash64(*[F.col(c).cast("string") for c in df.columns])
+    edge = scan(
+        edge.withColumns({"__row": tie, "__bits": next_bits}), ["__p"], ["__h", key, "__row"], {"__rank": row_number()},
+        pos="__bits", width=float(1 << 26),
+    )
+    edge = edge.withColumn("__at", F.col("__from") + F.col("__rank")).drop("__row", "__bits", "__rank")
     done = clear.withColumn("__at", F.col("__upto")).unionByName(edge)
     return done.select(
         *df.columns, F.when(F.col("__at") <= F.col("__take"), "train").otherwise("val").alias(name)

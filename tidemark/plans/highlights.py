@@ -130,8 +130,11 @@ def window_candidates(ranked: DataFrame, *, window_s: float = 60.0, tail_s: floa
 
 
 def accepted_windows(totals: DataFrame, min_intensity: float = 3.0) -> DataFrame:
-    """Windows that score enough and hold both a visual and an audio signal."""
-    return totals.where((F.col("intensity_score") >= min_intensity) & F.col("has_visual") & F.col("has_audio"))
+    """Windows that score enough and hold both a visual and an audio signal.
+
+    Scores are sums of doubles, whose last digits depend on the order of adding; nine decimals don't.
+    """
+    return totals.where((F.round("intensity_score", 9) >= min_intensity) & F.col("has_visual") & F.col("has_audio"))
 
 
 def segmented_events(events: DataFrame, *, weights=None, gap_s=30.0, bridge_s=60.0, audio_label=SPIKE,

@@ -2,40 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import row_number, scan
 
 
-def write_event_arrays(events: DataFrame, folder: str, *, page_rows: int = 5000, width: float = 600.0) -> None:
-    """JSON array documents as the event log reader expects them, under ``log=<source>/page=<n>``.
-
-    A source is cut into pages of at most ``page_rows`` events, so no document grows with a source.
-    """
-    timed = events.withColumn("timestamp_s", F.coalesce("timestamp_s", F.lit(0.0)))  # a missing time counts as 0
-    n = scan(timed, ["source_id"], ["timestamp_s", "event_id"], {"__n": row_number()}, pos="timestamp_s", width=width)
-    record = F.struct("timestamp_s", "label", "confidence", "text")
+def _paged(
+    df: DataFrame, fields: list[str], order: list[str], page_rows: int, width: float, shape: Callable[[Column], Column] = lambda r: r
+) -> DataFrame:
+    """log, page, value: JSON array documents of at most ``page_rows`` records, so that none grows with a source."""
+    timed = df.withColumn("timestamp_s", F.coalesce("timestamp_s", F.lit(0.0)))  # a missing time counts as 0
+    n = scan(timed, ["source_id"], order, {"__n": row_number()}, pos="timestamp_s", width=width)
     docs = n.groupBy(
         F.col("source_id").alias("log"), F.floor((F.col("__n") - 1) / page_rows).cast("bigint").alias("page")
-    ).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", record.alias("r")))), lambda x: x["r"]).alias("rows"))
-    docs.select(F.to_json("rows").alias("value"), "log", "page").write.mode("overwrite").partitionBy("log", "page").text(folder)
+    ).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", F.struct(*fields).alias("r")))), lambda x: shape(x["r"])).alias("rows"))
+    return docs.select("log", "page", F.to_json("rows").alias("value"))
+
+
+def write_event_arrays(events: DataFrame, folder: str, *, page_rows: int = 5000, width: float = 600.0) -> None:
+    """JSON array documents as the event log reader expects them, under ``log=<source>/page=<n>``."""
+    docs = _paged(events, ["timestamp_s", "label", "confidence", "text"], ["timestamp_s", "event_id"], page_rows, width)
+    docs.select("value", "log", "page").write.mode("overwrite").partitionBy("log", "page").text(folder)
 
 
-def _spread(df: DataFrame, files: int) -> DataFrame:
-    """Rows of a source over a few tasks: few files per source, and no task holds a whole one."""
-    slot = F.pmod(F.xxhash64(*df.columns), F.lit(files))
-    return df.repartition("source_id", slot)
+def write_audio_arrays(audio: DataFrame, folder: str, *, page_rows: int = 5000, width: float = 600.0) -> None:
+    """Audio spikes as lists ``[time to 2 decimals, label, score to 4 decimals]``, paged as events are."""
+    fields = ["timestamp_s", "label", "score"]
+
+    def triple(r: Column) -> Column:
+        return F.array(
+            F.round(r["timestamp_s"], 2).cast("variant"), r["label"].cast("variant"), F.round(r["score"], 4).cast("variant")
+        )
+
+    docs = _paged(audio, fields, fields, page_rows, width, triple)
+    docs.select("value", "log", "page").write.mode("overwrite").partitionBy("log", "page").text(folder)
+
+
+def _buckets(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows by a hash of their source: a folder holds many sources, and a source lies in one folder.
+
+    A folder is written by several tasks, so that none holds a whole source.
+    """
+    slot = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in df.columns]), F.lit(8))
+    return df.withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets))).repartition("bucket", slot)
 
 
-def write_events(events: DataFrame, folder: str, fmt: str = "json", files_per_source: int = 8) -> None:
-    """Events split over files by source, one record per line (or parquet)."""
-    _spread(events, files_per_source).write.mode("overwrite").partitionBy("source_id").format(fmt).save(folder)
+def write_events(events: DataFrame, folder: str, fmt: str = "json", buckets: int = 64) -> None:
+    """Events under ``bucket=<hash of the source>``, one record per line (or parquet)."""
+    _buckets(events, buckets).write.mode("overwrite").partitionBy("bucket").format(fmt).save(folder)
 
 
-def write_clips(clips: DataFrame, folder: str, fmt: str = "json", files_per_source: int = 4) -> None:
-    """Clips split over files by source."""
-    _spread(clips, files_per_source).write.mode("overwrite").partitionBy("source_id").format(fmt).save(folder)
+def write_clips(clips: DataFrame, folder: str, fmt: str = "json", buckets: int = 64) -> None:
+    """Clips under ``bucket=<hash of the source>``."""
+    _buckets(clips, buckets).write.mode("overwrite").partitionBy("bucket").format(fmt).save(folder)
 
 
 def stage(df: DataFrame, folder: str, name: str, *, refresh: bool = False) -> DataFrame:
