@@ -19,7 +19,7 @@ words.  Everything is per language.
   counts are in the same table.
 * Scores are decimals of 38 digits; ranks come from one range shuffle, as one language may hold most phrases.
 
-Within a slice of about a megabyte of text equal phrases are found by 64-bit hashes.
+Within a task of the second pass equal phrases are found by 64-bit hashes, between tasks by their words.
 
 Defined cases: null and empty texts and pieces without words have no phrases; a null language is
 ``und``; repeated rows count each; ties stand as the ranking says; a long text is worked on in
@@ -51,11 +51,13 @@ class PhraseParams:
     first: int = 2000
     #: Phrases that a task counts before it hands its summary on.
     flush: int = 4_000_000
+    #: A summary's capacity in masses divided by ``min_count``: its error stays below ``min_count / slack``.
+    slack: int = 4
     #: Entries of a summary, about, for which partitions are made.
     capacity: int = 1 << 20
     #: Size of the bitmaps that say which hashes survived, as a power of two.
     filter_bits: int = 27
-    #: Phrases with words that a task of the second pass holds before it hands them on.
+    #: Different phrases that a task of the second pass holds before it hands them on.
     held: int = 200_000
 
 
@@ -310,7 +312,7 @@ def _merged(p: PhraseParams):
                     mass += m
                     continue
                 if summary is None:
-                    summary = Summary(mass // p.min_count + 1)
+                    summary = Summary(p.slack * mass // p.min_count + 1)
                 summary.take(*unpacked(entries))
         yield from survivors()
 
@@ -350,46 +352,67 @@ def unfold(shared, p: PhraseParams) -> dict[int, np.ndarray]:
 # --- exact counts ----------------------------------------------------------------------------
 
 
+class Tally:
+    """Counts of phrases by hash; the words of a phrase are read off where it is first met."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int64)
+        self.phrases: list[tuple[str, str, int]] = []
+        self.words: dict[str, int] = {}
+
+    def take(self, w: Words, langs: list[str], n: int, starts: np.ndarray, hashes: np.ndarray) -> None:
+        keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == keys[at < len(self.keys)]
+        self.counts[at[known]] += counts[known]
+        fresh = starts[first[~known]]
+        place = np.arange(len(self.phrases), len(self.phrases) + len(fresh))
+        self.phrases += [(langs[o], w.phrase(i, n), n) for i, o in zip(fresh.tolist(), w.owner[fresh].tolist(), strict=True)]
+        self.keys = np.insert(self.keys, at[~known], keys[~known])
+        self.counts = np.insert(self.counts, at[~known], counts[~known])
+        self.place = np.insert(self.place, at[~known], place)
+
+    def batch(self) -> pa.RecordBatch:
+        counts = np.zeros(len(self.phrases), np.int64)
+        counts[self.place] = self.counts
+        rows = self.phrases + [(lang, "", 0) for lang in self.words]
+        lang, phrase, n = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int32()), pa.array([*counts.tolist(), *self.words.values()], pa.int64())],
+            names=["lang", "phrase", "n_words", "count"],
+        )
+
+
 def _counted(shared, p: PhraseParams):
     """(lang, phrase, n_words, count) of what survived; n_words 0 stands for all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = unfold(shared, p)
-        held: dict[tuple[str, str, int], int] = {}
+        tally = Tally()
         for w, salts, langs in _slices(batches):
-            own = np.bincount(w.owner, minlength=len(langs))
-            for lang, count in zip(langs, own.tolist(), strict=True):
+            for lang, count in zip(langs, np.bincount(w.owner, minlength=len(langs)).tolist(), strict=True):
                 if count:
-                    held[lang, "", 0] = held.get((lang, "", 0), 0) + count
+                    tally.words[lang] = tally.words.get(lang, 0) + count
             for n, starts, hashes in living(w, salts, range(1, p.max_words + 1), bitmaps, p.filter_bits):
-                _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                for at, count in zip(starts[first].tolist(), counts.tolist(), strict=True):
-                    key = (langs[w.owner[at]], w.phrase(at, n), n)
-                    held[key] = held.get(key, 0) + count
-            if len(held) > p.held:
-                yield _batch(held)
-                held = {}
-        if held:
-            yield _batch(held)
+                tally.take(w, langs, n, starts, hashes)
+            if len(tally.keys) > p.held:
+                yield tally.batch()
+                tally = Tally()
+        if tally.words:
+            yield tally.batch()
 
     return run
 
 
-def _batch(held: dict[tuple[str, str, int], int]) -> pa.RecordBatch:
-    lang, phrase, n = zip(*held, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int32()), pa.array(list(held.values()), pa.int64())],
-        names=["lang", "phrase", "n_words", "count"],
-    )
-
-
 def frequent_phrases(docs: DataFrame, p: PhraseParams = DEFAULT) -> DataFrame:
     """lang, phrase, n_words, f of all phrases with ``min_count`` occurrences; n_words 0 counts all words of a language."""
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A word takes two bytes at least, so that this bounds the mass of two or three sizes of phrases.
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 2 // (p.min_count * p.capacity)))
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size * 2 * p.slack // (p.min_count * p.capacity)))
     short = cut_lineage(candidates(texts, range(1, 3), n_parts, None, p))
     low = bitmap(short, p)
     shared = spark.sparkContext.broadcast((low, None))
