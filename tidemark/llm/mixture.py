@@ -3,13 +3,14 @@
 Sizes are words.  Source weights share the total; no target exceeds three times its source
 (``source_targets``).  The total is cut into blocks of equal words, and the blocks go to the
 sources by the highest quotients target / (2 k + 1).  Sources are dealt into shards by a hash
-of the document id, and a source's blocks go to its shards in the same way, which leaves every
+of document id and text, and a source's blocks go to its shards in the same way, which leaves every
 shard an integer quota.  A shard reads its documents in seeded order, so many times whole as
 the quota holds, and the rest as a run of blocks from a seeded block on.  Blocks are never
 rows: the words of a document inside the run are plain arithmetic on its running offset.
 
 At scale: one narrow staged table (id, source, size); windows run over (source, shard) only,
-and a shard holds about ``shard_words`` words whatever a source's share of the rows.  The
+and a shard holds about ``shard_words`` words or ``shard_rows`` rows, whatever a source's share of the
+rows; only equal rows (id and text) stay together.  The
 quotient ranking reads a few rows per shard; one row per source passes a window of its own, so
 the number of distinct sources must stay in the millions.
 
@@ -34,11 +35,11 @@ class MixParams:
     weights: tuple[int, ...] = (1, 2, 3)  # repeating, by source in code point order; divisors of 6
     max_repeats: int = 3
     seed: str = "mix-1"
-    block_words: int = 1024
-    #: Small tables get smaller blocks: this many for a source on average.
-    blocks_per_source: int = 1000
-    #: A shard has at least so many words, and there are at most ``max_shards`` of them or so.
+    #: Words of a block, at any size of the input; blocks are arithmetic, so that small ones cost nothing.
+    block_words: int = 64
+    #: A shard has about so many words or rows, whichever are reached first, and there are at most ``max_shards`` of a source or so.
     shard_words: int = 1 << 16
+    shard_rows: int = 1 << 14
     max_shards: int = 1 << 16
 
 
@@ -58,7 +59,9 @@ def _wide(c: Column) -> Column:
 
 def sizes(docs: DataFrame, p: MixParams = DEFAULT) -> DataFrame:
     """doc_id, source, size and the seeded order key of every row."""
-    key = F.md5(F.concat_ws("|", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # the text takes part, so that rows of one id, or of none, are dealt over shards as well
+    key = F.md5(F.concat_ws("|", F.lit(p.seed), blank("doc_id"), F.md5(blank("text"))))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -79,7 +82,7 @@ def source_targets(sized: DataFrame, p: MixParams = DEFAULT) -> DataFrame:
     by_fill = every.orderBy("fill", F.col("source").asc_nulls_last())
     before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
     weights = F.array(*[F.lit(w) for w in p.weights])
-    base = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    base = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     ranked = base.withColumn("rank", F.row_number().over(by_name)).withColumn(
         "weight", F.get(weights, (F.col("rank") - 1) % len(p.weights)).cast("long")
     )
@@ -88,7 +91,6 @@ def source_targets(sized: DataFrame, p: MixParams = DEFAULT) -> DataFrame:
         .withColumn("fill", F.col("source_size") * (F.lit(unit) / F.col("weight")).cast("long"))
         .withColumn("total", F.sum("source_size").over(every))
         .withColumn("all_weights", F.sum("weight").over(every))
-        .withColumn("n_sources", F.count(F.lit(1)).over(every))
     )
     left = F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))
     left_weight = F.col("all_weights") - F.coalesce(F.sum("weight").over(before), F.lit(0))
@@ -98,11 +100,9 @@ def source_targets(sized: DataFrame, p: MixParams = DEFAULT) -> DataFrame:
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(
         (rest * F.col("weight")).cast("double") / rest_weight.cast("double")
     )
-    block = F.greatest(
-        F.lit(1), F.least(F.lit(p.block_words), F.floor(F.col("total") / (F.col("n_sources") * p.blocks_per_source)))
-    ).cast("long")
+    block = F.lit(p.block_words).cast("long")
     return ranked.withColumn("target", target).withColumn("block", block).select(
-        "source", "rank", "weight", "source_size", "cap", "target", "total", "block"
+        "source", "rank", "weight", "source_size", "source_rows", "cap", "target", "total", "block"
     )
 
 
@@ -143,7 +143,10 @@ def _take(sized: DataFrame, p: MixParams) -> DataFrame:
     n_blocks = F.round(F.col("total") / F.col("block")).cast("long")
     quotas = apportion(targets.withColumn("n_blocks", n_blocks), "target", "n_blocks", [], ["rank"], "blocks")
     per_shard = F.greatest(F.lit(p.shard_words), F.floor(F.col("total") / p.max_shards))
-    quotas = quotas.withColumn("n_shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / per_shard).cast("long"))
+    most_rows = F.greatest(F.lit(p.shard_rows), F.floor(F.col("source_rows") / p.max_shards))
+    quotas = quotas.withColumn(
+        "n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard), F.ceil(F.col("source_rows") / most_rows)).cast("long")
+    )
     quotas = cut_lineage(quotas.select("rank", "source", "source_size", "cap", "target", "block", "blocks", "n_shards"))
 
     shard = (F.conv(F.substring("seeded", 8, _HEX), 16, 10).cast("long") % F.col("n_shards")).alias("shard")
@@ -219,14 +222,15 @@ def _hexnum(expr: str, begin: int) -> str:
     return f"CAST('0x' || substr(md5({expr}), {begin}, {_HEX}) AS BIGINT)"
 
 
+_SEEDED = f"'{_P.seed}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))"
+
 SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
-                  md5('{_P.seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS seeded,
-                  {_hexnum(f"'{_P.seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')", 8)} AS dealt FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+                  md5({_SEEDED}) AS seeded, {_hexnum(_SEEDED, 8)} AS dealt FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS source_rows, row_number() OVER (ORDER BY source NULLS LAST) AS rank
       FROM d GROUP BY source),
 r AS (SELECT *, {_W} AS weight, 3 * source_size AS cap, source_size * (6 // {_W}) AS fill,
-             CAST(sum(source_size) OVER () AS BIGINT) AS total, count(*) OVER () AS n_sources FROM s),
+             CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
 f AS (SELECT *, CAST(sum(weight) OVER () AS HUGEINT) AS all_weights,
              coalesce(sum(cap) OVER b, 0) AS cap_before, coalesce(sum(weight) OVER b, 0) AS weight_before FROM r
       WINDOW b AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -234,16 +238,15 @@ c AS (SELECT *, (total - cap_before) * weight > cap * (all_weights - weight_befo
 t AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE)
         ELSE CAST((total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)) * weight AS DOUBLE)
              / CAST(all_weights - coalesce(sum(CASE WHEN capped THEN weight END) OVER (), 0) AS DOUBLE) END AS target,
-        greatest(1, least({_P.block_words}, total // (n_sources * {_P.blocks_per_source}))) AS block,
-        greatest({_P.shard_words}, total // {_P.max_shards}) AS per_shard FROM c),
+        {_P.block_words} AS block, greatest({_P.shard_words}, total // {_P.max_shards}) AS per_shard,
+        greatest({_P.shard_rows}, source_rows // {_P.max_shards}) AS most_rows FROM c),
 n AS (SELECT *, CAST(round(total / block) AS BIGINT) AS n_blocks,
-             CAST(ceil(greatest(source_size, 1) / per_shard) AS BIGINT) AS n_shards FROM t),
+             CAST(greatest(1, ceil(source_size / per_shard), ceil(source_rows / most_rows)) AS BIGINT) AS n_shards FROM t),
 q AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS place, n_blocks
       FROM n, unnest(generate_series(0, n_blocks)) AS g(k) WHERE target > 0),
 a AS (SELECT n.*, coalesce(x.blocks, 0) AS blocks FROM n LEFT JOIN
         (SELECT rank, count(*) AS blocks FROM q WHERE place <= n_blocks GROUP BY rank) x USING (rank)),
-j AS (SELECT d.*, a.rank, a.dealt_shard AS shard FROM (SELECT d.*, a.rank, d.dealt % a.n_shards AS dealt_shard, d.doc_id AS x
-        FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source) a JOIN d ON d.doc_id = a.x),
+j AS (SELECT d.*, a.rank, d.dealt % a.n_shards AS shard FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source),
 h AS (SELECT j.rank, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(a.blocks) AS blocks,
              any_value(block) AS block, any_value(source_size) AS source_size, any_value(target) AS target
       FROM j JOIN a USING (rank) GROUP BY j.rank, shard),
