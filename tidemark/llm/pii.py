@@ -52,13 +52,15 @@ _HINTS: dict[str, Callable[[Column], Column]] = {
 class PiiParams:
     support: int = 3
     share: float = 0.9
-    term_chars: int = 4
     broadcast_terms: int = 20_000
 
 
 DEFAULT = PiiParams()
 CHUNK = 256
 
+#: Terms are runs of letters and digits of any length.
+NOT_TERM = r"[^\p{L}\p{N}]+"
+
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once."""
@@ -177,7 +179,7 @@ def contexts(keyed: DataFrame, p: PiiParams = DEFAULT) -> DataFrame:
     here = F.filter("spans", lambda z: (z["s"] >= F.col("at")) & (z["s"] < F.col("at") + F.char_length("line")))
     each = where_made(each.withColumn("here", here), F.size("here") > 0)
     values = F.array_distinct(F.transform("here", lambda z: F.concat_ws(":", z["kind"], z["v"])))
-    words = F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda t: F.char_length(t) >= p.term_chars)
+    words = F.filter(F.split(F.lower("line"), NOT_TERM), lambda t: t != "")
     each = each.select("doc_id", "text_hash", "at", "line", "here", values.alias("values"), F.array_distinct(words).alias("terms"))
     own = lambda t: F.exists("values", lambda v: F.contains(F.lower(v), t))
     return each.withColumn("terms", F.filter("terms", lambda t: ~own(t))).withColumn("line_hash", F.xxhash64("line"))
@@ -207,7 +209,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, p: PiiParams = DEFAULT)
     n_terms = terms.count()
     if not n_terms:
         return None
-    words = doc_rows(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
+    words = doc_rows(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), NOT_TERM))).alias("term"))
     counts = words.join(F.broadcast(terms) if n_terms <= p.broadcast_terms else terms, "term").groupBy("term").agg(
         F.count(F.lit(1)).alias("n_t")
     )
@@ -222,7 +224,7 @@ def term_spans(found: DataFrame, told: DataFrame) -> DataFrame:
     asked = lines.select("doc_id", "text_hash", "at", "entity", F.explode("terms").alias("term")).join(told.select("entity", "term"), ["entity", "term"])
     per_line = asked.groupBy("doc_id", "text_hash", "at").agg(F.sort_array(F.collect_set("term")).alias("told"))
     rows = found.select("doc_id", "text_hash", "at", "line", "here").distinct().join(per_line, ["doc_id", "text_hash", "at"])
-    rows = rows.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("told", "|"), F.lit(r")(?!\p{L})")))
+    rows = rows.withColumn("pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("told", "|"), F.lit(r")(?![\p{L}\p{N}])")))
     rows = rows.withColumn("spots", matches(F.col("line"), F.col("pattern")))
     free = lambda z: ~F.exists("here", lambda h: (h["s"] < F.col("at") + z["e"]) & (h["e"] > F.col("at") + z["s"]))
     spot = F.transform(F.filter("spots", free), lambda z: F.struct(
