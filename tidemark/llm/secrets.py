@@ -48,6 +48,8 @@ class SecretParams:
     min_chars: int = 16
     min_total: float = 16.0
     min_each: float = 0.6
+    #: Per step, for a stretch inside a run.
+    inner_each: float = 1.0
     smoothing: float = 0.5
     #: Generated random strings of 32 characters; they weigh as much as the values found in the corpus.
     generated: int = 4096
@@ -133,19 +135,55 @@ def ratio_matrix(counts: list, p: SecretParams = DEFAULT) -> np.ndarray | None:
     return np.log(share[1:][seen[1:]].mean(axis=0)) - np.log(share[0])
 
 
+def _stretches(ratios: np.ndarray, p: SecretParams) -> list[tuple[int, int]]:
+    """Character ranges of ``min_chars`` or more whose ratios, less ``inner_each`` for a step, sum up highest.
+
+    ``ratios`` belong to the steps between characters.  What lies left and right of the best range is searched again.
+    """
+    out, todo = [], [(0, len(ratios) + 1)]
+    least = p.min_chars - 1
+    while todo:
+        a, b = todo.pop()
+        if b - a < p.min_chars:
+            continue
+        sums = np.concatenate([[0.0], np.cumsum(ratios[a : b - 1] - p.inner_each)])
+        low = np.minimum.accumulate(sums[: len(sums) - least])
+        j = int((sums[least:] - low).argmax())
+        i = int(sums[: j + 1].argmin())
+        s, e = a + i, a + least + j + 1
+        if ratios[s : e - 1].sum() < max(p.min_total, p.inner_each * (e - s - 1)):
+            continue
+        out.append((s, e))
+        todo += [(a, s), (e, b)]
+    return out
+
+
 def random_spans(text: bytes, base: list, ratio: np.ndarray, p: SecretParams, finder: re.Pattern) -> list:
+    """Runs of token characters that look random as a whole, and random stretches inside the others.
+
+    What base spans leave of a run is judged by its stretches.
+    """
     out, k = [], 0
     for m in finder.finditer(text):
         s, e = m.span()
         while k < len(base) and base[k][2] <= s:
             k += 1
-        if any(b[0] < e and b[2] > s for b in base[k : k + 4]):
-            continue
+        taken, i = [], k
+        while i < len(base) and base[i][0] < e:
+            taken.append(base[i])
+            i += 1
         codes = _CLASS[np.frombuffer(text[s:e], np.uint8)]
-        total = ratio[0, codes[0]] + ratio[codes[:-1], codes[1:]].sum() + ratio[codes[-1], 0]
-        if total >= p.min_total and total >= p.min_each * (e - s):
+        steps = ratio[codes[:-1], codes[1:]]
+        total = ratio[0, codes[0]] + steps.sum() + ratio[codes[-1], 0]
+        if not taken and total >= p.min_total and total >= p.min_each * (e - s):
             out.append((s, 3, e))
-    return out
+            continue
+        at = s
+        for low, high in [*((b[0], b[2]) for b in taken), (e, e)]:
+            if low - at >= p.min_chars:
+                out += [(at + x, 3, at + y) for x, y in _stretches(steps[at - s : low - s - 1], p)]
+            at = max(at, high)
+    return sorted(out)
 
 
 def _to_points(text: bytes, spans: list) -> list[tuple[int, int, int]]:
