@@ -126,7 +126,7 @@ def _whole(w: Words, n: int) -> np.ndarray:
     return np.flatnonzero(w.piece[n - 1 :] == w.piece[: len(w.piece) - n + 1])
 
 
-def _hit(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+def hit(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     place = (hashes >> np.uint64(64 - HASH_BITS)) & np.uint64((1 << bits) - 1)
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
@@ -141,7 +141,7 @@ def living(w: Words, salts: np.ndarray, sizes: range, bitmaps: dict[int, np.ndar
             starts = starts[inside]
         hashes = phrase_hashes(w, starts, n, salts) if n in sizes or n in bitmaps else None
         if n in bitmaps:
-            hit = _hit(bitmaps[n], hashes, bits)
+            hit = hit(bitmaps[n], hashes, bits)
             starts, hashes = starts[hit], hashes[hit]
         if n in sizes:
             yield n, starts, hashes
@@ -251,7 +251,7 @@ class Summary:
 _MASS, _ENTRIES = 0, 1
 
 
-def _partitions(keys: np.ndarray, n: int) -> np.ndarray:
+def partitions(keys: np.ndarray, n: int) -> np.ndarray:
     """Hash partition of ascending keys of HASH_BITS bits; ascending as well."""
     return ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
@@ -278,7 +278,7 @@ def _summaries(sizes: range, n_parts: int, shared, p: PhraseParams):
 
 def _flushed(held: list[np.ndarray], n_parts: int) -> pa.RecordBatch:
     keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    part = _partitions(keys, n_parts)
+    part = partitions(keys, n_parts)
     first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     last = [*first[1:].tolist(), len(keys)]
     parts, masses = part[first], np.add.reduceat(counts, first)
@@ -326,7 +326,7 @@ def candidates(texts: DataFrame, sizes: range, n_parts: int, shared, p: PhrasePa
     return dealt.mapInArrow(_merged(p), "hash long")
 
 
-def bitmap(hashes: DataFrame, p: PhraseParams = DEFAULT) -> bytes:
+def bitmap(hashes: DataFrame, p=DEFAULT) -> bytes:
     """Which places of a table of ``2 ** filter_bits`` bits the hashes take: as many bytes at any size of the input."""
     place = F.col("hash").bitwiseAND((1 << p.filter_bits) - 1) + 1  # the built-in numbers places from 1
     rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(

@@ -11,7 +11,9 @@ insertions and deletions of a few words.  Where the whole of a chain is too unli
 longest pieces that are alike enough stands for itself.  A passage is reported when the aligned stretches of
 its document that overlap or touch it cover ``min_words`` words.
 
-At scale: seeds are aggregated on the map side (three numbers per seed) and joined back, so a
+At scale: a first pass counts in how many documents each seed stands, by packed hashes in hash
+partitions, and gives every task a bitmap of fixed size; seeds of one document never leave the
+tasks that read them.  The others are aggregated on the map side (three numbers per seed) and joined back, so a
 seed that a third of all documents share is spread over tasks; anchors are grouped by pairs of
 documents, which a text's length bounds; words of the chains alone are fetched for alignment.
 
@@ -31,14 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.collocations import HASH_BITS, bitmap, hit, packed, partitions, summed, unpacked
 from tidemark.llm.text import doc_rows, documents, mix, parted, slices, string_column, words_of
 from tidemark.session import cut_lineage
 
 
 @dataclass(frozen=True)
 class PassageParams:
-    k: int = 6
-    window: int = 16
+    k: int = 5
+    window: int = 4
+    #: Seeds that a task counts before it hands them on, and words of text per hash partition, about.
+    flush: int = 4_000_000
+    part_words: int = 1 << 22
+    #: Size of the bitmap of seeds that stand in several documents, as a power of two.
+    filter_bits: int = 27
     gap_cost: float = 0.05
     max_gap: int = 40
     min_words: int = 50
@@ -75,8 +83,65 @@ def seeds(words: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], at[keep]
 
 
-def _seed_rows(p: PassageParams):
+def _seed_counts(n_parts: int, p: PassageParams):
+    """(part, entries): in how many of its documents a task has met the hash of a seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in parted(batches):
+            for _, encoded in slices(string_column(batch, "text")):
+                words, count, _ = words_of(encoded)
+                for e, n in zip(np.cumsum(count).tolist(), count.tolist(), strict=True):
+                    own = np.unique(seeds(words[e - n : e], p)[0] >> np.uint64(64 - HASH_BITS))
+                    held.append(own)
+                    size += len(own)
+                if size > p.flush:
+                    yield counted(held, n_parts)
+                    held, size = [], 0
+        if size:
+            yield counted(held, n_parts)
+
+    return run
+
+
+def counted(held: list[np.ndarray], n_parts: int) -> pa.RecordBatch:
+    keys, counts = np.unique(np.concatenate(held), return_counts=True)
+    # whether a seed stands in one document or in more is all that is asked
+    counts = np.minimum(counts, 2).astype(np.uint64)
+    part = partitions(keys, n_parts)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    blobs = [packed(keys[a:b], counts[a:b]) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(blobs, pa.binary())], names=["part", "entries"])
+
+
+def _in_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes that two documents or more hold; a partition's entries are summed as they come."""
+    now, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for batch in parted(batches, 200):
+        for part, entries in zip(batch.column("part").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+            if part != now:
+                if (counts > 1).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[counts > 1].astype(np.int64))], names=["hash"])
+                now, keys, counts = part, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            more, times = unpacked(entries)
+            keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, times]))
+    if (counts > 1).any():
+        yield pa.RecordBatch.from_arrays([pa.array(keys[counts > 1].astype(np.int64))], names=["hash"])
+
+
+def shared_seeds(docs: DataFrame, p: PassageParams = DEFAULT) -> bytes:
+    """Bitmap of the seeds that stand in several documents, of one size whatever the input; false hits change nothing."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * p.part_words)))
+    made = docs.select("text").mapInArrow(_seed_counts(n_parts, p), "part long, entries binary")
+    found = made.repartition("part").sortWithinPartitions("part").mapInArrow(_in_several, "hash long")
+    return bitmap(found, p)
+
+
+def _seed_rows(shared, p: PassageParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        several = np.frombuffer(shared.value, np.uint8)
         for batch in parted(batches):
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
             for first, encoded in slices(string_column(batch, "text")):
@@ -84,6 +149,8 @@ def _seed_rows(p: PassageParams):
                 hashes, places, owners = [], [], []
                 for i, (e, n) in enumerate(zip(np.cumsum(count).tolist(), count.tolist(), strict=True)):
                     h, at = seeds(words[e - n : e], p)
+                    some = hit(several, h, p.filter_bits)
+                    h, at = h[some], at[some]
                     if not len(h):
                         continue
                     # The first occurrence in the document keeps its place, later ones are marked.
@@ -103,7 +170,8 @@ def _seed_rows(p: PassageParams):
 
 def anchors(docs: DataFrame, p: PassageParams = DEFAULT) -> DataFrame:
     """doc_id, other_id, x, y: places of shared seeds in a document and in the first that has them."""
-    rows = docs.mapInArrow(_seed_rows(p), "seed long, doc_id long, place int")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_seeds(docs, p))
+    rows = docs.mapInArrow(_seed_rows(shared, p), "seed long, doc_id long, place int")
     first = rows.groupBy("seed").agg(
         F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last_id"),
         F.min_by("place", F.when(F.col("place") >= 0, F.col("doc_id"))).alias("y"),
