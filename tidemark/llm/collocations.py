@@ -141,8 +141,8 @@ def living(w: Words, salts: np.ndarray, sizes: range, bitmaps: dict[int, np.ndar
             starts = starts[inside]
         hashes = phrase_hashes(w, starts, n, salts) if n in sizes or n in bitmaps else None
         if n in bitmaps:
-            hit = hit(bitmaps[n], hashes, bits)
-            starts, hashes = starts[hit], hashes[hit]
+            there = hit(bitmaps[n], hashes, bits)
+            starts, hashes = starts[there], hashes[there]
         if n in sizes:
             yield n, starts, hashes
         if bitmaps:
