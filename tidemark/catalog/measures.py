@@ -44,6 +44,34 @@ def f02_fuzzy(spark, sf):
     )
 
 
+_EDIT = "(1 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE))"
+
+
+@query(
+    "f02_validate_text_native",
+    sql(
+        f"""SELECT event_id, round(sum(score), 6) AS score FROM (
+SELECT event_id, weight AS score FROM pr WHERE contains(low, keyword)
+UNION ALL SELECT event_id, arg_min(r, pos) * any_value(weight) FROM (
+  SELECT *, {_EDIT.format(a="keyword", b="word")} AS r FROM (
+    SELECT event_id, keyword, weight, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+    FROM (SELECT *, string_split_regex(trim(low), '\\s+') AS w FROM pr WHERE NOT contains(low, keyword) AND NOT contains(keyword, ' ')))
+  WHERE word <> '') WHERE r > 8e-1 GROUP BY event_id, keyword
+UNION ALL SELECT event_id, {_EDIT.format(a="keyword", b="low")} * weight FROM pr
+  WHERE NOT contains(low, keyword) AND contains(keyword, ' ') AND {_EDIT.format(a="keyword", b="low")} > 6e-1
+UNION ALL SELECT event_id, 1e0 FROM ev WHERE label IN ('Floating Damage Numbers', 'loating Damage Numbers') AND regexp_matches(text, '\\d'))
+GROUP BY event_id HAVING sum(score) > 0""",
+        "ev",
+        ctes=f"""pr AS (SELECT event_id, lower(text) AS low, keyword, weight FROM ev JOIN {_KEYS} USING (label)
+  WHERE trim(coalesce(text, '')) <> '' AND label NOT IN ('Floating Damage Numbers', 'loating Damage Numbers'))""",
+    ),
+)
+def f02_native(spark, sf):
+    return detection.validate_text(S.events(spark, sf), detection.keyword_table(spark), fuzzy=False).select(
+        "event_id", F.round("score", 6).alias("score")
+    )
+
+
 @query(
     "f03_keep_readable",
     sql(

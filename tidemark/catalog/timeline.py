@@ -321,6 +321,23 @@ def w13(spark, sf):
     return conflicts.changed_texts(S.screen(spark, sf)).select("source_id", "event_id", "t", "text")
 
 
+@query(
+    "w13_changed_texts_native",
+    sql(
+        "SELECT source_id, event_id, t, text FROM walk WHERE kept",
+        "sc", recursive=True,
+        ctes="""nu AS (SELECT source_id, event_id, t, text, trim(text) AS x, row_number() OVER (PARTITION BY source_id ORDER BY t, event_id) AS n FROM sc WHERE length(trim(text)) > 4),
+walk AS (SELECT source_id, event_id, t, text, n, x AS last, true AS kept FROM nu WHERE n = 1
+  UNION ALL
+  SELECT u.source_id, u.event_id, u.t, u.text, u.n, CASE WHEN g.k THEN u.x ELSE w.last END, g.k
+  FROM walk w JOIN nu u ON u.source_id = w.source_id AND u.n = w.n + 1,
+  LATERAL (SELECT 1 - levenshtein(w.last, u.x) / CAST(greatest(length(w.last), length(u.x)) AS DOUBLE) < 8e-1 AS k) g)""",
+    ),
+)
+def w13_native(spark, sf):
+    return conflicts.changed_texts(S.screen(spark, sf), fuzzy=False).select("source_id", "event_id", "t", "text")
+
+
 @query(
     "w14_numbering",
     sql(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import iou
-from tidemark.functions.similarity import fold_changed
+from tidemark.functions.similarity import edit_ratio, fold_changed
 from tidemark.operators.intervals import count, merge_intervals
 from tidemark.operators.rangejoin import overlaps, points_in_intervals, spread
 from tidemark.operators.scan import BIN, next_value, row_number, running_max, scan
@@ -171,10 +171,13 @@ def deoverlap(
 
 def changed_texts(
     lines: DataFrame, *, min_chars: int = 4, similarity: float = 0.8, key: str = "source_id",
-    t: str = "t", text: str = "text", tie: str = "event_id", width: float = 600.0, page_rows: int = 2048,
+    t: str = "t", text: str = "text", tie: str = "event_id", width: float = 600.0, page_rows: int = 2048, fuzzy: bool = True,
 ) -> DataFrame:
     """Keep a text when it is longer than ``min_chars`` and unlike the last text kept.
 
+    Likeness is the fuzzy ratio (in Python), or with ``fuzzy=False`` the edit ratio, whose fold
+    over a page is a built-in function.
+
     A source is cut into pages of ``page_rows`` rows; each is folded on its own from the
     text it enters with.  The text a page leaves with becomes the next page's entry; only
     pages whose entry changed are folded again, until nothing changes.  A page that keeps
@@ -189,9 +192,27 @@ def changed_texts(
         ~F.coalesce("__same", F.lit(False))
     )
     rows = cut_lineage(rows)
+    if not fuzzy:
+        row = F.struct(F.col(t).alias("t"), F.col(tie).alias("tie"), F.trim(text).alias("text"))
+        paged = cut_lineage(rows.groupBy(key, BIN).agg(F.array_sort(F.collect_list(row)).alias("__rows")))
     schema = f"{key} BIGINT, {BIN} BIGINT, __ids ARRAY<BIGINT>, __exit STRING, __entry STRING"
 
+    def fold(entries: DataFrame) -> DataFrame:
+        empty = F.transform(F.slice("__rows", 1, 0), lambda x: x["tie"])
+        walked = F.aggregate(
+            "__rows", F.struct(F.col("__entry").alias("last"), empty.alias("ids")),
+            lambda acc, x: F.when(
+                edit_ratio(acc["last"], x["text"]) < similarity,
+                F.struct(x["text"].alias("last"), F.concat(acc["ids"], F.array(x["tie"])).alias("ids")),
+            ).otherwise(acc),
+        )
+        folded = paged.join(entries, [key, BIN]).withColumn("__w", walked)
+        left = F.when(F.size("__w.ids") > 0, F.col("__w.last"))
+        return folded.select(key, BIN, F.col("__w.ids").alias("__ids"), left.alias("__exit"), "__entry")
+
     def run(entries: DataFrame) -> DataFrame:
+        if not fuzzy:
+            return fold(entries)
         todo = rows.select(key, BIN, F.col(t).alias("t"), F.col(tie).alias("tie"), F.trim(text).alias("text")).join(
             entries, [key, BIN]
         )

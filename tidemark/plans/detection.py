@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import fuzzy_ratio
+from tidemark.functions.similarity import edit_ratio, fuzzy_ratio
 from tidemark.functions.spatial import sampled_frames
 from tidemark.functions.text import SPACE, strip
 
@@ -51,12 +51,14 @@ def exact_text_score(events: DataFrame, keywords: DataFrame, *, ident: str = "ev
 
 
 def validate_text(events: DataFrame, keywords: DataFrame, *, ident: str = "event_id",
-                  word_ratio: float = 0.8, phrase_ratio: float = 0.6) -> DataFrame:
+                  word_ratio: float = 0.8, phrase_ratio: float = 0.6, fuzzy: bool = True) -> DataFrame:
     """Score of each text against its label's keywords: exact hits, then near misses.
 
     Exact hits are found by plain ``contains``.  Only keywords that missed are compared
     fuzzily - word by word for one-word keywords (the first word close enough counts), whole
     text for phrases - and pairs too different in length to reach the ratio are cut first.
+    With ``fuzzy=False`` the edit ratio stands for the fuzzy one, and all runs in the JVM; a pair must
+    then also share a piece: of ``k + 1`` pieces of a keyword one stays whole under ``k`` edits.
     """
     low = F.lower("text")
     texts = events.where(
@@ -70,17 +72,26 @@ def validate_text(events: DataFrame, keywords: DataFrame, *, ident: str = "event
         ident, "keyword", "weight", F.posexplode(F.split(strip(F.col("__low")), rf"{SPACE}+")).alias("pos", "word")
     )
 
+    measure = fuzzy_ratio if fuzzy else edit_ratio
+
     def could_reach(a, b, ratio: float):
-        return 2 * F.least(F.length(a), F.length(b)) > ratio * (F.length(a) + F.length(b))
+        short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+        if fuzzy:
+            return 2 * short > ratio * (short + long)
+        # fewer than (1 - ratio) * long edits leave one of so many pieces of the keyword in the text
+        edits = F.ceil((1 - ratio) * long) - 1
+        size = F.greatest(F.lit(1), F.floor(F.length(a) / (edits + 1))).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), F.greatest(edits, F.lit(0)).cast("int")), lambda i: F.substring(a, i * size + 1, size))
+        return (short > ratio * long) & (edits >= 0) & F.exists(pieces, lambda x: (F.length(x) < size) | F.contains(b, x))
 
     near = words.where(could_reach(F.col("keyword"), F.col("word"), word_ratio)).withColumn(
-        "r", fuzzy_ratio(F.col("keyword"), F.col("word"))
+        "r", measure(F.col("keyword"), F.col("word"))
     ).where(F.col("r") > word_ratio)
     near = near.groupBy(ident, "keyword").agg(
         (F.min_by("r", "pos") * F.first("weight")).alias("score")
     ).select(ident, "score")
     phrase = missed.where(~one_word & could_reach(F.col("keyword"), F.col("__low"), phrase_ratio)).withColumn(
-        "r", fuzzy_ratio(F.col("keyword"), F.col("__low"))
+        "r", measure(F.col("keyword"), F.col("__low"))
     ).where(F.col("r") > phrase_ratio).select(ident, (F.col("r") * F.col("weight")).alias("score"))
     numbers = events.where(F.col("label").isin(*NUMBER_LABELS) & F.col("text").rlike(r"\d")).select(
         ident, F.lit(1.0).alias("score")
