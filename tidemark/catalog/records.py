@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -657,4 +658,108 @@ def t04(spark, sf):
     return out.select("event_id", F.unix_micros("spike_ts").alias("spike_us"))
 
 
+# ---------------------------------------------------------------- streams that run
+
+
+def _arrive(df, folder, mode="append"):
+    """Rows arrive in the folder that a stream reads."""
+    df.write.mode(mode).parquet(f"{folder}/in")
+
+
+def _stream(spark, folder, df):
+    return spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+
+
+def _out(spark, folder, df):
+    """What a stream has written."""
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+@query(
+    "t03_stream_gap_segments",
+    """WITH g AS (SELECT user_id AS source_id, event_id, epoch_us(ts) / 1e6 AS t, event_type = 'error' AS spike, lag(epoch_us(ts) / 1e6) OVER w AS p,
+  lag(event_type = 'error') OVER w AS pspike FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT source_id, event_id, CAST(sum(CASE WHEN p IS NULL OR t - p >= CASE WHEN spike OR pspike THEN 43200 ELSE 21600 END THEN 1 ELSE 0 END)
+  OVER (PARTITION BY source_id ORDER BY t, event_id) AS BIGINT) AS segment_id FROM g""",
+)
+def t03(spark, sf):
+    """A stream of events, each with the number of its gap segment."""
+    folder, key = _scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    ev = _stamped(spark, sf).select("source_id", "event_id", "ts", "label")
+    _arrive(ev, folder)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        plan = windows.gap_segments(_stream(spark, folder, ev), gap_s=21600.0, bridge_s=43200.0)
+        windows.run_available(plan, folder)
+    finally:
+        spark.conf.set(key, before)
+    return _out(spark, folder, plan)
+
+
+@query(
+    "t04_stream_nearest_spikes",
+    """SELECT a.event_id, min(CASE WHEN s.ts <= a.ts THEN epoch_us(s.ts) END) AS before_us, max(CASE WHEN s.ts >= a.ts THEN epoch_us(s.ts) END) AS after_us, count(*) AS n_spikes
+FROM events a JOIN events s ON a.user_id = s.user_id AND a.event_type = 'purchase' AND s.event_type = 'error' AND s.ts BETWEEN a.ts - INTERVAL 6 HOUR AND a.ts + INTERVAL 6 HOUR
+GROUP BY a.event_id""",
+)
+def t04_stream(spark, sf):
+    """Interval join and aggregate in one stream; a last event a year on closes every window."""
+    folder = _scratch(spark)
+    ev = _stamped(spark, sf).select("source_id", "event_id", "ts", "label")
+    last = ev.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast("bigint").alias("source_id"), F.lit(-1).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"),
+        F.explode(F.array(F.lit("ELIMINATED Text"), F.lit("audio_combat_spike"))).alias("label"),
+    )
+    _arrive(ev, folder)
+
+    def plan():
+        now = _stream(spark, folder, ev)
+        return windows.nearest_spikes(
+            now.where("label = 'ELIMINATED Text'"), now.where("label = 'audio_combat_spike'"), lookback="6 hours", lookahead="6 hours", delay="1 hour"
+        )
+
+    windows.run_available(plan(), folder)
+    _arrive(last, folder)
+    windows.run_available(plan(), folder)
+    out = _out(spark, folder, plan()).where("event_id >= 0")
+    return out.select("event_id", F.unix_micros("spike_before").alias("before_us"), F.unix_micros("spike_after").alias("after_us"), "n_spikes")
+
+
+@query(
+    "t05_stream_dedupe",
+    sql("SELECT DISTINCT source_id, epoch_us(t.ts) AS ts_us, label, text FROM ev JOIN events t USING (event_id)", "ev"),
+)
+def t05(spark, sf):
+    """Every event arrives twice, the second time in a later run of the stream."""
+    folder = _scratch(spark)
+    ev = _stamped(spark, sf).select("source_id", "event_id", "ts", "label", "text")
+    plan = lambda: windows.dedupe(_stream(spark, folder, ev), delay="60 days")
+    for _ in range(2):
+        _arrive(ev, folder)
+        windows.run_available(plan(), folder)
+    return _out(spark, folder, plan()).select("source_id", F.unix_micros("ts").alias("ts_us"), "label", "text")
+
+
+@query(
+    "t06_stream_late_events",
+    sql(
+        """SELECT source_id, label, h * 3600 AS window_start, count(*) AS n FROM (
+SELECT e.source_id, e.label, epoch_us(t.ts) // 3600000000 AS h, e.event_id % 5 = 0 AS second,
+  max(CASE WHEN e.event_id % 5 <> 0 THEN epoch_ms(t.ts) END) OVER () - 21600000 AS mark
+FROM ev e JOIN events t USING (event_id)) WHERE NOT second AND (h + 1) * 3600000 <= mark GROUP BY source_id, label, h""",
+        "ev",
+    ),
+)
+def t06(spark, sf):
+    """A fifth of the events arrives in a later run: those of windows that the watermark has closed are dropped."""
+    folder, delay = _scratch(spark), windows.late_after(timedelta(hours=6))
+    ev = _stamped(spark, sf).select("source_id", "event_id", "ts", "label", "text", "confidence")
+    plan = lambda: windows.label_intensity(_stream(spark, folder, ev), window="1 hour", delay=delay)
+    for late in (False, True):
+        _arrive(ev.where((F.col("event_id") % 5 == 0) == F.lit(late)), folder)
+        windows.run_available(plan(), folder)
+    return _out(spark, folder, plan()).select("source_id", "label", F.unix_seconds("window.start").alias("window_start"), "n")
+
+
 __all__ = ["chains"]

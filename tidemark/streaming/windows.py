@@ -70,6 +70,34 @@ def anchored_pairs(
     return a.join(s, near, "inner").drop("s_source")
 
 
+def nearest_spikes(
+    anchors: DataFrame, spikes: DataFrame, *, lookback: str = "30 seconds", lookahead: str = "30 seconds", delay: str = DELAY
+) -> DataFrame:
+    """One row per anchor event with spikes around it: the earliest before, the latest after, and how many.
+
+    Two stateful steps in a chain, an interval join and an aggregate by a window of the anchor's time;
+    a row leaves when the watermark has passed both.
+    """
+    pairs = anchored_pairs(anchors, spikes, lookback=lookback, lookahead=lookahead, delay=delay)
+    before, after = F.col("spike_ts") <= F.col("anchor_ts"), F.col("spike_ts") >= F.col("anchor_ts")
+    return (
+        pairs.groupBy("source_id", "event_id", F.window("anchor_ts", "1 second"))
+        .agg(
+            F.min(F.when(before, F.col("spike_ts"))).alias("spike_before"),
+            F.max(F.when(after, F.col("spike_ts"))).alias("spike_after"), F.count(F.lit(1)).alias("n_spikes"),
+        )
+        .drop("window")
+    )
+
+
+def run_available(stream: DataFrame, folder: str) -> None:
+    """Run a stream over what its source holds now, appending to ``folder``/out; a later call goes on from there."""
+    (
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    )
+
+
 class GapSegments(StatefulProcessor):
     """Split a source's stream at gaps whose limit depends on both neighbours' labels.
 
