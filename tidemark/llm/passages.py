@@ -41,7 +41,7 @@ from tidemark.session import cut_lineage
 @dataclass(frozen=True)
 class PassageParams:
     k: int = 5
-    window: int = 4
+    window: int = 6
     #: Seeds that a task counts before it hands them on, and words of text per hash partition, about.
     flush: int = 4_000_000
     part_words: int = 1 << 22
@@ -54,7 +54,7 @@ class PassageParams:
     #: Words by which an edit may shift, and matching words that end an edit.
     shift: int = 8
     resume: int = 3
-    margin: int = 40
+    margin: int = 24
 
 
 DEFAULT = PassageParams()
