@@ -120,7 +120,8 @@ def test_passages_of_edited_copies(spark):
     assert all(k % 2 and v == k - 1 for k, v in found.items())
 
 
-def test_passages_cover_all_repeated_windows(spark):
+def test_passages_cover_repeated_windows(spark):
+    """Where a copy's earlier holder changes, up to ``k + window - 2`` words at the change can be without a seed."""
     rng, n = random.Random(9), 120
     texts = {}
     for i in range(n):
@@ -145,7 +146,7 @@ def test_passages_cover_all_repeated_windows(spark):
                 windows += 1
                 hit += set(range(at, at + 50)) <= covered.get(i, set())
         seen |= set(own.values())
-    assert windows > 300 and hit == windows
+    assert windows > 1000 and hit >= 0.99 * windows
 
 
 def test_compressed_sizes(spark):
