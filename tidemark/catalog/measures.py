@@ -471,6 +471,128 @@ def w09(spark, sf):
     return out.select("clip_id", "anchor_t", "offset_t", F.round("confidence", 6).alias("confidence"))
 
 
+def _cut(ranges: str, lo: str, hi: str, stride: int) -> str:
+    """Frames of a second (ten samples), every ``stride`` samples from each range's start."""
+    return f"""(SELECT * EXCLUDE (arr), p / 10e0 + 5e-1 AS t,
+  round(sqrt(list_sum(list_transform(arr[p + 1 : p + 10], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) / 10e0), 6) AS rms,
+  round(least(1e0, abs(CAST(arr[p + 1] AS DOUBLE)) * 3e0), 4) AS score
+  FROM (SELECT g.*, arr, unnest(generate_series(CAST(floor({lo} * 10) AS BIGINT), least(CAST(floor({hi} * 10) AS BIGINT), len(arr)) - 10, {stride})) AS p
+    FROM {ranges} g JOIN smp USING (source_id)))"""
+
+
+_GATED = f"""f5 AS (SELECT *, quantile_cont(rms, 0.3) OVER (PARTITION BY source_id, clip_id) AS g, count(*) OVER (PARTITION BY source_id, clip_id) AS n
+  FROM {_cut("rg", "a", "b", 5)}),
+gs AS (SELECT *, CASE WHEN rms < g THEN 0e0 ELSE score END AS s FROM f5 WHERE n >= 4),
+"""
+
+
+def _on_signal(text: str, lo: str, hi: str) -> str:
+    """The statement of an entry or exit with frames cut at each range."""
+    rest = text[text.index("gs AS ") :]
+    rest = rest[rest.index("\n") + 1 :]
+    begin = rest.index("rr AS (SELECT")
+    order = "p.t DESC" if "p.t DESC" in rest else "p.t"
+    lines = rest[rest.index("lo AS (SELECT") :]
+    head = rest[:begin]
+    ranges = text[: text.index("sp AS (")]
+    # an anchor without a single frame on the finer grid stays as it is
+    rr = f"""r2 AS {_cut("an", lo, hi, 2)},
+rr AS (SELECT an.*, p.t, p.rms, quantile_cont(p.rms, 0.2) OVER (PARTITION BY an.source_id, an.clip_id) AS nf, row_number() OVER (PARTITION BY an.source_id, an.clip_id ORDER BY {order}) AS k
+  FROM an LEFT JOIN r2 p ON p.source_id = an.source_id AND p.clip_id = an.clip_id),
+"""
+    return ranges + _GATED + head + rr + lines
+
+
+_SIG_ENTRY, _SIG_EXIT = _on_signal(_ENTRY, "a", "at_"), _on_signal(_EXIT, "at_", "b")
+
+
+def _signal_frames(spark, sf, resolution_s: float):
+    score = lambda x: F.round(F.least(F.lit(1.0), F.abs(F.get(x, F.lit(0)).cast("double")) * 3), 4)
+    return signal.signal_frames(
+        S.waveform(spark, sf), rate=10.0, chunk_samples=64, window_s=1.0, resolution_s=resolution_s,
+        measures={"rms": lambda x: F.round(signal.frame_energy(x), 6), "score": score},
+    )
+
+
+@query(
+    "f10_range_profile",
+    sql(
+        """SELECT clip_id, round(t, 6) AS t, rms, s AS gated FROM gs UNION ALL
+SELECT clip_id, round(t, 6), rms, NULL FROM r2""",
+        "cp", "smp",
+        ctes="rg AS (SELECT source_id, clip_id, start_time AS a, start_time + 30 AS b FROM cp),\n" + _GATED + "r2 AS " + _cut("rg", "a", "b", 2),
+    ),
+)
+def f10_range(spark, sf):
+    """Frames of 30 s from each clip's start on the grid of scores, gated, and on that of levels."""
+    r = S.clips(spark, sf).select("source_id", "clip_id", F.col("start_time").alias("a"), (F.col("start_time") + 30).alias("b"))
+    coarse = _signal_frames(spark, sf, 0.5)(r, "a", "b")
+    enough = coarse.join(coarse.groupBy("source_id", "clip_id").count().where("count >= 4").drop("count"), ["source_id", "clip_id"], "left_semi")
+    gated = signal.local_gate(enough).select("clip_id", F.round("t", 6).alias("t"), "rms", F.col("gated_score").alias("gated"))
+    fine = _signal_frames(spark, sf, 0.2)(r, "a", "b")
+    return gated.unionByName(fine.select("clip_id", F.round("t", 6).alias("t"), "rms", F.lit(None).cast("double").alias("gated")))
+
+
+def _in_signal(spark, sf):
+    return _signal_frames(spark, sf, 0.5), _signal_frames(spark, sf, 0.2)
+
+
+@query(
+    "w08_onset_in_signal",
+    sql(
+        "SELECT clip_id, anchor_t, round(onset_t, 6) AS onset_t, round(confidence, 6) AS confidence FROM ent",
+        "cp", "smp", ctes=_SIG_ENTRY.replace("{f}", "12e-1").replace("{q}", str(signal.silence_steps(0.6, 0.2))),
+    ),
+)
+def w08_signal(spark, sf):
+    r = S.clips(spark, sf).select("source_id", "clip_id", F.greatest(F.lit(0.0), F.col("start_time") - 60).alias("a"), F.col("start_time").alias("b"))
+    out = signal.onset(r, *_in_signal(spark, sf), start="a", end="b", silence_n=signal.silence_steps(0.6, 0.2), factor=1.2)
+    return out.select("clip_id", "anchor_t", F.round("onset_t", 6).alias("onset_t"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "w09_offset_in_signal",
+    sql(
+        "SELECT clip_id, anchor_t, round(offset_t, 6) AS offset_t, round(confidence, 6) AS confidence FROM ext",
+        "cp", "smp", ctes=_SIG_EXIT.replace("{f}", "12e-1").replace("{q}", str(signal.silence_steps(0.8, 0.2))),
+    ),
+)
+def w09_signal(spark, sf):
+    r = S.clips(spark, sf).select("source_id", "clip_id", F.col("end_time").alias("a"), (F.col("end_time") + 45).alias("b"))
+    out = signal.offset(r, *_in_signal(spark, sf), start="a", end="b", silence_n=signal.silence_steps(0.8, 0.2), factor=1.2)
+    return out.select("clip_id", "anchor_t", F.round("offset_t", 6).alias("offset_t"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "e04_safe_entry_in_signal",
+    sql(
+        """SELECT c.clip_id, round(greatest(coalesce(e.onset_t - 4, c.start_time - 10), c.start_time - 60), 6) AS entry_t, round(coalesce(e.confidence, 4e-1), 6) AS confidence
+FROM cp c LEFT JOIN ent e USING (clip_id)""",
+        "cp", "smp", ctes=_SIG_ENTRY.replace("{f}", "2e0").replace("{q}", str(signal.SILENCE_BEFORE)),
+    ),
+)
+def e04_signal(spark, sf):
+    out = pacing.safe_entry(S.clips(spark, sf), *_in_signal(spark, sf))
+    return out.select(
+        "clip_id", F.round("safe_entry.timestamp", 6).alias("entry_t"), F.round("safe_entry.confidence", 6).alias("confidence")
+    )
+
+
+@query(
+    "e05_safe_exit_in_signal",
+    sql(
+        """SELECT c.clip_id, round(least(coalesce(e.offset_t, c.end_time + 10), c.end_time + 45), 6) AS exit_t, round(coalesce(e.confidence, 4e-1), 6) AS confidence
+FROM cp c LEFT JOIN ext e USING (clip_id)""",
+        "cp", "smp", ctes=_SIG_EXIT.replace("{f}", "25e-1").replace("{q}", str(signal.SILENCE_AFTER)),
+    ),
+)
+def e05_signal(spark, sf):
+    out = pacing.safe_exit(S.clips(spark, sf), *_in_signal(spark, sf))
+    return out.select(
+        "clip_id", F.round("safe_exit.timestamp", 6).alias("exit_t"), F.round("safe_exit.confidence", 6).alias("confidence")
+    )
+
+
 _E4 = _ENTRY.replace("{f}", "2e0").replace("{q}", "11")
 _E5 = _EXIT.replace("{f}", "25e-1").replace("{q}", "15")
 

@@ -179,6 +179,16 @@ FROM (SELECT vec_id // 100 AS source_id, vec_id % 100 * 15 + f AS ix, embedding[
   FROM embeddings, (SELECT unnest(range(15)) AS f))""",
 )
 
+def waveform(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of 64 samples, ten to the second: one vector each, a hundred to a source."""
+    return table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 100).cast("bigint").alias("source_id"), (F.col("vec_id") % 100).alias("chunk_ix"),
+        F.col("embedding").alias("samples"),
+    )
+
+
+view("smp", "SELECT vec_id // 100 AS source_id, flatten(list(embedding ORDER BY vec_id)) AS arr FROM embeddings GROUP BY vec_id // 100")
+
 SOUNDS = (
     "Gunshot, gunfire", "Explosion", "Speech", "Music", "Bang", "Silence", "Machine gun", "Laughter", "Wind",
 )
@@ -377,5 +387,5 @@ view("lb", "SELECT 'frame_' || doc_id AS stem, '.txt' AS ext, quality, toxic FRO
 
 __all__ = [
     "SPACE", "audio", "chunk_labels", "clips", "detections", "events", "files", "intervals", "probes",
-    "profile", "replies", "scenes", "screen", "table", "transcript",
+    "profile", "replies", "scenes", "screen", "table", "transcript", "waveform",
 ]

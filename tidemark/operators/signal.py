@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +25,22 @@ COMBAT_LABELS = (
     "Burst, pop",
 )
 
-# ten steps of 0.2 s do not yet exceed 2.0 s in floating point, eleven do; for 3.0 s it is
-# the fifteenth step, because fifteen times 0.2 sums to 3.0000000000000004
-SILENCE_BEFORE, SILENCE_AFTER = 11, 15
+
+
+def silence_steps(gap_s: float, resolution_s: float) -> int:
+    """Quiet samples in a row whose steps, added up one by one as doubles, first exceed ``gap_s``."""
+    steps, passed = 0, 0.0
+    while passed <= gap_s:
+        passed += resolution_s
+        steps += 1
+    return steps
+
+
+# the gaps allowed are seconds; on samples of 0.2 s they are so many steps
+SILENCE_BEFORE, SILENCE_AFTER = silence_steps(2.0, 0.2), silence_steps(3.0, 0.2)
+
+Frames = Callable[[DataFrame, str, str], DataFrame]
+"""(ranges, start column, end column) -> one row per range and frame: columns of the range, ``t`` and measures."""
 
 
 def frame_rms(signal: DataFrame, *, length: int, stride: int, key: Sequence[str] = ("source_id", "chunk_ix")) -> DataFrame:
@@ -162,6 +175,59 @@ def in_ranges(
     )
 
 
+def range_frames(
+    signal: DataFrame, ranges: DataFrame, *, start: str, end: str, rate: float, chunk_samples: int, window_s: float,
+    resolution_s: float, measures: Mapping[str, Callable[[Column], Column]] | None = None, key: str = "source_id",
+) -> DataFrame:
+    """Frames of ``window_s`` every ``resolution_s`` that begin at each range's own start and end within it.
+
+    ``signal`` has rows (key, chunk_ix, samples), all chunks but the last of ``chunk_samples``.  The
+    chunks that a range meets are laid end to end, and the frames are slices of that one array, so that a
+    row is as large as a range, never as a source.  ``measures`` name what is worked out of a frame's
+    samples (its energy as ``rms`` by default).  A range with a chunk missing, or shorter than
+    a frame, has no frames.
+    """
+    measures = measures or {"rms": frame_energy}
+    length, stride = max(1, int(window_s * rate)), max(1, int(resolution_s * rate))
+    sizes = signal.groupBy(key).agg(F.max(F.col("chunk_ix") * chunk_samples + F.size("samples")).alias("__len"))
+    first = F.floor(F.col(start) * rate).cast("bigint")
+    stop = F.least(F.floor(F.col(end) * rate).cast("bigint"), F.col("__len"))
+    spans = ranges.withColumn("__id", F.monotonically_increasing_id()).join(sizes, key)
+    spans = spans.withColumns({"__first": first, "__room": stop - first - length}).where(F.col("__room") >= 0).drop("__len")
+    spans = spans.withColumn("__n", F.floor(F.col("__room") / stride).cast("int") + 1)
+    spans = spans.withColumns({
+        "__from": F.floor(F.col("__first") / chunk_samples).cast("bigint"),
+        "__to": F.floor((F.col("__first") + (F.col("__n") - 1) * stride + length - 1) / chunk_samples).cast("bigint"),
+    })
+    asked = spans.select(key, "__id", F.explode(F.sequence("__from", "__to")).alias("chunk_ix"))
+    met = asked.join(signal.select(key, "chunk_ix", "samples"), [key, "chunk_ix"]).groupBy("__id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_ix", "samples"))).alias("__chunks")
+    )
+    whole = spans.join(met, "__id").where(F.size("__chunks") == F.col("__to") - F.col("__from") + 1)
+    whole = whole.withColumn("__all", F.flatten(F.transform("__chunks", lambda c: c["samples"])))
+    base = (F.col("__first") - F.col("__from") * chunk_samples).cast("int")
+
+    def frame(i: Column) -> Column:
+        samples = F.slice("__all", base + i * stride + 1, F.lit(length))
+        at = (F.col("__first") + i * stride) / F.lit(float(rate)) + window_s / 2
+        return F.struct(at.alias("t"), *[f(samples).alias(n) for n, f in measures.items()])
+
+    frames = whole.withColumn("__f", F.explode(F.transform(F.sequence(F.lit(0), F.col("__n") - 1), frame)))
+    return frames.select(*ranges.columns, "__f.*")
+
+
+def signal_frames(signal: DataFrame, *, key: str = "source_id", **settings) -> Frames:
+    """Frames for :func:`onset` and :func:`offset`, cut from the signal at each range's start."""
+    return lambda ranges, start, end: range_frames(signal, ranges, start=start, end=end, key=key, **settings)
+
+
+def _frames(source: DataFrame | Frames, ranges: DataFrame, *, start: str, end: str, half_chunk: float, key: str) -> DataFrame:
+    """Frames of each range: cut anew, or the rows of a profile whose window lies in the range."""
+    if callable(source):
+        return source(ranges, start, end)
+    return in_ranges(source, ranges, start=start, end=end, half_chunk=half_chunk, key=key)
+
+
 def lowest_dip(
     profile: DataFrame, ranges: DataFrame, *, start: str, end: str, ident: str = "clip_id",
     value: str = "smoothed", t: str = "t", key: str = "source_id",
@@ -215,12 +281,12 @@ def local_gate(
 
 
 def _range_anchors(
-    ranges: DataFrame, scores: DataFrame, *, start: str, end: str, ident: str, key: str, half_chunk: float,
+    ranges: DataFrame, scores: DataFrame | Frames, *, start: str, end: str, ident: str, key: str, half_chunk: float,
     threshold: float, min_rows: int,
 ) -> DataFrame:
     """Peak and last sample at the threshold of each range, on locally gated scores."""
     spans = ranges.select(key, ident, F.col(start).alias("__ws"), F.col(end).alias("__we"))
-    rows = in_ranges(scores, spans, start="__ws", end="__we", half_chunk=half_chunk, key=key)
+    rows = _frames(scores, spans, start="__ws", end="__we", half_chunk=half_chunk, key=key)
     s, t = F.col("gated_score"), F.col("t")
     high = F.when(s >= threshold, t)
     found = local_gate(rows, ident=ident, key=key).groupBy(key, ident).agg(
@@ -236,13 +302,14 @@ def _range_anchors(
 
 
 def _trace(
-    anchors: DataFrame, profile: DataFrame, *, lo: Column, hi: Column, forward: bool, silence_n: int,
+    anchors: DataFrame, profile: DataFrame | Frames, *, lo: Column, hi: Column, forward: bool, silence_n: int,
     factor: float, floor: float, ident: str, key: str, half_chunk: float,
 ) -> DataFrame:
     # one row per range, read twice below
     anchors = cut_lineage(anchors)
     spans = anchors.select(key, ident, lo.alias("__a"), hi.alias("__b"))
-    rows = in_ranges(profile.select(key, "t", "rms"), spans, start="__a", end="__b", half_chunk=half_chunk, key=key)
+    levels = profile if callable(profile) else profile.select(key, "t", "rms")
+    rows = _frames(levels, spans, start="__a", end="__b", half_chunk=half_chunk, key=key)
     whole = Window.partitionBy(key, ident)
     walk = whole.orderBy(F.col("t").asc() if forward else F.col("t").desc())
     upto = walk.rowsBetween(Window.unboundedPreceding, 0)
@@ -265,7 +332,7 @@ def _confidence(moved: Column) -> Column:
 
 
 def onset(
-    ranges: DataFrame, scores: DataFrame, profile: DataFrame, *, start: str, end: str,
+    ranges: DataFrame, scores: DataFrame | Frames, profile: DataFrame | Frames, *, start: str, end: str,
     ident: str = "clip_id", key: str = "source_id", silence_n: int = SILENCE_BEFORE, factor: float = 2.0,
     floor: float = 0.005, score_threshold: float = 0.30, half_chunk: float = 0.0, min_rows: int = 4,
 ) -> DataFrame:
@@ -274,6 +341,8 @@ def onset(
     From the anchor walk back while samples are loud (above ``factor`` times the 20th
     percentile), allowing fewer than ``silence_n`` quiet samples in a row.  A found lead-up
     lifts the confidence to at least 0.7.  Ranges with too few samples or no anchor give none.
+    ``scores`` (t, rms, score) and ``profile`` (t, rms) are profiles of whole sources, or frames cut at
+    each range (:func:`signal_frames`), as a rule every 0.5 s and every 0.2 s.
     """
     found = _range_anchors(
         ranges, scores, start=start, end=end, ident=ident, key=key, half_chunk=half_chunk,
@@ -291,7 +360,7 @@ def onset(
 
 
 def offset(
-    ranges: DataFrame, scores: DataFrame, profile: DataFrame, *, start: str, end: str,
+    ranges: DataFrame, scores: DataFrame | Frames, profile: DataFrame | Frames, *, start: str, end: str,
     ident: str = "clip_id", key: str = "source_id", silence_n: int = SILENCE_AFTER, factor: float = 2.5,
     floor: float = 0.005, score_threshold: float = 0.30, half_chunk: float = 0.0, min_rows: int = 4,
     min_peak: float = 0.1,

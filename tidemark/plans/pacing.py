@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.conflicts import deoverlap
-from tidemark.operators.signal import chunk_scores, moving_average, offset, onset, quiet_gate, smooth_width
+from tidemark.operators.signal import Frames, chunk_scores, moving_average, offset, onset, quiet_gate, smooth_width
 from tidemark.session import cut_lineage
 
 KEY = "source_id"
@@ -34,7 +34,7 @@ def spike_events(
 
 
 def safe_entry(
-    clips: DataFrame, scores: DataFrame, profile: DataFrame, *, back_s: float = 60.0, pad_s: float = 4.0,
+    clips: DataFrame, scores: DataFrame | Frames, profile: DataFrame | Frames, *, back_s: float = 60.0, pad_s: float = 4.0,
     default_s: float = 10.0, buffer_minutes: float = 1.2, half_chunk: float = 0.0, score_threshold: float = 0.30,
 ) -> DataFrame:
     """Entry point per clip: onset less the pad, or ``default_s`` before the start."""
@@ -54,7 +54,7 @@ def safe_entry(
 
 
 def safe_exit(
-    clips: DataFrame, scores: DataFrame, profile: DataFrame, *, fwd_s: float = 45.0, default_s: float = 10.0,
+    clips: DataFrame, scores: DataFrame | Frames, profile: DataFrame | Frames, *, fwd_s: float = 45.0, default_s: float = 10.0,
     buffer_minutes: float = 1.5, half_chunk: float = 0.0, score_threshold: float = 0.30,
 ) -> DataFrame:
     """Exit point per clip: offset, or ``default_s`` after the end; never past ``fwd_s``."""
@@ -71,7 +71,7 @@ def safe_exit(
     )
 
 
-def pace_clips(clips: DataFrame, scores: DataFrame, profile: DataFrame, *, half_chunk: float = 0.0,
+def pace_clips(clips: DataFrame, scores: DataFrame | Frames, profile: DataFrame | Frames, *, half_chunk: float = 0.0,
                score_threshold: float = 0.30, width: float = 600.0) -> DataFrame:
     """Entry and exit per clip, overlaps pushed apart, paced duration."""
     clips = cut_lineage(clips)
