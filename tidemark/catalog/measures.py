@@ -597,6 +597,14 @@ _E4 = _ENTRY.replace("{f}", "2e0").replace("{q}", "11")
 _E5 = _EXIT.replace("{f}", "25e-1").replace("{q}", "15")
 
 
+@query("e14_event_pipeline")
+def e14(spark, sf):
+    """Spikes, pruned detections, merged log, clips, cut points and render list, end to end."""
+    from tidemark.plans import gameplay
+
+    return gameplay.event_pipeline(S.events(spark, sf), S.profile(spark, sf), S.chunk_labels(spark, sf), *_in_signal(spark, sf))
+
+
 @query(
     "e04_safe_entry",
     sql(

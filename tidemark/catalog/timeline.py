@@ -469,6 +469,24 @@ def j09(spark, sf):
     ).select("event_id", "scene_ix")
 
 
+@query(
+    "j12_prune_frame_table",
+    sql(
+        """SELECT source_id, event_id, frame FROM (SELECT source_id, event_id, CAST(floor(timestamp_s * 30) AS BIGINT) - CAST(floor(timestamp_s * 30) AS BIGINT) % 30 AS frame FROM ev) f
+WHERE source_id NOT IN (SELECT source_id FROM au) OR EXISTS (SELECT 1 FROM au WHERE au.source_id = f.source_id
+  AND frame >= CAST(floor(greatest(0e0, timestamp_s - 15) * 30) AS BIGINT) // 30 * 30 AND frame < CAST(floor((timestamp_s + 15) * 30) AS BIGINT))""",
+        "ev", "au",
+    ),
+)
+def j12_table(spark, sf):
+    """Detections of a frame table, kept where the frame is sampled around a spike."""
+    from tidemark.plans.detection import prune_frames
+
+    at = F.floor(F.col("timestamp_s") * 30).cast("bigint")
+    frames = S.events(spark, sf).select("source_id", "event_id", (at - at % 30).alias("frame"))
+    return prune_frames(frames, intervals.scan_windows(S.audio(spark, sf)))
+
+
 @query(
     "j12_prune_frames",
     sql(

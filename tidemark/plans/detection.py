@@ -19,6 +19,18 @@ def window_frames(windows: DataFrame, *, fps: float, interval_s: float, total_fr
     return windows.select(key, F.explode(frames).alias("frame")).distinct()
 
 
+def prune_frames(
+    frames: DataFrame, windows: DataFrame, *, frame: str = "frame", fps: float = 30.0, interval_s: float = 1.0, key: str = KEY
+) -> DataFrame:
+    """Rows of a frame table whose frame is sampled in a scan window of its source: a semi join.
+
+    A source without windows keeps all its rows, as a scan without pruning does.
+    """
+    wanted = window_frames(windows, fps=fps, interval_s=interval_s, total_frames=F.lit(1 << 62), key=key).withColumnRenamed("frame", frame)
+    inside = frames.join(wanted, [key, frame], "left_semi")
+    return inside.unionByName(frames.join(windows.select(key).distinct(), key, "left_anti"))
+
+
 # fixed values: words that confirm a label's screen text, with their weights
 KEYWORDS = {
     "Victory": {"you are the champion": 3.0, "champion": 2.0, "victory": 2.0, "win": 1.0},

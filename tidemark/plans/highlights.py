@@ -244,11 +244,15 @@ def highlight_clips(events: DataFrame, audio: DataFrame, *, mode: str = "elimina
     anchored_part = anchored_clips(
         events.join(heard, KEY, "left_semi"), audio, anchor_label=anchor_label, weights=weights, **anchored
     ).withColumn("origin", F.lit("anchored"))
-    silent = sliding_clips(events.join(heard, KEY, "left_anti"), weights=weights, **(sliding or {}))
-    plain = sliding_clips(
-        events.join(heard, KEY, "left_semi").join(anchors, KEY, "left_anti"), weights=weights
-    )
-    rest = silent.unionByName(plain).withColumn("origin", F.lit("sliding"))
+    if sliding:
+        silent = sliding_clips(events.join(heard, KEY, "left_anti"), weights=weights, **sliding)
+        plain = sliding_clips(
+            events.join(heard, KEY, "left_semi").join(anchors, KEY, "left_anti"), weights=weights
+        )
+        rest = silent.unionByName(plain)
+    else:  # both kinds of sources with the defaults: one run
+        rest = sliding_clips(events.join(heard.join(anchors, KEY), KEY, "left_anti"), weights=weights)
+    rest = rest.withColumn("origin", F.lit("sliding"))
     return anchored_part.select(shared).unionByName(rest.select(shared))
 
 
