@@ -85,6 +85,23 @@ def test_stage_is_reused(spark, tmp_path):
     assert sinks.stage(a.where("id < 2"), str(tmp_path), "one", refresh=True).count() == 2
 
 
+def test_plain_sinks_and_params(spark, tmp_path):
+    rows = [(i % 5 if i % 7 else None, i, float(i), "x", 0.5, "t") for i in range(200)]
+    events = spark.createDataFrame(rows, "source_id BIGINT, event_id BIGINT, timestamp_s DOUBLE, label STRING, confidence DOUBLE, text STRING")
+    sinks.write_events(events, str(tmp_path / "events"), buckets=4)
+    back = spark.read.schema(events.schema).json(str(tmp_path / "events")).select(events.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, events.collect()))
+    assert len([f for f in (tmp_path / "events").iterdir() if f.name.startswith("bucket=")]) <= 4
+    clips = spark.createDataFrame([(1, "clip_1.mp4", None, 1.0, 3.5)], "source_id BIGINT, file_name STRING, title STRING, start DOUBLE, end DOUBLE")
+    sinks.write_metadata(clips, "/out/", str(tmp_path / "meta"))
+    assert [(r.file_path, r.title, r.duration) for r in spark.read.json(str(tmp_path / "meta")).collect()] == [("/out/clip_1.mp4", "Untitled", 2.5)]
+    lines = spark.createDataFrame([(1, "b"), (0, "a"), (2, "c")], "ix INT, line STRING")
+    sinks.write_dataset_text(lines, str(tmp_path / "data"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "data")).collect()] == ["a", "b", "c"]
+    (tmp_path / "scenario.json").write_text('{"clumping": {"end_buffer": 1.0}}')
+    assert params.read_params(spark, str(tmp_path / "scenario.json"))["clumping"]["end_buffer"] == 1.0
+
+
 def test_scorer_turns_failures_into_rows(spark):
     def scorer(batch):
         if (batch["id"] >= 8).any():

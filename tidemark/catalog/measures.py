@@ -8,7 +8,7 @@ from tidemark.catalog import samples as S
 from tidemark.catalog import timeline as _shared_views  # noqa: F401  (registers the views used below)
 from tidemark.catalog.registry import query, sql, view
 from tidemark.functions.scoring import intensity, is_combat
-from tidemark.operators import rangejoin, select, signal
+from tidemark.operators import intervals, rangejoin, select, signal
 from tidemark.operators.scan import bin_of
 from tidemark.plans import detection, highlights, pacing
 
@@ -269,7 +269,9 @@ def f12(spark, sf):
     ),
 )
 def a01(spark, sf):
-    t = _clip_totals(spark, sf)
+    score = intensity(F.col("label"), F.col("confidence"), F.col("text"))
+    points = intervals.time_points(S.events(spark, sf), score=F.sum(score))
+    t = highlights.clip_intensity(points, S.clips(spark, sf), start="start_time", end="end_time", ident=["clip_id"])
     return t.select("clip_id", F.col("event_count").cast("bigint").alias("event_count"), F.round("intensity_score", 6).alias("intensity_score"))
 
 
@@ -296,11 +298,12 @@ def a02(spark, sf):
 
 @query(
     "a05_dedupe_events",
-    sql("SELECT source_id, timestamp_s, label, text, count(*) AS copies FROM (SELECT source_id, floor(timestamp_s / 30) AS timestamp_s, label, text FROM ev) GROUP BY ALL", "ev"),
+    sql("SELECT source_id, timestamp_s, label, text, count(*) AS copies FROM (SELECT source_id, timestamp_s, label, text FROM ev UNION ALL SELECT source_id, timestamp_s, label, text FROM ev WHERE value > 20) GROUP BY ALL", "ev"),
 )
 def a05(spark, sf):
-    ev = S.events(spark, sf).select("source_id", F.floor(F.col("timestamp_s") / 30).cast("double").alias("timestamp_s"), "label", "text")
-    return ev.groupBy("source_id", "timestamp_s", "label", "text").agg(F.count(F.lit(1)).alias("copies"))
+    """Events of which some came twice, as parts of a merged clip do."""
+    ev = S.events(spark, sf)
+    return highlights.distinct_events(ev.union(ev.where(F.col("value") > 20)))
 
 
 @query(
@@ -664,6 +667,35 @@ def e06(spark, sf):
     )
 
 
+_S4 = _SIG_ENTRY.replace("{f}", "2e0").replace("{q}", str(signal.SILENCE_BEFORE))
+_S5 = _SIG_EXIT.replace("{f}", "25e-1").replace("{q}", str(signal.SILENCE_AFTER))
+
+
+@query(
+    "e06_pace_clips_in_signal",
+    sql(
+        """SELECT n.clip_id, round(coalesce(f.ns, n.s0), 6) AS entry_t, round(CASE WHEN f.ns IS NOT NULL THEN 3e-1 ELSE n.c1 END, 6) AS entry_confidence,
+  CASE WHEN f.ns IS NOT NULL THEN 'moved past an earlier clip' ELSE 'audio' END AS reason, round(n.e0, 6) AS exit_t, round(n.c2, 6) AS exit_confidence,
+  round(n.e0 - coalesce(f.ns, n.s0), 6) AS safe_duration, coalesce(f.ns, n.s0) < n.e0 AS valid
+FROM ord_ n LEFT JOIN (SELECT n.clip_id, arg_min(f.e0, f.k) + 1 AS ns FROM ord_ n JOIN ord_ f ON f.source_id = n.source_id AND f.k < n.k AND f.e0 > n.s0 GROUP BY n.clip_id) f USING (clip_id)""",
+        "cp", "smp",
+        ctes=_tag(_S4, "1") + ",\n" + _tag(_S5, "2") + """,
+ord_ AS (SELECT c.source_id, c.clip_id, greatest(coalesce(e.onset_t - 4, c.start_time - 10), c.start_time - 60) AS s0, coalesce(e.confidence, 4e-1) AS c1,
+  least(coalesce(x.offset_t, c.end_time + 10), c.end_time + 45) AS e0, coalesce(x.confidence, 4e-1) AS c2, row_number() OVER (PARTITION BY c.source_id ORDER BY c.start_time, c.clip_id) AS k
+  FROM cp c LEFT JOIN ent e USING (clip_id) LEFT JOIN ext x USING (clip_id))""",
+    ),
+)
+def e06_signal(spark, sf):
+    """All that pacing says of a clip."""
+    out = pacing.pace_clips(S.clips(spark, sf).select("source_id", "clip_id", "start_time", "end_time"), *_in_signal(spark, sf))
+    rounded = lambda c: F.round(c, 6)
+    return out.select(
+        "clip_id", rounded("safe_entry.timestamp").alias("entry_t"), rounded("safe_entry.confidence").alias("entry_confidence"),
+        F.col("safe_entry.reason").alias("reason"), rounded("safe_exit.timestamp").alias("exit_t"),
+        rounded("safe_exit.confidence").alias("exit_confidence"), rounded("safe_duration").alias("safe_duration"), "valid",
+    )
+
+
 # ---------------------------------------------------------------- sort, limit, sample, sets
 
 

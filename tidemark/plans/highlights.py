@@ -46,6 +46,11 @@ def clip_intensity(points: DataFrame, clips: DataFrame, *, start: str, end: str,
     )
 
 
+def distinct_events(events: DataFrame, *, group: Sequence[str] = (KEY,)) -> DataFrame:
+    """Events of equal time, label and text once per group, with the number of their copies."""
+    return events.groupBy(*group, "timestamp_s", "label", "text").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def anchored_raw_clips(
     events: DataFrame, audio: DataFrame, *, anchor_label: str = "ELIMINATED Text",
     elim_merge_gap: float = 30.0, audio_lookback: float = 30.0, audio_lookahead: float = 30.0,
