@@ -113,7 +113,7 @@ def cell_keys(unit: np.ndarray, label: np.ndarray, p: LatticeParams) -> np.ndarr
         own = (2 * np.concatenate(points, 1)).astype(np.int64).astype(np.uint64) @ taps
         moves = np.concatenate([(2 * _STEPS).astype(np.int64).astype(np.uint64) @ taps[8 * g : 8 * g + 8] for g in range(p.groups)])
         gain = np.concatenate(gains, 1)
-        nearest = np.argsort(-gain, axis=1, kind="stable")[:, : p.probes]
+        nearest = np.argpartition(-gain, p.probes, axis=1)[:, : p.probes]
         cells = np.concatenate([own[:, None], own[:, None] + moves[nearest]], 1)
         out.append(mix(cells ^ mix(label + np.uint64(table * 1_000_003 + dim))[:, None]))
     return np.concatenate(out, 1).view(np.int64)
