@@ -199,6 +199,8 @@ def range_frames(
         "__from": F.floor(F.col("__first") / chunk_samples).cast("bigint"),
         "__to": F.floor((F.col("__first") + (F.col("__n") - 1) * stride + length - 1) / chunk_samples).cast("bigint"),
     })
+    # one row per range, read twice below: the running number must be the same both times
+    spans = cut_lineage(spans)
     asked = spans.select(key, "__id", F.explode(F.sequence("__from", "__to")).alias("chunk_ix"))
     met = asked.join(signal.select(key, "chunk_ix", "samples"), [key, "chunk_ix"]).groupBy("__id").agg(
         F.array_sort(F.collect_list(F.struct("chunk_ix", "samples"))).alias("__chunks")
