@@ -643,7 +643,7 @@ def e05(spark, sf):
 def _tag(block: str, suffix: str) -> str:
     import re
 
-    return re.sub(r"\b(rg|sp|gs|an|rr|lo|qt|st|fd|pk)\b(?= AS \(|\b)", lambda m: m.group(1) + suffix, block)
+    return re.sub(r"\b(rg|sp|gs|an|rr|lo|qt|st|fd|pk|f5|r2)\b(?= AS \(|\b)", lambda m: m.group(1) + suffix, block)
 
 
 @query(
