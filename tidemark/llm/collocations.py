@@ -374,19 +374,27 @@ class Tally:
         self.counts = np.insert(self.counts, at[~known], counts[~known])
         self.place = np.insert(self.place, at[~known], place)
 
-    def batch(self) -> pa.RecordBatch:
-        counts = np.zeros(len(self.phrases), np.int64)
-        counts[self.place] = self.counts
-        rows = self.phrases + [(lang, "", 0) for lang in self.words]
-        lang, phrase, n = zip(*rows, strict=True)
+    def batch(self, n_parts: int) -> pa.RecordBatch:
+        """One row per hash partition that the phrases fall in, with lists of them; the words of languages go to the first."""
+        part = partitions(self.keys >> np.uint64(64 - HASH_BITS), n_parts)
+        first = np.searchsorted(part, np.unique(part))
+        rows = [[(*self.phrases[i], c) for i, c in zip(self.place[u:v].tolist(), self.counts[u:v].tolist(), strict=True)]
+                for u, v in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
+        parts = part[first].tolist()
+        rows.append([(lang, "", 0, count) for lang, count in self.words.items()])
+        parts.append(0)
+        lists = [[[r[k] for r in row] for row in rows] for k in range(4)]
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(n, pa.int32()), pa.array([*counts.tolist(), *self.words.values()], pa.int64())],
-            names=["lang", "phrase", "n_words", "count"],
+            [pa.array(parts, pa.int64()), *[pa.array(x, pa.list_(t)) for x, t in zip(lists, kinds, strict=True)]], names=["part", *_COUNTS]
         )
 
 
-def _counted(shared, p: PhraseParams):
-    """(lang, phrase, n_words, count) of what survived; n_words 0 stands for all words."""
+_COUNTS = ("lang", "phrase", "n_words", "count")
+
+
+def _counted(n_parts: int, shared, p: PhraseParams):
+    """Lists of (lang, phrase, n_words, count) of what survived, by hash partition; n_words 0 stands for all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = unfold(shared, p)
@@ -398,10 +406,36 @@ def _counted(shared, p: PhraseParams):
             for n, starts, hashes in living(w, salts, range(1, p.max_words + 1), bitmaps, p.filter_bits):
                 tally.take(w, langs, n, starts, hashes)
             if len(tally.keys) > p.held:
-                yield tally.batch()
+                yield tally.batch(n_parts)
                 tally = Tally()
         if tally.words:
-            yield tally.batch()
+            yield tally.batch(n_parts)
+
+    return run
+
+
+def _added(p: PhraseParams):
+    """lang, phrase, n_words, f of the frequent phrases of each hash partition, added up by their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def frequent() -> Iterator[pa.RecordBatch]:
+            rows = [(*k, f) for k, f in held.items() if k[2] == 0 or f >= p.min_count]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n_words", "f"])
+
+        for batch in parted(batches, 200):
+            for part, *lists in zip(*(batch.column(c).to_pylist() for c in ("part", *_COUNTS)), strict=True):
+                if part != now:
+                    yield from frequent()
+                    now, held = part, {}
+                for lang, phrase, n, count in zip(*lists, strict=True):
+                    key = (lang, phrase, n)
+                    held[key] = held.get(key, 0) + count
+        yield from frequent()
 
     return run
 
@@ -418,9 +452,10 @@ def frequent_phrases(docs: DataFrame, p: PhraseParams = DEFAULT) -> DataFrame:
     shared = spark.sparkContext.broadcast((low, None))
     long = cut_lineage(candidates(texts, range(3, p.max_words + 1), n_parts, shared, p))
     shared = spark.sparkContext.broadcast((low, bitmap(long, p)))
-    counts = texts.mapInArrow(_counted(shared, p), "lang string, phrase string, n_words int, count long")
-    f = counts.groupBy("lang", "phrase", "n_words").agg(F.sum("count").alias("f"))
-    return f.where((F.col("n_words") == 0) | (F.col("f") >= p.min_count))
+    lists = "part long, lang array<string>, phrase array<string>, n_words array<int>, count array<long>"
+    counts = texts.mapInArrow(_counted(n_parts, shared, p), lists)
+    dealt = counts.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(_added(p), "lang string, phrase string, n_words int, f long")
 
 
 # --- scores ----------------------------------------------------------------------------------
