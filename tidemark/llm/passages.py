@@ -171,7 +171,8 @@ def _seed_rows(shared, p: PassageParams):
 def anchors(docs: DataFrame, p: PassageParams = DEFAULT) -> DataFrame:
     """doc_id, other_id, x, y: places of shared seeds in a document and in the first that has them."""
     shared = docs.sparkSession.sparkContext.broadcast(shared_seeds(docs, p))
-    rows = docs.mapInArrow(_seed_rows(shared, p), "seed long, doc_id long, place int")
+    # read twice below: written once, as seeds cost more than their rows
+    rows = cut_lineage(docs.mapInArrow(_seed_rows(shared, p), "seed long, doc_id long, place int"))
     first = rows.groupBy("seed").agg(
         F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last_id"),
         F.min_by("place", F.when(F.col("place") >= 0, F.col("doc_id"))).alias("y"),
