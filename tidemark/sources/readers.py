@@ -5,6 +5,9 @@ so that records keep their position.  A source is told by the whole path of its
 name alone: ``7.json`` and ``007.json``, and equal names in two folders, are different sources.  A
 table of (file, source_id) may name sources instead.  Files that can't be read give no rows; they
 come back as a table of their own, with the reason.
+
+Logs of very many recordings come in packs (``packed=True``): Parquet rows of ``PACK``, each a whole
+document with the path of its log, so that the number of files does not grow with the recordings.
 """
 
 from __future__ import annotations
@@ -20,6 +23,9 @@ from tidemark.functions.text import parse_timed_line, parse_transcript_line
 from tidemark.functions.timefmt import parse_rate
 from tidemark.schemas import MANIFEST_CLIP, PROBE, RAW_EVENT, SIGNAL
 
+#: A document of a log in a pack: the path of the log, the page and the bytes.
+PACK = "file STRING, page BIGINT, content BINARY"
+
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
 
@@ -44,14 +50,18 @@ def _log_of(where: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(where, r"^(.*/log=[^/]+)/page=\d+/", 1), F.lit("")), where)
 
 
-def _documents(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+def _documents(
+    spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None, packed: bool = False
+) -> DataFrame:
     """Whole files: file (the path of the log), source_id, page, value (null where the bytes are not UTF-8)."""
-    where = plain_path(F.col("path"))
-    page = F.regexp_extract(where, r"/page=(\d+)/", 1).try_cast("bigint")
-    docs = _files(spark, path).select(
-        _log_of(where).alias("file"), F.coalesce(page, F.lit(0)).alias("page"),
-        F.try_validate_utf8(F.col("content").cast("string")).alias("value"),
-    )
+    value = F.try_validate_utf8(F.col("content").cast("string")).alias("value")
+    if packed:
+        packs = spark.read.schema(PACK).parquet(*([path] if isinstance(path, str) else path))
+        docs = packs.select(plain_path(F.col("file")).alias("file"), F.coalesce("page", F.lit(0)).alias("page"), value)
+    else:
+        where = plain_path(F.col("path"))
+        page = F.regexp_extract(where, r"/page=(\d+)/", 1).try_cast("bigint")
+        docs = _files(spark, path).select(_log_of(where).alias("file"), F.coalesce(page, F.lit(0)).alias("page"), value)
     if sources is None:
         return docs.withColumn("source_id", F.xxhash64("file"))
     named = sources.select(plain_path(F.col("file")).alias("file"), F.col("source_id").alias("__named"))
@@ -66,9 +76,9 @@ def _without_bytes(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return empty.select(_log_of(F.col("path")).alias("file"), F.lit("empty").alias("reason"))
 
 
-def _read_list(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None, items: Column) -> LogRead:
+def _read_list(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None, items: Column, packed: bool) -> LogRead:
     """Rows (source_id, page, pos, e) of documents that are lists; ``items`` is null where one can't be parsed."""
-    docs, value = _documents(spark, path, sources), F.col("value")
+    docs, value = _documents(spark, path, sources, packed), F.col("value")
     text = F.ltrim(F.regexp_replace(value, r"^[\s\x{FEFF}]+", ""))
     reason = (
         F.when(value.isNull(), "not UTF-8").when(text == "", "empty")
@@ -77,20 +87,21 @@ def _read_list(spark: SparkSession, path: str | Sequence[str], sources: DataFram
     judged = docs.select("file", "source_id", "page", items.alias("items"), reason.alias("reason"))
     rows = judged.where(F.col("reason").isNull()).select("source_id", "page", F.posexplode("items").alias("pos", "e"))
     bad = judged.where(F.col("reason").isNotNull()).select("file", "reason")
-    return LogRead(rows, bad.union(_without_bytes(spark, path)))
+    # a pack holds its empty documents as rows
+    return LogRead(rows, bad if packed else bad.union(_without_bytes(spark, path)))
 
 
-def event_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> LogRead:
+def event_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None, *, packed: bool = False) -> LogRead:
     """Event tables from JSON arrays of event objects, one file (or paged folder) per source."""
     fields = RAW_EVENT.replace(", _corrupt_record STRING", "")
-    rows, unreadable = _read_list(spark, path, sources, F.from_json("value", f"array<struct<{fields}>>"))
+    rows, unreadable = _read_list(spark, path, sources, F.from_json("value", f"array<struct<{fields}>>"), packed)
     # pages keep their order: page in the upper, position in the lower half
     return LogRead(rows.select("source_id", (F.shiftleft("page", 32) + F.col("pos")).alias("event_id"), "e.*"), unreadable)
 
 
-def read_event_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+def read_event_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None, *, packed: bool = False) -> DataFrame:
     """The rows of :func:`event_logs`."""
-    return event_logs(spark, path, sources).rows
+    return event_logs(spark, path, sources, packed=packed).rows
 
 
 def audio_records(value: Column) -> Column:
@@ -116,15 +127,15 @@ def audio_records(value: Column) -> Column:
     )
 
 
-def audio_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> LogRead:
+def audio_logs(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None, *, packed: bool = False) -> LogRead:
     """Audio tables from JSON logs, one file (or paged folder) per source."""
-    rows, unreadable = _read_list(spark, path, sources, audio_records(F.col("value")))
+    rows, unreadable = _read_list(spark, path, sources, audio_records(F.col("value")), packed)
     return LogRead(rows.select("source_id", "e.*"), unreadable)
 
 
-def read_audio_events(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None) -> DataFrame:
+def read_audio_events(spark: SparkSession, path: str | Sequence[str], sources: DataFrame | None = None, *, packed: bool = False) -> DataFrame:
     """The rows of :func:`audio_logs`."""
-    return audio_logs(spark, path, sources).rows
+    return audio_logs(spark, path, sources, packed=packed).rows
 
 
 def manifest_clips(value: Column, schema: str = MANIFEST_CLIP) -> Column:
