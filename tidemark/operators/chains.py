@@ -152,6 +152,14 @@ def trigger_windows(
     return visited.select(*group, "event_id", "row_ix", "last_ix", "n_window", "window_start")
 
 
+def _earliest(start: Column, length: float) -> Column:
+    """The least double ``x`` with ``x - start >= length``; ``start + length`` may round to a neighbour of it."""
+    at = start + length
+    half = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(at), F.lit(length)))) - 53)
+    near = F.array(*[at + half * k for k in range(-8, 9)])
+    return F.array_min(F.filter(near, lambda x: x - start >= length))
+
+
 def _chapter_cuts(
     linked: DataFrame, key: str, width: float, min_length: float, max_length: float
 ) -> DataFrame:
@@ -160,7 +168,8 @@ def _chapter_cuts(
     Ends and previous ends rise, so "first line with previous end >= x" answers all three
     conditions, and one backward scan over lines (marks) and asked times reads it:
     at start + min for any and for a cut line, at start + max for the length limit
-    (the line before the one found, or the last line when its own end reaches).
+    (the line before the one found, or the last line when its own end reaches).  A limit is
+    met when the difference of the times reaches it, see :func:`_earliest`.
     """
     marks = linked.select(
         key, F.col("last_end").alias("__p"), F.lit(1).alias("__o"), F.col("ix").alias("__tie"),
@@ -169,8 +178,8 @@ def _chapter_cuts(
     )
     asked = F.explode(
         F.array(
-            F.struct(F.lit("min").alias("ask"), (F.col("start") + min_length).alias("p")),
-            F.struct(F.lit("max").alias("ask"), (F.col("start") + max_length).alias("p")),
+            F.struct(F.lit("min").alias("ask"), _earliest(F.col("start"), min_length).alias("p")),
+            F.struct(F.lit("max").alias("ask"), _earliest(F.col("start"), max_length).alias("p")),
         )
     )
     none = F.lit(None).cast("bigint")
@@ -233,7 +242,7 @@ def chapters(
     linked = cut_lineage(linked.select(key, "ix", "start", "end", "last_end", cut.alias("cut")))
     cuts = _chapter_cuts(linked, key, width, min_length, max_length)
     lasts = linked.groupBy(key).agg(F.max("ix").alias("__last"), F.max("end").alias("__close"))
-    reaches_end = F.col("__close") >= F.col("start") + max_length
+    reaches_end = F.col("__close") - F.col("start") >= max_length
     long = F.coalesce(F.col("past") - 1, F.when(reaches_end, F.col("__last")))
     hard = F.when(long.isNotNull() & F.col("enough").isNotNull(), F.greatest(long, F.col("enough")))
     nodes = linked.join(cuts, [key, "ix"]).join(lasts, key).withColumn("next_ix", F.least(F.col("soft"), hard))
