@@ -6,7 +6,7 @@ time, so the default gaps of 30 and 60 s select real structure.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.registry import view
@@ -266,22 +266,16 @@ FROM (SELECT *, row_number() OVER w AS n, lead(timestamp_s) OVER w AS nxt FROM e
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
     """Person boxes: several per sampled frame; every third has a face."""
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem").withColumns(
+        {"source_id": F.col("l_suppkey"), "frame_ts": (F.col("l_orderkey") % 360 * 10).cast("double")}
+    )
+    # a frame holds the people of one picture; boxes are made after the shuffle, which also serves joins by frame
+    in_frame = Window.partitionBy("source_id", "frame_ts").orderBy("l_orderkey", "l_partkey", "l_extendedprice")
     x1, y1 = (F.col("l_partkey") % 1500).cast("int"), F.col("l_linenumber") * 20
-    flat = li.select(
-        F.col("l_suppkey").alias("source_id"),
-        (F.col("l_orderkey") % 360 * 10).cast("double").alias("frame_ts"),
-        (F.col("l_discount") * 10).alias("confidence"),
+    return li.withColumn("n", F.row_number().over(in_frame).cast("bigint")).select(
+        "source_id", "frame_ts", (F.col("n") - 1).alias("det_ix"), (F.col("l_discount") * 10).alias("confidence"),
         F.array(x1, y1, x1 + (F.col("l_quantity") * 10).cast("int"), y1 + 300).alias("person_box"),
         F.when(F.col("l_partkey") % 3 == 0, F.array(x1 + 10, y1 + 10, x1 + 60, y1 + 60)).alias("face_box"),
-        "l_orderkey", "l_partkey", "l_extendedprice",
-    )
-    out = scan(
-        flat, ["source_id", "frame_ts"], ["l_orderkey", "l_partkey", "l_extendedprice"], {"n": row_number()},
-        pos="l_orderkey", width=1_000_000.0,
-    )
-    return out.select(
-        "source_id", "frame_ts", (F.col("n") - 1).alias("det_ix"), "confidence", "person_box", "face_box"
     )
 
 
