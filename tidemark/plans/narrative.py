@@ -119,11 +119,12 @@ def score_candidates(
 
 def anchor_matches(
     candidates: DataFrame, transcript: DataFrame, *, anchor: str, target: str, ident: str = "clip_no",
-    radius_s: float = 15.0, fuzzy: bool = True,
+    radius_s: float = 15.0, fuzzy: bool = True, above: float = -1.0,
 ) -> DataFrame:
     """Similarity of each candidate's anchor text to the transcript lines near its time.
 
-    A line that contains the anchor scores 1; the slow ratio is worked out only for the rest.
+    A line that contains the anchor scores 1; the slow ratio is worked out only for the rest, and of
+    these only for pairs whose lengths allow a ratio ``above`` the given one.  Others are left out.
     """
     asks = candidates.where(T.has_anchor(F.col(anchor))).select(
         KEY, ident, F.col(target).alias("__at"), T.anchor_key(F.col(anchor)).alias("__want"),
@@ -134,10 +135,13 @@ def anchor_matches(
     )
     near = points_in_intervals(lines, asks, t="__s", start="__lo", end="__hi", start_open=True, end_open=True)
     holds = F.contains(F.col("__line"), F.col("__want"))
-    whole = near.where(holds).withColumn("ratio", F.lit(1.0))
+    a, b = F.length("__want"), F.length("__line")
+    # no more than the shorter text can match
+    most = 2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1)) if fuzzy else 1 - F.abs(a - b) / F.greatest(a, b, F.lit(1))
+    possible = near.where(holds | (most > above))
     measure = fuzzy_ratio if fuzzy else edit_ratio
-    part = near.where(~holds).withColumn("ratio", measure(F.col("__want"), F.col("__line")))
-    return whole.unionByName(part)
+    slow = measure(F.when(~holds, F.col("__want")), F.when(~holds, F.col("__line")))
+    return possible.withColumn("ratio", F.when(holds, F.lit(1.0)).otherwise(slow))
 
 
 def snap_to_text(
@@ -150,7 +154,7 @@ def snap_to_text(
     ratios the first line wins.
     """
     found = anchor_matches(
-        candidates, transcript, anchor=anchor, target=target, ident=ident, radius_s=radius_s, fuzzy=fuzzy
+        candidates, transcript, anchor=anchor, target=target, ident=ident, radius_s=radius_s, fuzzy=fuzzy, above=min_ratio
     ).where(F.col("ratio") > min_ratio)
     best = found.groupBy(KEY, ident).agg(
         F.max_by("__e" if is_end else "__s", F.struct(F.col("ratio"), -F.col("ix"))).alias("__best")
