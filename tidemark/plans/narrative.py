@@ -90,6 +90,12 @@ def score_candidates(
         }
     )
     flat = flat.withColumn("status", scoring.duration_status(F.col("duration"), min_s, max_s))
+    flat = scan(
+        flat.withColumn("__ok", (F.col("status") == "accepted").cast("bigint")),
+        [KEY], ["chapter_ix", "item_ix"], {"__n": running_sum(F.col("__ok"))}, pos="chapter_ix", width=256,
+    )
+    # read three times below: replies are parsed and numbered once
+    flat = cut_lineage(flat.drop("__ok"))
     ok = flat.where("status = 'accepted'")
     screens = count_screens(ok, screen_text, ident="ident", start="start", end="end")
     lines = count_lines(ok, transcript, ident="ident", start="start", end="end")
@@ -104,11 +110,7 @@ def score_candidates(
             ),
         ),
     )
-    numbered = scan(
-        scored.withColumn("__ok", (F.col("status") == "accepted").cast("bigint")),
-        [KEY], ["chapter_ix", "item_ix"], {"__n": running_sum(F.col("__ok"))}, pos="chapter_ix", width=256,
-    )
-    return numbered.select(
+    return scored.select(
         KEY, "chapter_ix", "item_ix",
         F.when(F.col("status") == "accepted", F.col("__n") - 1).alias("clip_no"),
         F.when(F.col("status") == "accepted", F.concat(F.lit("clip_"), (F.col("__n") - 1).cast("string"))).alias("clip_id"),
@@ -198,6 +200,8 @@ def build_manifest(
     Recording length is the end of the last transcript line.
     """
     accepted = cut_lineage(candidates.where("status = 'accepted'"))
+    # read for both ends and for the length: lines are placed once
+    transcript = cut_lineage(transcript.select(KEY, "ix", "start", "end", "text"))
     chosen = selection.select(KEY, "pick_no", "clip_id", *[
         (F.col(c) if c in selection.columns else F.lit(None)).cast("string").alias(c) for c in ("title", *_NOTES)
     ])
