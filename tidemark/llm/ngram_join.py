@@ -12,7 +12,7 @@ the first level.
   by a map-side aggregation before anything else, so that a group of exact copies is one row.
 * A bucket is not split on tokens that are common in it, such as those of the passage that all its
   sets share: they would lead the same sets to another bucket.  Every part has about half of the
-  sets at most.
+  sets at most.  Keys that no other set holds meet nothing and are not split on either.
 * Near copies: a set most of whose tokens are common in its bucket is dense there.  Each dense set
   gets one home, the largest of its buckets, and homes that meet in a bucket are compared block by
   block, every pair once.  A task holds two blocks of bounded size; it adds up the links of each
@@ -157,6 +157,15 @@ def _nodes(signed: DataFrame) -> DataFrame:
     ).select(F.xxhash64(*_SET).alias("node"), "least", *_SET, "n_docs", "n_texts", "sketch", "keys")
 
 
+def _met_keys(big: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n_keys, keys of the sets of large buckets: how many keys a set has, and those that another set holds too."""
+    rows = nodes.select("node", F.explode("keys").alias("key"))
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
+    rows = rows.join(big.select("node").distinct(), "node", "left_semi").join(met, "key", "left_semi")
+    held = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    return cut_lineage(nodes.select("node", F.size("keys").alias("n_keys")).join(held, "node"))
+
+
 def _common(big: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
     """first, common: the keys that more than ``common_share`` of a bucket's sets hold, from about ``probe_sets`` of them."""
     some = big.where((F.col("path") == F.col("first")) & (F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("n") / p.probe_sets)) == 0))
@@ -175,7 +184,7 @@ def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | No
     sets at most, so that the loop ends after the logarithm of the largest bucket.
     """
     rows = nodes.select("node", F.explode("keys").alias("path"))
-    small, dense = [], []
+    small, dense, met = [], [], None
     while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who"))
         # Buckets of the same sets: one is compared, ``copies`` are split, each in its own order.  A set's keys bound their number.
@@ -187,12 +196,16 @@ def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | No
         big = rows.where(F.col("n") > p.small)
         if big.isEmpty():
             break
-        held = big.join(_common(big, nodes, p), "first").join(nodes.select("node", "keys"), "node")
+        if met is None:
+            met = _met_keys(big, nodes)
+        held = big.join(_common(big, met, p), "first").join(met, "node")
         own = F.array_except("keys", "common")
-        parts = cut_lineage(held.select("path", "first", "node", "n", own.alias("own"), (F.size(own) < (1 - p.dense) * F.size("keys")).alias("stays")))
+        alone = F.col("n_keys") - F.size("keys")
+        parts = cut_lineage(held.select("path", "first", "node", "n", own.alias("own"), (F.size(own) + alone < (1 - p.dense) * F.col("n_keys")).alias("stays")))
         dense.append(parts.where(F.col("stays") & (F.col("path") == F.col("first"))).select("path", "node", "n"))
         ordered = F.array_sort(F.transform("own", lambda k: F.xxhash64("path", k)))
-        rows = parts.select("node", F.explode(F.slice(ordered, 1, p.children)).alias("path"))
+        # read twice: for the sizes and for the rows of the parts
+        rows = cut_lineage(parts.select("node", F.explode(F.slice(ordered, 1, p.children)).alias("path")))
     whole = small[0]
     for s in small[1:]:
         whole = whole.union(s)
