@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,10 +75,21 @@ def seeds(words: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray]:
     if n <= p.window:
         at = np.array([int(h.argmin())])
     else:
-        views = np.lib.stride_tricks.sliding_window_view(h, p.window)
-        at = np.unique(views.argmin(1) + np.arange(len(views)))
+        # a place is the least of a window of its own where the greatest least around it is its hash
+        views = n - p.window + 1
+        least = h[:views]
+        for j in range(1, p.window):
+            least = np.minimum(least, h[j : j + views])
+        around = np.zeros(n, np.uint64)
+        for j in range(p.window):
+            np.maximum(around[j : j + views], least, out=around[j : j + views])
+        at = np.flatnonzero(around == h)
+        if ((h[at[1:]] == h[at[:-1]]) & (np.diff(at) < p.window)).any():  # of equal ones in a window the first
+            at = np.unique(np.lib.stride_tricks.sliding_window_view(h, p.window).argmin(1) + np.arange(views))
     found = h[at]
     new = np.concatenate([[True], (found[1:] != found[:-1]) | (np.diff(at) > p.window)])
+    if new.all():
+        return found, at
     first = at[np.flatnonzero(new)][np.cumsum(new) - 1]
     keep = (at - first) % p.window == 0
     return found[keep], at[keep]
@@ -281,21 +293,27 @@ def _word_slices(p: PassageParams):
     """The words that a request asks for; requests of one text stand together and share its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, words = None, np.zeros(0, np.uint64)
-        for batch in parted(batches):
-            out = []
-            for r in batch.to_pylist():
-                if r["text"] != text:
-                    text = r["text"]
-                    words = words_of([text.encode()])[0]
-                begin = max(0, r["low"] - p.margin)
-                part = (words[begin : r["high"] + p.margin] >> np.uint64(32)).astype(np.uint32)
-                out.append((r["key"], r["doc_id"], r["other_id"], r["x0"], r["y0"], r["side"], begin, part.tobytes(), r["links"]))
-                if len(out) >= 2000:
-                    yield _rows(out, _SLICE)
-                    out = []
-            if out:
-                yield _rows(out, _SLICE)
+        text, last = None, np.zeros(0, np.uint32)
+        for batch in parted(batches, 2000):
+            # one copy of texts that stand together
+            runs = pc.run_end_encode(batch.column(batch.schema.get_field_index("text")))
+            values, known = runs.values.to_pylist(), []
+            fresh = values[1:] if values[0] == text else values
+            if len(fresh) < len(values):
+                known.append(last)
+            for _, encoded in slices(fresh):
+                words, count, _ = words_of(encoded)
+                short = (words >> np.uint64(32)).astype(np.uint32)
+                known += [short[e - n : e] for e, n in zip(np.cumsum(count).tolist(), count.tolist(), strict=True)]
+            text, last = values[-1], known[-1].copy()
+            ends = runs.run_ends.to_numpy()
+            which = np.searchsorted(ends, np.arange(batch.num_rows), side="right").tolist()
+            low, high = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("low", "high"))
+            begin = np.maximum(0, low - p.margin).astype(np.int32)
+            parts = [known[w][s:e].tobytes() for w, s, e in zip(which, begin.tolist(), (high + p.margin).tolist(), strict=True)]
+            made = {"begin": pa.array(begin, pa.int32()), "words": pa.array(parts, pa.binary())}
+            names = [c.split()[0] for c in _SLICE.split(", ")]
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
 
     return run
 
@@ -382,12 +400,12 @@ def _align_rows(p: PassageParams):
                 out.append((last[0], last[1], a0 + s, a0 + e, b0 + t, b0 + f, matched, matched / max(e - s, f - t)))
 
         for batch in parted(batches):
-            for r in batch.to_pylist():
-                key = (r["doc_id"], r["other_id"], r["x0"], r["y0"])
+            of = lambda *names: zip(*(string_column(batch, c) for c in names), strict=True)
+            for key, (side, *row) in zip(of("doc_id", "other_id", "x0", "y0"), of("side", "begin", "words", "links"), strict=True):
                 if key != last:
                     close()
                     held, last = {}, key
-                held.setdefault(r["side"], (r["begin"], r["words"], r["links"]))
+                held.setdefault(side, row)
             if len(out) > 20_000:
                 yield _rows(out, _PASSAGE)
                 out = []
