@@ -10,6 +10,7 @@ from tidemark.functions.scoring import is_combat
 from tidemark.operators import chains, conflicts, intervals, rangejoin, select
 from tidemark.operators.scan import last_value, row_number, running_max, running_sum, scan
 from tidemark.plans import highlights
+from tidemark.session import cut_lineage
 
 # ---------------------------------------------------------------- shared SQL views
 COMBAT_SQL = """(label IN ('Floating Damage Numbers', 'loating Damage Numbers', 'audio_combat_spike')
@@ -151,9 +152,10 @@ FROM near GROUP BY source_id, segment_id, part_ix""",
     ),
 )
 def w04(spark, sf):
-    ranked = highlights.segmented_events(S.events(spark, sf))
+    # read five times below, as in sliding_clips: written once
+    ranked = cut_lineage(highlights.segmented_events(S.events(spark, sf)))
     _, _, totals = highlights.window_candidates(ranked)
-    return highlights.near_windows(highlights.accepted_windows(totals)).select(
+    return highlights.near_windows(cut_lineage(highlights.accepted_windows(totals))).select(
         "source_id", "segment_id", "part_ix", "start", "end", F.col("n_windows").cast("bigint").alias("n_windows")
     )
 
