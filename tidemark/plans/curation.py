@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import yes_no
 from tidemark.operators.scan import next_value, scan
 from tidemark.operators.select import hash_split, sample_negatives
+from tidemark.session import cut_lineage
 
 KEY = "source_id"
 
@@ -23,7 +24,8 @@ def next_uncertain(frames: DataFrame, uncertain: DataFrame, *, frame: str = "fra
     at = F.col(frame).alias("__at")
     asks = frames.select(KEY, at, F.lit(True).alias("__ask"), F.lit(None).cast("bigint").alias("__m"))
     marks = uncertain.select(KEY, at, F.lit(False).alias("__ask"), F.col(frame).cast("bigint").alias("__m"))
-    both = asks.unionByName(marks).groupBy(KEY, "__at").agg(F.bool_or("__ask").alias("__ask"), F.max("__m").alias("__m"))
+    # read twice by the scan, to draw its borders and to number: written once
+    both = cut_lineage(asks.unionByName(marks).groupBy(KEY, "__at").agg(F.bool_or("__ask").alias("__ask"), F.max("__m").alias("__m")))
     out = scan(
         both, [KEY], ["__at"], {"next_uncertain": next_value(F.col("__m"), inclusive=False)},
         pos="__at", width=width, backward=True,
