@@ -184,8 +184,9 @@ def sliding_clips(
     _, pairs, totals = window_candidates(
         ranked, window_s=window_s, tail_s=tail_s, triggers=triggers, width=width, page_rows=page_rows
     )
-    kept = accepted_windows(totals, min_intensity)
-    clips = near_windows(kept, merge_s=merge_s, width=width)
+    # windows, clips and their profiles are read twice or more each: written once
+    kept = cut_lineage(accepted_windows(totals, min_intensity))
+    clips = cut_lineage(near_windows(kept, merge_s=merge_s, width=width))
     owner = points_in_intervals(
         kept.select(*group, "row_ix", "window_start"),
         clips.select(*group, "part_ix", "start", "end", "n_windows"),
@@ -228,7 +229,7 @@ def sliding_clips(
         "segment_id",
         "segment_events",
     )
-    return scan(out, [KEY], ["start_time"], {"clip_n": row_number()}, pos="start_time", width=width).withColumn(
+    return scan(cut_lineage(out), [KEY], ["start_time"], {"clip_n": row_number()}, pos="start_time", width=width).withColumn(
         "clip_ix", F.col("clip_n") - 1
     ).drop("clip_n")
 
