@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,19 +37,39 @@ def edit_ratio(a: Column, b: Column) -> Column:
 
 
 def fold_changed(similarity: float, key: str, bin_col: str):
-    """Per-bin fold for change detection, for ``applyInPandas``."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "tie"])
-        entry = rows["__entry"].iloc[0]
-        last, kept, left = entry, [], None
-        for ident, text in zip(rows["tie"], rows["text"]):
-            if SequenceMatcher(None, last, text).ratio() < similarity:
-                kept.append(int(ident))
-                last = left = text
-        return pd.DataFrame(
-            {key: [rows[key].iloc[0]], bin_col: [rows[bin_col].iloc[0]], "__ids": [kept],
-             "__exit": [left], "__entry": [entry]}
-        )
+    """Fold for change detection, for ``mapInArrow``: rows of a bin stand together, in order.
+
+    The upper bounds of the ratio, by length and by characters, are asked before the ratio
+    itself, and a pair of texts is judged once as long as it is remembered.
+    """
+
+    def unlike(a: str, b: str) -> bool:
+        match = SequenceMatcher(None, a, b)
+        return match.real_quick_ratio() < similarity or match.quick_ratio() < similarity or match.ratio() < similarity
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.string()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=[key, bin_col, "__ids", "__exit", "__entry"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judged = lru_cache(1 << 14)(unlike)
+        now, out = None, []
+        for batch in batches:
+            names = [key, bin_col, "tie", "text", "__entry"]
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            for source, place, ident, text, entry in zip(*columns):
+                if now != (source, place):
+                    if now is not None:
+                        out.append((*now, kept, left, begun))
+                    now, kept, left, begun, last = (source, place), [], None, entry, entry
+                if judged(last, text):
+                    kept.append(ident)
+                    last = left = text
+            if out:
+                yield batch_of(out)
+                out = []
+        if now is not None:
+            yield batch_of([(*now, kept, left, begun)])
 
     return run

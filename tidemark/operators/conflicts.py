@@ -143,10 +143,11 @@ def deoverlap(
     no chain of decisions is left to follow.
     """
     pos = pos or order[0]
-    numbered = scan(
+    # read for the records, the questions and the result: written once
+    numbered = cut_lineage(scan(
         clips, [key], list(order),
         {"__n": row_number(), "__before": running_max(F.col(end), inclusive=False)}, pos=pos, width=width,
-    )
+    ))
     records = numbered.where(F.col("__before").isNull() | (F.col(end) > F.col("__before"))).select(
         key, F.col(end).alias("__p"), F.lit(0).alias("__o"), F.col("__n").alias("__tie"),
         F.lit(None).cast("bigint").alias("__row"), F.struct(F.col(end).alias("e")).alias("__m"),
@@ -216,7 +217,9 @@ def changed_texts(
         todo = rows.select(key, BIN, F.col(t).alias("t"), F.col(tie).alias("tie"), F.trim(text).alias("text")).join(
             entries, [key, BIN]
         )
-        return todo.groupBy(key, BIN).applyInPandas(fold_changed(similarity, key, BIN), schema)
+        # pages are many and may be short: a task folds its pages one after the other, in order
+        ordered = todo.repartition(key, BIN).sortWithinPartitions(key, BIN, "t", "tie")
+        return ordered.select(key, BIN, F.col("tie").cast("bigint").alias("tie"), "text", "__entry").mapInArrow(fold_changed(similarity, key, BIN), schema)
 
     state = cut_lineage(run(rows.select(key, BIN).distinct().withColumn("__entry", F.lit(""))))
     while True:

@@ -45,5 +45,5 @@ def event_pipeline(
     log = cut_lineage(merged_events(detections, spikes, **(frames or {})))
     found = highlights.highlight_clips(log, spikes, mode=mode, **(clips or {}))
     named = found.withColumn("clip_id", F.concat("origin", F.lit("_"), F.round(F.col("start_time") * 100).cast("bigint").cast("string")))
-    paced = pacing.pace_clips(named, scores, levels)
+    paced = cut_lineage(pacing.pace_clips(named, scores, levels))
     return highlights.render_list(paced)
