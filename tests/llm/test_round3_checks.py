@@ -22,6 +22,17 @@ def test_large_buckets_are_split_on_keys_that_another_set_holds(spark):
     assert sorted(sorted(p) for p in parts.values()) == [[v, v + 1] for v in range(0, 200, 2)]
 
 
+def test_common_keys_of_large_buckets_are_told_without_a_row_for_each_key(spark):
+    """Key 1 is in all sets, 2 in two of three, 3 in half (not common), the others in one; a bucket of the same sets is not probed."""
+    rows = [(v, [1, *([2] if v % 3 else []), *([3] if v % 2 else []), *[1000 + 10 * v + j for j in range(8)]]) for v in range(120)]
+    nodes = spark.createDataFrame(rows, "node long, keys array<long>")
+    held = [(path, first, v, 120) for path, first in [(7, 7), (8, 7)] for v in range(120)] + [(9, 9, v, 70) for v in range(0, 70)]
+    big = spark.createDataFrame([*held, (11, 11, 500, 90)], "path long, first long, node long, n long")
+    common = ngram_join._common(big, nodes, ngram_join.DEFAULT)
+    assert {r["first"]: sorted(r["common"]) for r in common.collect()} == {7: [1, 2], 9: [1, 2]}
+    assert "Generate" not in common._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_word_slices_hash_a_text_once_for_all_its_requests(monkeypatch):
     """Texts of rows that stand together are hashed once, within a batch and across two; slices are those of the rule."""
     p = passages.DEFAULT

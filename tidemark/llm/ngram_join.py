@@ -169,12 +169,12 @@ def _met_keys(big: DataFrame, nodes: DataFrame) -> DataFrame:
 def _common(big: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
     """first, common: the keys that more than ``common_share`` of a bucket's sets hold, from about ``probe_sets`` of them."""
     some = big.where((F.col("path") == F.col("first")) & (F.pmod(F.xxhash64("node", "path"), F.ceil(F.col("n") / p.probe_sets)) == 0))
-    # Key 0 stands for the set itself, so that its count is that of the sets.
-    held = some.join(nodes.select("node", "keys"), "node").select("first", F.explode(F.array_prepend("keys", F.lit(0).cast("long"))).alias("key"))
-    counts = held.groupBy("first", "key").agg(F.count(F.lit(1)).alias("c"))
-    every = counts.groupBy("first").agg(F.collect_list(F.struct("key", "c")).alias("each"), F.max("c").alias("sets"))
-    often = F.filter("each", lambda x: (x["key"] != 0) & (x["c"] > p.common_share * F.col("sets")))
-    return every.select("first", F.transform(often, lambda x: x["key"]).alias("common"))
+    held = some.join(nodes.select("node", "keys"), "node").groupBy("first").agg(
+        F.sort_array(F.flatten(F.collect_list("keys"))).alias("each"), F.floor(F.count(F.lit(1)) * p.common_share).cast("int").alias("bar")
+    )
+    # A key stands more than ``bar`` times in the sorted keys where the one ``bar`` places on is the same.
+    often = F.filter("each", lambda x, i: F.get("each", i + F.col("bar")) == x)
+    return held.select("first", F.array_distinct(often).alias("common"))
 
 
 def _buckets(nodes: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame | None]:
