@@ -43,6 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def local_path(spark: SparkSession, folder: str) -> str | None:
+    """The plain path of a folder on a local or mounted store, and null on any other store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return where.getPath() if where.getScheme() == "file" else None
+
+
+def task_count(spark: SparkSession) -> int:
+    """A number of tasks for work that Spark would take for small, as it goes by bytes."""
+    return max(64, 4 * spark.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the copy.
 

@@ -12,16 +12,21 @@ document with the path of its log, so that the number of files does not grow wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+from collections.abc import Iterator, Sequence
+from itertools import islice
 from typing import NamedTuple
 from urllib.parse import unquote
+from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import parse_timed_line, parse_transcript_line
 from tidemark.functions.timefmt import parse_rate
 from tidemark.schemas import MANIFEST_CLIP, PROBE, RAW_EVENT, SIGNAL
+from tidemark.session import local_path, task_count
 
 #: A document of a log in a pack: the path of the log, the page and the bytes.
 PACK = "file STRING, page BIGINT, content BINARY"
@@ -175,13 +180,58 @@ def read_signal(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.schema(SIGNAL).parquet(*([path] if isinstance(path, str) else path))
 
 
+def _listing(folder: str, shares: int):
+    """For ``mapInArrow``, rows of a share's number: (path, length) of the files in that share of the entries of ``folder``.
+
+    Names that Spark leaves out, and files of no bytes, are left out here too.
+    """
+
+    def files(where: str, share: int | None = None) -> Iterator[tuple[str, int]]:
+        with os.scandir(where) as entries:
+            for entry in entries:
+                name = entry.name
+                if name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"):
+                    continue
+                if share is not None and crc32(os.fsencode(name)) % shares != share:
+                    continue
+                if entry.is_dir():
+                    yield from files(entry.path)
+                    continue
+                try:
+                    length = entry.stat().st_size
+                except FileNotFoundError:  # removed meanwhile, or a link to nothing
+                    continue
+                if length:
+                    yield "file:" + os.fsencode(entry.path).decode("utf-8", "replace"), length
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for share in batch.column(0).to_pylist():
+                found = files(folder, share)
+                while rows := list(islice(found, 10_000)):
+                    paths, lengths = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(lengths, pa.int64())], names=["path", "length"])
+
+    return run
+
+
 def list_files(spark: SparkSession, folder: str, extensions: Sequence[str], kind: str = "image") -> DataFrame:
-    """Files of a folder tree by extension; contents are not read."""
+    """Files of a folder tree by extension; contents are not read.
+
+    A folder on a local or mounted store is listed by tasks, when the rows are asked for.  Spark's own
+    listing, which holds a status of every file on the driver, serves other stores and patterns.
+    """
     low = [e.lower().lstrip(".") for e in extensions]
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    local = local_path(spark, folder)
+    if local is not None and os.path.isdir(local):
+        shares = task_count(spark)
+        names = spark.range(0, shares, 1, shares).mapInArrow(_listing(local, shares), "path string, length long")
+    else:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    by_folder = F.nullif(F.regexp_extract("path", r"/stem=([^/]+)/[^/]+$", 1), F.lit(""))  # as Spark's writer names files
     return names.where(ext.isin(*low)).select(
-        F.regexp_extract("path", STEM, 1).alias("stem"), F.concat(F.lit("."), ext).alias("ext"), "path", "length",
+        F.coalesce(by_folder, F.regexp_extract("path", STEM, 1)).alias("stem"), F.concat(F.lit("."), ext).alias("ext"), "path", "length",
         F.lit(kind).alias("kind"),
     )
 
